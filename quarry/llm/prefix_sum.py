@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_running_sum(df: DataFrame, group: str, key: str, weight: Column, ties: list[str], out: str, rows_each: int = 50_000) -> DataFrame:
+def with_running_sum(df: DataFrame, group: str, key: str, weight: Column, ties: list[str], out: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows of ``group`` (an int column) before this one by (``key``, ``ties``).
 
     ``key`` is uniform over [0, 2**60), so equal-width ranges of it hold equal shares of any
@@ -14,7 +16,7 @@ def with_running_sum(df: DataFrame, group: str, key: str, weight: Column, ties:
     summed only inside their range. ``df`` should be materialised: it is read twice.
     """
     total = df.count()
-    buckets = max(1, -(-total // rows_each))
+    buckets = max(1, math.isqrt(total))  # as many ranges as rows a range, so neither side outgrows a task
     d = df.withColumn("__b", F.floor(F.col(key) / F.lit(float(1 << 60)) * buckets).cast("long"))
     sums = d.groupBy(group, "__b").agg(F.sum(weight).alias("__s"))
     w = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,4 +35,4 @@ def partitions(df: DataFrame, mb_each: float = 8.0) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that ``df`` reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
