@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, licenses, media, mixing, quality, sharding, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, jaccard_join, licenses, media, mixing, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.query,
     "op4_quality": quality.query,
     "op5_license_scans": licenses.query,
+    "op6_benchmark_decontamination": decontaminate.query,
     "op7_suffix_dedup": suffix_dedup.query,
     "op8_sharding": sharding.query,
     "op9_media_columns": media.query,
