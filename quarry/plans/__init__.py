@@ -1,0 +1,6 @@
+"""Registered queries of the engine's own operators."""
+
+from . import graph_queries, state_queries
+
+QUERIES = {**graph_queries.QUERIES, **state_queries.QUERIES}
+SQL = {**graph_queries.SQL, **state_queries.SQL}
