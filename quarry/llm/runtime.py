@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,13 @@ def partitions(df: DataFrame, mb_each: float = 8.0) -> int:
     return max(conf, min(200_000, int(input_bytes(df) / (mb_each * 1e6)) + 1))
 
 
+#: Estimates from here on mean that Catalyst knows no size.
+UNKNOWN = 1 << 50
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that ``df`` reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the bytes that ``df`` reads; where it has none, the texts' bytes are counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN and "text" in df.columns:
+        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    return min(size, UNKNOWN)
