@@ -160,3 +160,37 @@ SECRET_FILES = r"(^|/)(\.env(\..*)?|id_rsa|id_ed25519|.*\.pem|.*\.key|credential
 def packable(path: Column, size: Column, most: int = 1 << 20) -> Column:
     """Inside the repository, not a secret by name, not too large."""
     return ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)") & ~F.lower(path).rlike(SECRET_FILES) & (size <= most)
+
+
+def symbol_packs(nodes: DataFrame, edges: DataFrame, files: DataFrame, roots: DataFrame, neighbors: int = 10, callers: int = 0, header_lines: int = 120) -> DataFrame:
+    """The context of each root: header of its file, the entity, its heaviest callees (and callers), with token counts.
+
+    One row a slice (root, role, id, file, start, end, text, tokens, file_tokens): ``worthwhile`` if the
+    pack is smaller than the whole file. A root without a file or with a null text gives no rows.
+    """
+    n = nodes.select("id", "file", F.col("range_start").alias("start"), F.col("range_end").alias("end"))
+    target = roots.select("root").join(n, F.col("root") == F.col("id")).select("root", F.lit("target").alias("role"), "id", "file", "start", "end")
+    parts = target
+    for role, most, up in (("callee", neighbors, False), ("caller", callers, True)):
+        if most:
+            near = heaviest_neighbors(edges, nodes, roots, most, callers=up).select("root", "id")
+            parts = parts.union(near.join(n, "id").select("root", F.lit(role), "id", "file", "start", "end"))
+    first = nodes.where("kind <> 'module'").groupBy("file").agg(F.min("range_start").alias("top"))
+    header = target.join(first, "file").where("top > 1").select("root", F.lit("header"), F.lit(None).cast("string"), "file", F.lit(1).cast("long"), F.least(F.col("top") - 1, F.lit(header_lines)).cast("long"))
+    s = parts.union(header).join(files.select("file", "text"), "file").where("text is not null")
+    s = s.withColumn("file_tokens", tokens_of(F.length("text"))).withColumn("text", slice_text(F.col("text"), F.col("start"), F.col("end")))
+    w = Window.partitionBy("root", "file", "start", "end").orderBy(F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")))
+    s = s.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n").withColumn("tokens", tokens_of(F.length("text")))
+    whole = F.max(F.when(F.col("role") == "target", F.col("file_tokens"))).over(Window.partitionBy("root"))
+    return s.withColumn("worthwhile", F.sum("tokens").over(Window.partitionBy("root")) < whole)
+
+
+def escalation(rungs: DataFrame) -> DataFrame:
+    """Per symbol the cheapest of its rungs (pack, two hops, whole files) below the whole-file rung, else that one.
+
+    ``rungs`` has symbol, rung and tokens; rung 3 is the whole files.
+    """
+    whole = F.max(F.when(F.col("rung") == 3, F.col("tokens"))).over(Window.partitionBy("symbol"))
+    r = rungs.withColumn("whole", whole).where((F.col("rung") == 3) | (F.col("tokens") < F.col("whole")))
+    w = Window.partitionBy("symbol").orderBy("tokens", "rung")
+    return r.withColumn("n", F.row_number().over(w)).where("n = 1").select("symbol", "rung", "tokens")

@@ -108,3 +108,38 @@ def package_of(files: DataFrame, packages: DataFrame) -> DataFrame:
     c = files.select("file", F.explode(dirs).alias("dir"))
     hit = c.join(packages.select("dir").distinct(), "dir").groupBy("file").agg(F.max_by("dir", F.length("dir")).alias("package"))
     return files.join(hit, "file", "left").withColumn("package", F.coalesce("package", F.lit("")))
+
+
+def resolve_aliases(imports: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, specifier) through path aliases: of the nearest configuration, the pattern with the longest literal start.
+
+    ``aliases`` has dir (of the configuration), pattern and target, each with at most one ``*``. The table
+    belongs to the repository's configuration files, not to its code.
+    """
+    star = F.col("pattern").contains("*")
+    lead, tail = F.substring_index("pattern", "*", 1), F.when(star, F.substring_index("pattern", "*", -1)).otherwise("")
+    inside = (F.col("dir") == "") | F.col("file").startswith(F.concat("dir", F.lit("/")))
+    fits = F.when(star, F.col("specifier").startswith(lead) & F.col("specifier").endswith(tail) & (F.length("specifier") >= F.length(lead) + F.length(tail))).otherwise(F.col("specifier") == F.col("pattern"))
+    c = imports.join(aliases, inside & fits)
+    middle = F.expr("substring(specifier, length(substring_index(pattern, '*', 1)) + 1, length(specifier) - length(pattern) + 1)")
+    path = F.when(star, F.replace("target", F.lit("*"), middle)).otherwise(F.col("target"))
+    c = c.select("file", "specifier", F.length("dir").alias("near"), F.length(lead).alias("long"), normal_path(F.concat_ws("/", "dir", path)).alias("base"))
+    c = c.select("*", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("p", "path"))
+    hit = c.join(files.select(F.col("file").alias("path")).distinct(), "path").groupBy("file", "specifier").agg(F.max_by("path", F.struct("near", "long", -F.col("p"))).alias("target"))
+    return imports.join(hit, ["file", "specifier"], "left")
+
+
+def resolve_workspace(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
+    """(specifier) to a workspace package's file: the longest package name, its entry or the path after its name.
+
+    ``packages`` has name, dir and entry; joined on every prefix of the specifier's segments.
+    """
+    parts = F.split("specifier", "/")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    c = imports.select("specifier").distinct().select("specifier", F.explode(names).alias("name")).join(packages, "name")
+    rest = F.expr("substring(specifier, length(name) + 2)")
+    inner = F.array(*[F.concat(F.col("dir"), F.lit(f"/{d}"), rest, F.lit(e)) for d in ("", "src/") for e in ENDINGS])
+    entry = F.array(F.concat("dir", F.lit("/"), "entry"), *[F.concat("dir", F.lit(e)) for e in ("/src/index.ts", "/src/index.tsx", "/src/index.js", "/index.ts", "/index.js")])
+    c = c.select("specifier", F.length("name").alias("n"), F.posexplode(F.when(rest == "", entry).otherwise(inner)).alias("p", "path"))
+    hit = c.join(files.select(F.col("file").alias("path")).distinct(), "path").groupBy("specifier").agg(F.max_by("path", F.struct("n", -F.col("p"))).alias("target"))
+    return imports.join(hit, "specifier", "left")

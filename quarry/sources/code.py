@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.maintain import in_file_scope
+from .scanners import FAMILY, scan_astro, scan_braces
 
 RECORD = "record string, file string, name string, qualified_name string, kind string, range_start int, range_end int, arity int, params array<string>, return_type string, visibility string, src_name string, dst_name string, edge_kind string, receiver string, receiver_chain array<string>, imported string, line int, col int, ast_hash string"
 FIELDS = [f.split(" ")[0] for f in RECORD.split(", ")]
@@ -79,23 +80,37 @@ class _Python(ast.NodeVisitor):
             self.row("edge", src_name=self.file, dst_name=base, edge_kind="import", imported=a.name, line=node.lineno, col=node.col_offset + 1)
 
 
+def _module(file: str, text: str) -> dict:
+    stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    lines = max(1, text.count("\n") + (not text.endswith("\n")))
+    return {"record": "node", "file": file, "name": stem, "qualified_name": "", "kind": "module", "range_start": 1, "range_end": lines, "ast_hash": hashlib.sha256(text.encode()).hexdigest()}
+
+
 def parse_python(file: str, text: str) -> list[dict]:
     """The module record first, then definitions and edges; a syntax error gives one warning record."""
-    module = {"record": "node", "file": file, "name": file.rsplit("/", 1)[-1].rsplit(".", 1)[0], "qualified_name": "", "kind": "module", "range_start": 1, "range_end": max(1, text.count("\n") + (not text.endswith("\n"))), "ast_hash": hashlib.sha256(text.encode()).hexdigest()}
     try:
         v = _Python(file, text)
         v.visit(ast.parse(text))
-        return [module, *v.rows]
+        return [_module(file, text), *v.rows]
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [module, {"record": "warning", "file": file, "line": getattr(e, "lineno", None) or 1}]
+        return [_module(file, text), {"record": "warning", "file": file, "line": getattr(e, "lineno", None) or 1}]
+
+
+def parse(file: str, text: str) -> list[dict]:
+    """Records of a file of any known language."""
+    ending = file.rsplit(".", 1)[-1].lower()
+    if ending == "py":
+        return parse_python(file, text)
+    rows = scan_astro(file, text) if ending == "astro" else scan_braces(file, text, FAMILY[ending]) if ending in FAMILY else []
+    return [_module(file, text), *rows]
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Records of every Python file (file, text); a null text gives none, other languages only their module."""
+    """Records of every file (file, text); a null text gives none, an unknown language only its module."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for f, t in zip(b["file"], b["text"], strict=True) if t is not None for r in (parse_python(f, t) if f.endswith(".py") else parse_python(f, t)[:1])]
+            rows = [r for f, t in zip(b["file"], b["text"], strict=True) if t is not None for r in parse(f, t)]
             out = pd.DataFrame(rows, columns=FIELDS).astype(object)
             yield out.where(out.notna(), None)
 

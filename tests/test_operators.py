@@ -169,3 +169,46 @@ def test_streaming_equals_batch(spark, tmp_path):
 def test_log_windows(spark):
     d = spark.createDataFrame([("k", i * 10) for i in range(8)] + [("k", 100_000)], "key string, at long")
     assert rows(events.log_windows(d, 60_000), "opened") == [("k", 0, 5, 3), ("k", 100_000, 1, 0)]
+
+
+def test_brace_scanners():
+    ts = "import { a } from './a';\n// call()\nexport class Box<T> {\n  private open(x: number): void {\n    this.lid.lift(x);\n  }\n}\nconst f = (y) => {\n  new Box();\n};\n"
+    r = code.parse("src/box.ts", ts)
+    assert [(x["qualified_name"], x["kind"], x["range_start"], x["range_end"]) for x in r if x["record"] == "node"][1:] == [("Box", "class", 3, 7), ("Box.open", "method", 4, 6), ("f", "function", 8, 10)]
+    e = [(x["src_name"], x["dst_name"], x["edge_kind"]) for x in r if x["record"] == "edge"]
+    assert e == [("src/box.ts", "./a", "import"), ("Box.open", "lift", "static_call"), ("f", "Box", "static_call")]
+    rs = code.parse("a.rs", "use std::fmt;\npub struct P;\nimpl P {\n    pub fn go(&self, n: u8) -> u8 {\n        helper(n)\n    }\n}\nfn helper(n: u8) -> u8 { n }\n")
+    assert [(x["qualified_name"], x["kind"], x.get("visibility")) for x in rs if x["record"] == "node"][1:] == [("P", "struct", "public"), ("P::go", "method", "public"), ("helper", "function", "private")]
+    go = code.parse("a.go", 'package a\nimport "fmt"\ntype T struct {\n}\nfunc (t *T) Run(n int) {\n\tfmt.Println(n)\n}\nfunc main() {\n\tRun(1)\n}\n')
+    assert [(x["qualified_name"], x["kind"]) for x in go if x["record"] == "node"][1:] == [("T", "struct"), ("T.Run", "method"), ("main", "function")]
+    assert ("T.Run", "Println") in [(x["src_name"], x["dst_name"]) for x in go if x["record"] == "edge"]
+    astro = code.parse("p.astro", "---\nimport Card from './Card.astro';\n---\n<Card x={1} />\n")
+    assert [(x["dst_name"], x["line"]) for x in astro if x["record"] == "edge"] == [("./Card.astro", 2), ("Card", 4)]
+
+
+def test_mutants(spark):
+    from quarry.operators import mutants
+
+    body = "def f(a):\n    # true\n    if a == 1:\n        log('true')\n    return a + 2"
+    got = mutants.mutants(spark.createDataFrame([("f", "python", body), ("g", "python", None)], "id string, language string, body string")).collect()
+    assert [(r["op"], r["line"]) for r in got] == [("comparison-swap", 3), ("off-by-one", 3), ("remove-call", 4), ("arithmetic-swap", 5), ("return-empty", 5), ("off-by-one", 5)]
+    r = got[0]
+    assert "if a != 1:" in mutants.apply_mutant(body, r["line"], r["original"], r["mutated"])
+
+
+def test_aliases_and_workspaces(spark):
+    files = spark.createDataFrame([("app/src/lib/x.ts",), ("pkgs/core/src/index.ts",), ("pkgs/core/src/util.ts",)], "file string")
+    aliases = spark.createDataFrame([("app", "@/*", "src/*"), ("", "@/*", "other/*")], "dir string, pattern string, target string")
+    imports = spark.createDataFrame([("app/src/a.ts", "@/lib/x"), ("app/src/a.ts", "@/none")], "file string, specifier string")
+    assert rows(resolve.resolve_aliases(imports, aliases, files), "specifier") == [("app/src/a.ts", "@/lib/x", "app/src/lib/x.ts"), ("app/src/a.ts", "@/none", None)]
+    packages = spark.createDataFrame([("@o/core", "pkgs/core", "dist/index.js")], "name string, dir string, entry string")
+    imports = spark.createDataFrame([("@o/core",), ("@o/core/util",), ("react",)], "specifier string")
+    assert rows(resolve.resolve_workspace(imports, packages, files), "specifier") == [("@o/core", "pkgs/core/src/index.ts"), ("@o/core/util", "pkgs/core/src/util.ts"), ("react", None)]
+
+
+def test_symbol_packs(spark):
+    n = spark.createDataFrame([("m", "m", "a.py", "module", 1, 9), ("f", "f", "a.py", "function", 3, 4), ("g", "g", "b.py", "function", 1, 2)], "id string, name string, file string, kind string, range_start long, range_end long")
+    e = spark.createDataFrame([("f", "g", "static_call", 2), ("f", "m", "static_call", 9)], EDGE)
+    files = spark.createDataFrame([("a.py", "import b\n\ndef f():\n    g()\n" + "# tail\n" * 40), ("b.py", "def g():\n    pass")], "file string, text string")
+    got = pack.symbol_packs(n, e, files, spark.createDataFrame([("f",)], "root string"))
+    assert rows(got.select("role", "file", "start", "end", "worthwhile"), "role") == [("callee", "b.py", 1, 2, True), ("header", "a.py", 1, 2, True), ("target", "a.py", 3, 4, True)]
