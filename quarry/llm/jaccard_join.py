@@ -5,7 +5,7 @@
    goes on with its repeated shingles only, and not at all if these are under three quarters.
 3. Shingles are ordered by (count, hash). Two sets that link share one of the first
    size - ceil(0.75 size) + 1 shingles of each, so classes meet in the buckets of these.
-   Buckets with the same members count once.
+   Buckets whose members are connected already (by a first round on minimum hashes) don't count.
 4. In a bucket the sets, most frequent shingle first, stand in a prefix tree. Each set walks
    down it: an overlap counted on a path serves all sets below, a subtree is left when what
    remains of either side cannot reach the needed overlap, or when all below is linked already.
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import materialize, partitions
-from .sketch import grouped
 from .text import U64, chunks, gram_hashes, mix, range_hashes, split_by, within, word_hashes, words
 
 SHINGLE = 5
@@ -36,6 +35,8 @@ FLUSH = 1 << 20
 #: From so many classes in one flush a shingle is dealt over several tasks and counts as the most frequent.
 HOT = 64
 HOT_COUNT = (1 << 32) - 1
+#: Minimum hashes by which sets meet in the first round.
+MEETINGS = 3
 #: Bytes of sets that one tree holds; larger buckets are joined block against block.
 BLOCK_BYTES = 32 << 20
 
@@ -79,11 +80,14 @@ class PrefixTree:
             x = self.parent[x]
         return x
 
-    def add(self, tokens: list[int], size: int) -> None:
-        """Link a set (ascending tokens; ``size`` counts its private ones too) with those before it, then insert it."""
+    def add(self, tokens: list[int], size: int, group: int | None = None) -> None:
+        """Link a set (ascending tokens; ``size`` counts its private ones too) with those before it, then insert it.
+
+        ``group`` is an earlier set that it is known to be connected with, or itself.
+        """
         me = len(self.size)
         self.size.append(size)
-        self.parent.append(me)
+        self.parent.append(me if group is None else group)
         mine = set(tokens)
         stack = [(self.root, 0, 0)]
         while stack:
@@ -155,26 +159,47 @@ def _cid(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams, digest_size=8).digest(), "little", signed=True)
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """(cid, n, tokens, counts): the shingles of each class that another class has too, in pieces."""
-    parts = partitions(docs)
-    fields = pa.schema([("part", pa.int32()), ("hot", pa.int32()), ("tokens", pa.binary()), ("cids", pa.binary()), ("sizes", pa.binary())])
+def _pack(cid: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Runs of equal classes as bytes: classes, their sizes, lengths of the runs."""
+    cut = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1]]))
+    return cid[cut].tobytes(), size[cut].astype(np.uint32).tobytes(), np.diff(np.append(cut, len(cid))).astype(np.uint32).tobytes()
+
+
+def _unpack(cids: bytes, sizes: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(lengths, np.uint32)
+    return np.repeat(np.frombuffer(cids, np.int64), n), np.repeat(np.frombuffer(sizes, np.uint32), n)
+
+
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+
+def _active(docs: DataFrame) -> DataFrame:
+    """(cid, n, shingles, heads, meetings) of the classes that can link: repeated shingles in order, the prefix, minimum hashes.
 
-    def rows(found: list, seed: int) -> Iterator[pa.RecordBatch]:
+    Shingles travel in blobs: to the task that counts them, and those of two classes or more to
+    the task that gathers their class.
+    """
+    parts = partitions(docs, 4.0)
+    width = partitions(docs)
+    dealt = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("tokens", pa.binary()), ("cids", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary())])
+    counted = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary()), ("cids", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary())])
+
+    def rows(found: list) -> Iterator[pa.RecordBatch]:
         if not found:
             return
         token, cid, size = (np.concatenate(x) for x in zip(*found, strict=True))
         values, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
         hot = count[inverse] >= HOT
-        home = (token % U64(parts)).astype(np.int64)
-        away = ((mix(token ^ U64(seed)) ^ cid.view(np.uint64)) % U64(parts)).astype(np.int64)
+        home = (token % U64(parts)).astype(np.int32)
+        away = ((mix(token) ^ cid.view(np.uint64)) % U64(parts)).astype(np.int32)
         out = []
-        for flag, at in ((0, np.flatnonzero(~hot)), (1, np.flatnonzero(hot))):
-            part = (away if flag else home)[at]
-            out += [(p, flag, token[at[i]].tobytes(), cid[at[i]].tobytes(), size[at[i]].tobytes()) for p, i in split_by(part)]
+        for kind, at in ((0, np.flatnonzero(~hot)), (1, np.flatnonzero(hot))):
+            for p, i in split_by((away if kind else home)[at]):
+                out.append((p, kind, token[at[i]].tobytes(), *_pack(cid[at[i]], size[at[i]])))
         marks = values[count >= HOT]
-        out += [(p, 2, marks[i].tobytes(), b"", b"") for p, i in split_by((marks % U64(parts)).astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+        out += [(p, 2, marks[i].tobytes(), b"", b"", b"") for p, i in split_by((marks % U64(parts)).astype(np.int32))]
+        yield _batch(out, dealt)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size, seen = [], 0, set()
@@ -193,110 +218,151 @@ def _repeated(docs: DataFrame) -> DataFrame:
                 found.append((grams[keep], cids[owner[keep]], n[owner[keep]].astype(np.uint32)))
                 size += int(keep.sum())
                 if size >= FLUSH:
-                    yield from rows(found, 1)
+                    yield from rows(found)
                     found, size = [], 0
-        yield from rows(found, 1)
+        yield from rows(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict[int, list] = {0: [], 1: [], 2: []}
+        cold, out, marks = [], [], []
         for b in batches:
-            for flag, *blobs in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
-                kinds[flag].append((np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.int64), np.frombuffer(blobs[2], np.uint32)))
-        out = []
-        if kinds[0]:
-            token, cid, size = (np.concatenate(x) for x in zip(*kinds.pop(0), strict=True))
+            for kind, tokens, *packed in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
+                token = np.frombuffer(tokens, np.uint64)
+                if kind == 2:
+                    marks.append(token)
+                elif kind == 1:
+                    out.append((token, *_unpack(*packed), np.full(len(token), HOT_COUNT, np.uint32)))
+                else:
+                    cold.append((token, *_unpack(*packed)))
+        if cold:
+            token, cid, size = (np.concatenate(x) for x in zip(*cold, strict=True))
+            del cold
             order = np.lexsort((cid, token))
             token, cid, size = token[order], cid[order], size[order]
             new = np.ones(len(token), dtype=bool)
             new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])  # a class can come from several tasks
             token, cid, size = token[new], cid[new], size[new]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            n = np.diff(np.append(first, len(token)))
-            marks = np.unique(np.concatenate([m[0] for m in kinds[2]])) if kinds[2] else token[:0]
-            n = np.where(np.isin(token[first], marks), HOT_COUNT, n)
-            n = np.repeat(n, np.diff(np.append(first, len(token))))
+            each = np.diff(np.append(first, len(token)))
+            n = np.where(np.isin(token[first], np.concatenate(marks)), HOT_COUNT, each) if marks else each
+            n = np.repeat(n, each)
             keep = n > 1
             out.append((token[keep], cid[keep], size[keep], n[keep].astype(np.uint32)))
-        out += [(t, c, s, np.full(len(t), HOT_COUNT, np.uint32)) for t, c, s in kinds[1]]
         if out:
             token, cid, size, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            if len(token):
-                both = np.stack([token, n.astype(np.uint64)], axis=1)
-                (cids, sizes), blob = grouped([cid, size.astype(np.int64)], both)
-                for i in range(0, len(cids), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(cids[i : i + 10_000]), pa.array(sizes[i : i + 10_000]), blob[i : i + 10_000]], names=["cid", "n", "piece"])
-
-    dealt = docs.select("text").mapInArrow(deal, "part int, hot int, tokens binary, cids binary, sizes binary")
-    return dealt.repartition(parts, "part").mapInArrow(count, "cid long, n long, piece binary")
-
-
-def _pieces(blobs: list[bytes]) -> np.ndarray:
-    """(token, count) rows, distinct, by (count, token): the global order, rarest first."""
-    x = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-    x = x[np.lexsort((x[:, 0], x[:, 1]))]
-    return x[np.concatenate([[True], x[1:, 0] != x[:-1, 0]])] if len(x) else x
-
-
-def _links(docs: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest, by buckets, of the links between classes."""
-    pieces = _repeated(docs).groupBy("cid").agg(F.max("n").alias("n"), F.collect_list("piece").alias("pieces"))
-    weight = F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p)) / 16
-    alive = pieces.where(weight * 100 >= F.col("n") * PERCENT)
+            order = np.argsort(cid, kind="stable")
+            token, cid, size, n = token[order], cid[order], size[order], n[order]
+            found = [(p, token[i].tobytes(), n[i].tobytes(), *_pack(cid[i], size[i])) for p, i in split_by((cid.view(np.uint64) % U64(width)).astype(np.int32))]
+            if found:
+                yield _batch(found, counted)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint32), *_unpack(*packed)) for b in batches for t, c, *packed in zip(*[x.to_pylist() for x in b.columns[1:]], strict=True)]
+        if not got:
+            return
+        token, n, cid, size = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((token, n, cid))
+        token, cid, size = token[order], cid[order], size[order]
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
+        token, cid, size = token[new], cid[new], size[new].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1]]))
+        length = np.diff(np.append(first, len(cid)))
+        need = -(-PERCENT * size[first] // 100)
+        alive = np.flatnonzero(length >= need)
+        lowest = np.stack([np.minimum.reduceat(mix(token ^ U64(k + 1)), first).view(np.int64) for k in range(MEETINGS)], axis=1)
+        for x in range(0, len(alive), 2000):
+            at = alive[x : x + 2000]
+            sets = [token[first[r] : first[r] + length[r]].tobytes() for r in at]
+            heads = [token[first[r] : first[r] + length[r] - need[r] + 1].view(np.int64) for r in at]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[first[at]]), pa.array(size[first[at]]), pa.array(sets, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(list(lowest[at]), pa.list_(pa.int64()))], names=["cid", "n", "shingles", "heads", "meetings"])
+
+    x = docs.select("text").mapInArrow(deal, "part int, kind int, tokens binary, cids binary, sizes binary, lengths binary")
+    x = x.repartition(parts, "part").mapInArrow(count, "part int, tokens binary, counts binary, cids binary, sizes binary, lengths binary")
+    x = x.repartition(width, "part").mapInArrow(gather, "cid long, n long, shingles binary, heads array<long>, meetings array<long>")
+    return materialize(x)
+
+
+def _meetings(posts: DataFrame) -> DataFrame:
+    """(token, cid, root, i, j): the groups in which the members of the buckets of ``posts`` meet.
+
+    ``posts`` has token, cid, bytes, root and weight (sets of the root). Only buckets of two roots or more
+    count. Those with the same heaviest root become one group with the members of all: sets that met
+    still meet, and a group of near copies with outsiders is walked once, not once for every
+    shingle they share. Sets of the heaviest root are connected already, so a large group is
+    cut in blocks of these, which the others meet one by one; only if the others exceed a block are they too
+    cut, and meet each other block against block.
+    """
+    b = posts.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.struct("weight", "root")).alias("top"))
+    b = b.where("r <> s").select("token", F.col("top.root").alias("top"))
+    m = posts.join(b, "token").select(F.col("top").alias("token"), "cid", "root", "bytes").distinct()
+    own = F.col("root") == F.col("token")
+    count = lambda inside: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(inside, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+    m = m.join(m.groupBy("token").agg(count(own).alias("own_blocks"), count(~own).alias("other_blocks")), "token")
+    mine = lambda blocks: F.pmod(F.xxhash64("cid", F.lit(1)), F.col(blocks)).cast("int")
+    each = lambda blocks, f: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), f)
+    at = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    inner = each("other_blocks", lambda j: at(mine("own_blocks"), j))
+    outer = each("own_blocks", lambda i: at(i, mine("other_blocks")))
+    others = each("other_blocks", lambda k: at(-1 - F.least(k, mine("other_blocks")), F.greatest(k, mine("other_blocks"))))
+    outer = F.when(F.col("other_blocks") > 1, F.concat(outer, others)).otherwise(outer)
+    return m.select("token", "cid", "root", F.explode(F.when(own, inner).otherwise(outer)).alias("p")).select("token", "cid", "root", "p.i", "p.j")
+
+
+def _walk(members: DataFrame, active: DataFrame, width: int) -> DataFrame:
+    """(a, b): the links found in groups (token, i, j) of ``members``."""
+    filled = members.join(active.select("cid", "n", "shingles"), "cid").select("token", "i", "j", "cid", "n", "root", "shingles")
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets, heads, keep = [], [], []
-            for r, (n, blobs) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                x = _pieces(blobs)
-                need = -(-PERCENT * n // 100)
-                if len(x) >= need:
-                    keep.append(r)
-                    sets.append(x.tobytes())
-                    heads.append(x[: len(x) - need + 1, 0].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["cid", "n", "shingles", "heads"])
-
-    active = materialize(alive.mapInArrow(order, "cid long, n long, shingles binary, heads array<long>"))
-    posts = active.select("cid", F.octet_length("shingles").alias("bytes"), F.explode("heads").alias("token"))
-    mixed = F.xxhash64("cid")
-    buckets = posts.groupBy("token").agg(F.count("*").alias("m"), F.sum(mixed.cast("decimal(38,0)")).alias("x"), F.bit_xor(mixed).alias("y"), F.sum("bytes").alias("bytes")).where("m > 1")
-    buckets = buckets.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.max("bytes").alias("bytes"))
-    buckets = buckets.select("token", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("blocks"))
-    mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
-    members = posts.join(buckets, "token").select("token", "cid", F.explode(pairs).alias("block"))
-    filled = members.join(active.select("cid", "n", "shingles"), "cid").select("token", F.col("block.i").alias("i"), F.col("block.j").alias("j"), "cid", "n", "shingles")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         group, rows = None, []
         for batch in batches:
-            token, i, j, cid, n = (batch.column(x).to_pylist() for x in range(5))
+            token, i, j, cid, n, root = (batch.column(x).to_pylist() for x in range(6))
             for r, key in enumerate(zip(token, i, j, strict=True)):
                 if key != group:
                     _tree_join(rows, a, b)
                     group, rows = key, []
-                rows.append((cid[r], n[r], batch.column(5)[r].as_buffer()))
+                rows.append((cid[r], n[r], batch.column(6)[r].as_py(), root[r]))
         _tree_join(rows, a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    return filled.repartition(width, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(docs: DataFrame) -> DataFrame:
+    """(a, b): links between classes that connect what all links connect.
+
+    First classes meet by minimum hashes, each in one block of its bucket: that connects nearly all
+    near copies at little cost, and decides nothing. Then the buckets of the prefixes, which miss no
+    link, are walked where their members are not connected yet.
+    """
     width = partitions(docs)
-    return filled.repartition(width, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(walk, "a long, b long").distinct()
+    active = _active(docs)
+    sets = active.select("cid", F.octet_length("shingles").alias("bytes"), "heads", "meetings")
+    posts = sets.select("cid", "bytes", F.explode("meetings").alias("token"))
+    met = posts.join(posts.groupBy("token").agg(F.count("*").alias("m"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).where("m > 1"), "token")
+    block = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")
+    first = materialize(_walk(met.select("token", "cid", F.col("cid").alias("root"), block.alias("i"), F.lit(0).alias("j")), active, width))
+    named = materialize(components(first).select(F.col("node").alias("cid"), "root"))
+    weights = named.groupBy("root").agg(F.count("*").alias("weight"))
+    posts = sets.join(named.join(weights, "root"), "cid", "left").select("cid", "bytes", F.coalesce("root", "cid").alias("root"), F.coalesce("weight", F.lit(0)).alias("weight"), F.explode("heads").alias("token"))
+    return materialize(first.union(_walk(_meetings(materialize(posts)), active, width)))
 
 
 def _tree_join(rows: list, a: list[int], b: list[int]) -> None:
     """Walk one bucket's sets through a prefix tree; appends linked classes."""
     if len(rows) < 2:
         return
-    sets = [np.frombuffer(r[2], np.uint64).reshape(-1, 2) for r in rows]
+    sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     cut = np.cumsum([0] + [len(s) for s in sets])
     x = np.concatenate(sets)
-    order = np.lexsort((x[:, 0], x[:, 1]))[::-1]  # most frequent first
-    t = x[order, 0]
-    rank = np.empty(len(x), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]]))
+    values, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
+    place = np.empty(len(values), np.int64)
+    place[np.lexsort((values, -count))] = np.arange(len(values))  # the bucket's most frequent first
+    rank = place[inverse]
     tree = PrefixTree()
-    for r, (_, n, _) in enumerate(rows):
-        tree.add(np.sort(rank[cut[r] : cut[r + 1]]).tolist(), n)
+    known: dict[int, int] = {}
+    for r, (_, n, _, root) in enumerate(rows):
+        tree.add(np.sort(rank[cut[r] : cut[r + 1]]).tolist(), n, known.setdefault(root, r))
     for u, v in tree.links:
         a.append(rows[u][0])
         b.append(rows[v][0])
@@ -315,7 +381,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     rows = materialize(_classes(docs))
-    linked = components(materialize(_links(docs)))
+    linked = components(_links(docs))
     least = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
     least = least.join(linked.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = least.groupBy("root").agg(F.min("first").alias("component"))
