@@ -212,3 +212,29 @@ def test_symbol_packs(spark):
     files = spark.createDataFrame([("a.py", "import b\n\ndef f():\n    g()\n" + "# tail\n" * 40), ("b.py", "def g():\n    pass")], "file string, text string")
     got = pack.symbol_packs(n, e, files, spark.createDataFrame([("f",)], "root string"))
     assert rows(got.select("role", "file", "start", "end", "worthwhile"), "role") == [("callee", "b.py", 1, 2, True), ("header", "a.py", 1, 2, True), ("target", "a.py", 3, 4, True)]
+
+
+def test_pprof_stacks(spark):
+    import gzip
+
+    from quarry.sources import pprof
+
+    def message(number, body):
+        return bytes([number << 3 | 2, len(body)]) + body
+
+    names = [b"", b"leaf", b"main"]
+    raw = b"".join(message(6, n) for n in names)
+    raw += message(5, b"\x08\x01\x10\x01") + message(5, b"\x08\x02\x10\x02")
+    raw += message(4, b"\x08\x01" + message(4, b"\x08\x01")) + message(4, b"\x08\x02" + message(4, b"\x08\x02"))
+    raw += message(2, message(1, b"\x01\x02") + message(2, b"\x07\x00"))
+    df = spark.createDataFrame([("a", bytearray(gzip.compress(raw))), ("b", None), ("c", bytearray(b"\xff\xff"))], "file string, content binary")
+    assert [tuple(r) for r in pprof.decode(df).collect()] == [("a", ["leaf", "main"], 7)]
+
+
+def test_verdicts(spark):
+    from quarry.functions import verdicts
+
+    d = spark.createDataFrame([("Well, YES: they clash",), ("no.",), ("maybe",), (None,)], "r string")
+    assert [r[0] for r in d.select(verdicts.yes_no(F.col("r"))).collect()] == [True, False, None, None]
+    pair = spark.createDataFrame([('text {"entity": "a", "signature_changed": true, "references": [],} end', '{"entity": "b", "signature_changed": false, "references": ["a"]}'), ("none", '{"entity": "b"}')], "x string, y string")
+    assert [r[0] for r in pair.select(verdicts.extractor_conflict(verdicts.edit_facts(F.col("x")), verdicts.edit_facts(F.col("y")))).collect()] == [True, False]
