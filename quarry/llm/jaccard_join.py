@@ -31,7 +31,8 @@ from .text import U64, chunks, gram_hashes, mix, range_hashes, split_by, within,
 SHINGLE = 5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 75
-FLUSH = 1 << 20
+#: Shingles that a task deals at once: 256 for each of the tasks they go to, within these bounds.
+FLUSH = (1 << 19, 1 << 22)
 #: From so many classes in one flush a shingle is dealt over several tasks and counts as the most frequent.
 HOT = 64
 HOT_COUNT = (1 << 32) - 1
@@ -182,6 +183,7 @@ def _active(docs: DataFrame) -> DataFrame:
     """
     parts = partitions(docs, 4.0)
     width = partitions(docs)
+    flush = min(max(256 * parts, FLUSH[0]), FLUSH[1])
     dealt = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("tokens", pa.binary()), ("cids", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary())])
     counted = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary()), ("cids", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary())])
 
@@ -217,7 +219,7 @@ def _active(docs: DataFrame) -> DataFrame:
                 keep = fresh[owner]
                 found.append((grams[keep], cids[owner[keep]], n[owner[keep]].astype(np.uint32)))
                 size += int(keep.sum())
-                if size >= FLUSH:
+                if size >= flush:
                     yield from rows(found)
                     found, size = [], 0
         yield from rows(found)
@@ -340,7 +342,7 @@ def _links(docs: DataFrame) -> DataFrame:
     sets = active.select("cid", F.octet_length("shingles").alias("bytes"), "heads", "meetings")
     posts = sets.select("cid", "bytes", F.explode("meetings").alias("token"))
     met = posts.join(posts.groupBy("token").agg(F.count("*").alias("m"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).where("m > 1"), "token")
-    block = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("cid", "token"), F.col("blocks")).cast("int")  # other blocks at every meeting, so blocks connect
     first = materialize(_walk(met.select("token", "cid", F.col("cid").alias("root"), block.alias("i"), F.lit(0).alias("j")), active, width))
     named = materialize(components(first).select(F.col("node").alias("cid"), "root"))
     weights = named.groupBy("root").agg(F.count("*").alias("weight"))

@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from quarry.llm import decontaminate, jaccard_join, sketch, substring_dedup, suffix_dedup
+from quarry.llm import components, decontaminate, jaccard_join, sketch, substring_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 1 << 63
@@ -113,11 +113,34 @@ def test_jaccard_components(spark, documents, awkward):
     assert by_row(jaccard_join.ngram_jaccard_join(documents), "doc_id", "n_shingles", "component_id") == components_brute(awkward)
 
 
-def test_jaccard_with_tiny_blocks_and_hot_shingles(spark, documents, awkward, monkeypatch):
+def test_jaccard_with_tiny_blocks_and_star_rounds(spark, documents, awkward, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
     assert by_row(jaccard_join.ngram_jaccard_join(documents), "doc_id", "n_shingles", "component_id") == components_brute(awkward)
 
 
+def test_components_both_ways(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    for most in (components.LOCAL_EDGES, 0):
+        monkeypatch.setattr(components, "LOCAL_EDGES", most)
+        got = {r["node"]: r["root"] for r in components.components(df).collect()}
+        assert all(got.get(x, x) == find(x) for x in parent)
+
+
 def test_prefix_tree_finds_every_link():
     import random
 
