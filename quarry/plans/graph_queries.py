@@ -172,10 +172,10 @@ def name_unique_resolution(spark, sf):
 )
 def hint_resolution(spark, sf):
     n = d.nodes(spark, sf)
-    p = n.where("kind in ('function', 'method') and key <= 3000").select("id", "file", F.concat(F.lit("e"), F.col("key") % 400).alias("name"))
+    p = n.where("kind in ('function', 'method')").select("id", "file", F.concat(F.lit("e"), F.col("key") % 400).alias("name"))
     leaf = F.concat(F.lit("e"), F.col("key") % 400)
     raw = n.where("kind = 'method'").select(F.concat(F.lit("geo::x."), leaf).alias("raw"))
-    raw = raw.union(n.where("kind = 'function' and key <= 3000").select(F.concat(F.lit("sales.customer_"), F.col("key") % 20, F.lit("."), leaf))).distinct()
+    raw = raw.union(n.where("kind = 'function'").select(F.concat(F.lit("sales.customer_"), F.col("key") % 20, F.lit("."), leaf))).distinct()
     return resolve.hint_candidates(raw, p)
 
 
@@ -265,7 +265,7 @@ _PRIOR_SQL = f"""{_TESTS_SQL}, s AS (SELECT *, round(CASE WHEN last_failed_at IS
 
 
 def _tests(spark, sf):
-    e = d.table(spark, sf, "events").where("event_id < 2000")
+    e = d.table(spark, sf, "events")
     return e.select(
         F.concat(F.lit("t"), "event_id").alias("id"),
         F.when(F.col("event_type") == "error", "trace").otherwise("static").alias("evidence"),

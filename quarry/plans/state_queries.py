@@ -176,7 +176,7 @@ _ADJ = f"""{d.CLAIMS}, {d.EDGES}, pe AS (SELECT * FROM edges WHERE src LIKE 'par
 
 
 def _near(spark, sf):
-    e = d.edges(spark, sf).where(F.col("src").startswith("part/")).where(F.col("dst").isin("supplier/1", "supplier/2", "supplier/3"))
+    e = d.edges(spark, sf).where(F.col("src").startswith("part/"))
     return claims.adjacent(d.claims(spark, sf), e), e
 
 
@@ -318,7 +318,7 @@ def module_scope_segments(spark, sf):
     b AS (SELECT file, s, e, arg_min(id, (span, id)) AS id FROM j WHERE inside GROUP BY ALL) SELECT file, s AS start, e AS "end", id, 'contains' AS how FROM b UNION ALL SELECT file, s, e, id, 'overlaps' FROM j WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.file = j.file AND b.s = j.s AND b.e = j.e)""",
 )
 def enclosing_entity(spark, sf):
-    n = d.nodes(spark, sf).where("key <= 400")
+    n = d.nodes(spark, sf)
     regions = n.where("kind in ('function', 'class')").select("file", ((F.col("key") % 53) * 9 + 2).alias("start"), ((F.col("key") % 53) * 9 + 2 + F.col("key") % 4).alias("end")).distinct()
     return pack.enclosing_entities(regions, n)
 

@@ -99,8 +99,8 @@ def ops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Work claims: an order's scope is its parts; one claim in 40 orders is active."""
-    o = table(spark, sf, "orders").where("o_orderkey % 40 = 0").select(F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("a"), F.col("o_custkey") % 7).alias("agent"), F.col("o_orderkey").alias("k"), "o_orderpriority")
+    """Work claims: every order is one, its scope is its parts."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("a"), F.col("o_custkey") % 7).alias("agent"), F.col("o_orderkey").alias("k"), "o_orderpriority")
     scope = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("part/"), "l_partkey").alias("part")).groupBy("k").agg(F.sort_array(F.collect_set("part")).alias("scope"))
     return o.join(scope, "k").withColumn("intent", F.concat(F.lower("o_orderpriority"), F.when(F.col("k") % 3 == 0, " rename the parameter").when(F.col("k") % 3 == 1, " internal logic only").otherwise(" handling stock levels"))).drop("o_orderpriority")
 
