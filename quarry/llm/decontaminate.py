@@ -7,17 +7,23 @@ of a document and one of an item that agree on a table's samples are a candidate
 every document starts a window, sized by the item: the largest power of two that it holds, 16
 words at most; a longer item enters with a window at every fourth word. Candidates are verified by
 the edit distance between the whole item and the best stretch of text around the place.
+
+Edits spread over characters leave few whole words. So every byte of a document also starts a gram
+of eight bytes; grams that agree with an item's along nearby diagonals are a candidate too, however
+the bytes are cut into words. Items shorter than 64 bytes have too few grams: their edit distance is
+computed at every byte of every document, exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import U64, chunks, mix, word_hashes, words
+from .text import SPACE, U64, chunks, mix, split_by, word_hashes, words
 
 CLASSES = (16, 8, 4)
 REPEATS, TABLES, SAMPLES = 3, 4, 4
@@ -25,6 +31,14 @@ STRIDE = 4
 PAD = 32
 #: Edit distance up to this share of an item's bytes is a leak.
 EDITS = 0.2
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
+#: Bytes of a gram; items below SHORT bytes are searched exactly; zero bytes that part two texts, more than any short item's edits.
+GRAM, SHORT, GAP = 8, 64, 64
+#: A candidate has one of so many of its item's distinct grams at least, two in any case.
+SPARSE = 16
+#: Pairs of equal grams that are counted at once; a single text with more is one step.
+PAIRS = 1 << 21
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
 BLOCK = 20_000
 _RNG = np.random.default_rng(31337)
@@ -59,17 +73,23 @@ def _padded(wh: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, place
 
 
+@lru_cache(maxsize=1024)
+def _masks(pattern: bytes) -> list[int]:
+    masks = [0] * 256
+    for i, c in enumerate(pattern):
+        masks[c] |= 1 << i
+    return masks
+
+
 def edit_search(pattern: bytes, text: bytes) -> int:
     """The least edit distance between ``pattern`` and any stretch of ``text`` (bit-parallel, exact)."""
     m = len(pattern)
-    peq: dict[int, int] = {}
-    for i, c in enumerate(pattern):
-        peq[c] = peq.get(c, 0) | 1 << i
+    peq = _masks(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best = m
     for c in text:
-        eq = peq.get(c, 0)
+        eq = peq[c]
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | (~(xh | pv) & full)
@@ -78,7 +98,8 @@ def edit_search(pattern: bytes, text: bytes) -> int:
             score += 1
         elif mh & top:
             score -= 1
-            best = min(best, score)
+            if score < best:
+                best = score
         ph = (ph << 1) & full
         mh = (mh << 1) & full
         pv = mh | (~(xv | ph) & full)
@@ -86,6 +107,61 @@ def edit_search(pattern: bytes, text: bytes) -> int:
     return best
 
 
+def _plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' words in lower case, one space between; starts and ends of the texts, which GAP zeros part."""
+    inside = ~SPACE[data]
+    keep = inside.copy()
+    last = np.zeros(len(starts), dtype=bool)
+    last[firsts[1:][firsts[1:] > firsts[:-1]] - 1] = True
+    keep[ends[~last]] = True  # the blank after a word that another of its text follows
+    inside |= ~keep
+    low = np.where(inside, LOWER_BYTES[data], np.uint8(0x20))[keep]
+    length = np.concatenate([[0], np.cumsum(ends - starts + ~last)])
+    cut = length[firsts]
+    first = cut[:-1] + GAP * np.arange(1, len(cut))
+    out = np.zeros(len(low) + GAP * len(cut), np.uint8)
+    for f, a, b in zip(first.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        out[f : f + b - a] = low[a:b]
+    return out, first, first + np.diff(cut)
+
+
+def _grams(plain: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each byte on."""
+    n = max(len(plain) - GRAM + 1, 0)
+    return np.ndarray((n,), "<u8", buffer=np.ascontiguousarray(plain), strides=(1,)) * U64(0x9E3779B97F4A7C15) if n else np.zeros(0, np.uint64)
+
+
+def short_search(pattern: bytes, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all stretches within the bound of a pattern of at most 64 bytes, and their distances.
+
+    The bit-parallel edit distance of ``edit_search``, over many segments of the text side by side;
+    each starts as early as a stretch that ends in it can.
+    """
+    m = len(pattern)
+    most = int(EDITS * m)
+    lead, width = m + most, 512
+    peq = np.zeros(256, np.uint64)
+    for i, c in enumerate(pattern):
+        peq[c] |= U64(1 << i)
+    padded = np.concatenate([np.zeros(lead, np.uint8), plain, np.zeros(width, np.uint8)])
+    at = np.arange(0, len(plain), width)
+    one, high = U64(1), U64(m - 1)
+    pv, mv, score = np.full(len(at), ~U64(0)), np.zeros(len(at), np.uint64), np.full(len(at), m, np.int16)
+    ends, distances = [], []
+    for step in range(lead + width):
+        eq = peq[padded[at + step]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += ((ph >> high) & one).astype(np.int16) - ((mh >> high) & one).astype(np.int16)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+        if step >= lead and (hit := np.flatnonzero(score <= most)).size:
+            ends.append(at[hit] + step - lead)
+            distances.append(score[hit].astype(np.int64))
+    return (np.concatenate(ends), np.concatenate(distances)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class ItemIndex:
     """The items of one block: normal forms, and per table the sorted signatures of their windows."""
 
@@ -101,7 +177,7 @@ class ItemIndex:
             for r in range(len(offs) - 1):
                 n = int(f[r + 1] - f[r])
                 self.texts.append(b" ".join(data[s[w] : e[w]].tobytes().lower() for w in range(f[r], f[r + 1])))
-                c = next((c for c in CLASSES if c <= n), 0)
+                c = next((c for c in CLASSES if c <= n), 0) if len(self.texts[r]) >= SHORT else 0
                 for at in sorted({*range(0, n - c + 1, STRIDE), n - c}) if c else []:
                     owners.append(r)
                     offsets.append(at)
@@ -110,6 +186,7 @@ class ItemIndex:
         self.owner, self.offset, size = np.array(owners, np.int64), np.array(offsets, np.int64), np.array(sizes, np.int64)
         self.classes = tuple(c for c in CLASSES if (size == c).any())
         self.tables: dict = {}
+        self._index_grams()
         if not self.classes:
             return
         padded, place = _padded(np.asarray(hashes), np.asarray(firsts))
@@ -122,11 +199,94 @@ class ItemIndex:
             filled[(sig[mine] >> U64(64 - log)).astype(np.int64)] = True
             self.tables[c, r, t] = (sig[mine], mine, log, filled)
 
+    def _index_grams(self) -> None:
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.short = np.flatnonzero((self.words >= 4) & (sizes < SHORT)).tolist()
+        self.sizes, long = sizes, np.flatnonzero((self.words >= 4) & (sizes >= SHORT))
+        once = [np.unique(_grams(np.frombuffer(self.texts[r], np.uint8)), return_index=True) for r in long]
+        gram = np.concatenate([g for g, _ in once]) if once else np.zeros(0, np.uint64)
+        item = np.repeat(long, [len(g) for g, _ in once])
+        offset = np.concatenate([at for _, at in once]) if once else np.zeros(0, np.int64)
+        self.enough = np.maximum(2, np.bincount(item, minlength=len(sizes)) // SPARSE)
+        order = np.argsort(gram, kind="stable")
+        self.gram, sharers = np.unique(gram, return_counts=True)
+        self.gram_first = np.concatenate([[0], np.cumsum(sharers)])
+        self.gram_item, self.gram_offset = item[order], offset[order]
+        self.gram_log = max(16, int(np.ceil(np.log2(16 * max(len(gram), 1)))))
+        self.gram_filled = np.zeros(1 << self.gram_log, dtype=bool)
+        self.gram_filled[(gram >> U64(64 - self.gram_log)).astype(np.int64)] = True
+
+    def _near_grams(self, plain: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first byte, end byte) of stretches with enough of an item's grams; bytes count from the text's start."""
+        gram = _grams(plain)
+        at = np.flatnonzero(self.gram_filled[(gram >> U64(64 - self.gram_log)).astype(np.int64)])
+        if not len(at) or not len(self.gram):
+            return
+        known = np.minimum(np.searchsorted(self.gram, gram[at]), len(self.gram) - 1)
+        same = self.gram[known] == gram[at]
+        at, lo, n = at[same], self.gram_first[known[same]], np.diff(self.gram_first)[known[same]]
+        text = np.searchsorted(first, at, side="right") - 1
+        before = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(text, text, side="left")]
+        for _, some in split_by(before // PAIRS):
+            yield from self._near_pairs(at[some] - first[text[some]], text[some], lo[some], n[some])
+
+    def _near_pairs(self, at: np.ndarray, text: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        g = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        doc, item = np.repeat(text, n), self.gram_item[g]
+        size = self.sizes[item]
+        band = size * 2 // 5  # edits shift by a fifth at most, so one of two half-overlapping bands holds all of a stretch's grams
+        diagonal = np.repeat(at, n) - self.gram_offset[g] + size
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for half in (0, 1):
+            place = (diagonal + half * (band // 2)) // band
+            wide = int(place.max()) + 1
+            key, count = np.unique((doc * len(self.texts) + item) * wide + place, return_counts=True)
+            owner = key // wide % len(self.texts)
+            ok = count >= self.enough[owner]
+            for k, i in zip(key[ok].tolist(), owner[ok].tolist(), strict=True):
+                m = int(self.sizes[i])
+                b = m * 2 // 5
+                begin = k % wide * b - half * (b // 2) - m
+                spans.setdefault((k // wide // len(self.texts), i), []).append((begin - b // 2 - 1, begin + b + m + b // 2 + 1))
+        for (doc, i), near in spans.items():
+            near.sort()
+            begin, end = near[0]
+            for a, b in near[1:]:
+                if a > end:
+                    yield doc, i, begin, end
+                    begin = a
+                end = max(end, b)
+            yield doc, i, begin, end
+
+    def _by_bytes(self, plain: np.ndarray, first: np.ndarray, end: np.ndarray, found: dict[tuple[int, int], int]) -> None:
+        """Adds to ``found`` the leaks that grams and the search for short items see."""
+        for item in self.short:
+            ends, distances = short_search(self.texts[item], plain)
+            for doc, d in zip((np.searchsorted(first, ends, side="right") - 1).tolist(), distances.tolist(), strict=True):
+                if 0 <= doc and d < found.get((doc, item), 1 << 60):
+                    found[doc, item] = d
+        for doc, item, a, b in self._near_grams(plain, first):
+            if found.get((doc, item)) == 0:
+                continue
+            pattern = self.texts[item]
+            text = plain[first[doc] + max(a, 0) : min(first[doc] + b, end[doc])].tobytes()
+            d = 0 if pattern in text else edit_search(pattern, text)
+            if d <= EDITS * len(pattern) and d < found.get((doc, item), 1 << 60):
+                found[doc, item] = d
+
     def find(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, distance) of the verified leaks in a chunk."""
         starts, ends, firsts = words(data, offs)
-        if not self.classes or not len(starts):
+        if not len(starts):
             return []
+        found: dict[tuple[int, int], int] = {}
+        if self.classes:
+            self._by_words(data, starts, ends, firsts, found)
+        self._by_bytes(*_plain(data, starts, ends, firsts), found)
+        return [(doc, item, d) for (doc, item), d in sorted(found.items())]
+
+    def _by_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, found: dict[tuple[int, int], int]) -> None:
+        """Adds to ``found`` the leaks that the walks see."""
         wh = word_hashes(data, starts, ends, lower=True)
         padded, place = _padded(wh, firsts)
         hits = []
@@ -140,8 +300,7 @@ class ItemIndex:
                     w = windows[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
                     hits.append(np.stack([np.repeat(maybe + x, n) - self.offset[w], np.repeat(np.searchsorted(firsts, maybe + x, side="right") - 1, n), self.owner[w]], axis=1))
         if not hits:
-            return []
-        found: dict[tuple[int, int], int] = {}
+            return
         where = np.concatenate(hits)
         where[:, 0] >>= 2  # alignments a few words apart see the same stretch
         for quarter, doc, item in np.unique(where, axis=0).tolist():
@@ -152,7 +311,6 @@ class ItemIndex:
             d = 0 if pattern in text else edit_search(pattern, text)
             if d <= EDITS * len(pattern) and d < found.get((doc, item), 1 << 60):
                 found[doc, item] = d
-        return [(doc, item, d) for (doc, item), d in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:

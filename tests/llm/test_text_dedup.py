@@ -212,3 +212,27 @@ def test_edit_search_is_exact():
             for j, x in enumerate(t, 1):
                 row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (c != x)))
         assert decontaminate.edit_search(p, t) == min(row)
+
+
+def test_leaks_by_character_edits():
+    import random
+
+    import pyarrow as pa
+
+    from quarry.llm.text import chunks
+
+    from .conftest import prose
+
+    rng = random.Random(7)
+    items = [(k, prose(rng, 12 + k, 200)) for k in range(40)]
+    texts = []
+    for _, t in items:
+        b = list(t)
+        for p in rng.sample(range(len(b)), len(b) * 18 // 100):
+            b[p] = rng.choice(["#", "", b[p] + "#"])
+        texts.append(f"{prose(rng, 80)} {''.join(b)} {prose(rng, 20)}")
+    index = decontaminate.ItemIndex(items)
+    found = {(i + doc, item): d for i, _, data, offs in chunks(pa.array(texts)) for doc, item, d in index.find(data, offs)}
+    least = [decontaminate.edit_search(t, " ".join(x.lower().split()).encode()) for t, x in zip(index.texts, texts, strict=True)]
+    leaks = {(k, k): d for k, d in enumerate(least) if d <= 0.2 * len(index.texts[k])}
+    assert len(leaks) >= 36 and found == leaks
