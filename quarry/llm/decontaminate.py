@@ -201,8 +201,8 @@ class ItemIndex:
 
     def _index_grams(self) -> None:
         sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.short = np.flatnonzero((self.words >= 4) & (sizes < SHORT)).tolist()
-        self.sizes, long = sizes, np.flatnonzero((self.words >= 4) & (sizes >= SHORT))
+        self.short = np.flatnonzero((sizes > 0) & (sizes < SHORT)).tolist()
+        self.sizes, long = sizes, np.flatnonzero(sizes >= SHORT)
         once = [np.unique(_grams(np.frombuffer(self.texts[r], np.uint8)), return_index=True) for r in long]
         gram = np.concatenate([g for g, _ in once]) if once else np.zeros(0, np.uint64)
         item = np.repeat(long, [len(g) for g, _ in once])
@@ -328,8 +328,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_bytes): items within 20 % edits of a stretch of a document.
 
     Case of A-Z and kind of blanks don't count. The benchmark is a stated query set: blocks of it (at most
-    20,000 items are broadcast) pass over all documents, whole texts. Items of fewer than four words
-    are not looked for (any text holds them); null texts on either side match nothing; a null
+    20,000 items are broadcast) pass over all documents, whole texts. Only items without
+    words are not looked for (any text holds them); null texts on either side match nothing; a null
     doc_id or item_id is carried along; repeated rows repeat; empty tables give no rows.
     """
     sc = docs.sparkSession.sparkContext

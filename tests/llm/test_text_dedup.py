@@ -236,3 +236,28 @@ def test_leaks_by_character_edits():
     least = [decontaminate.edit_search(t, " ".join(x.lower().split()).encode()) for t, x in zip(index.texts, texts, strict=True)]
     leaks = {(k, k): d for k, d in enumerate(least) if d <= 0.2 * len(index.texts[k])}
     assert len(leaks) >= 36 and found == leaks
+
+
+def test_leaks_of_items_of_few_words():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm.text import chunks
+
+    from .conftest import prose
+
+    rng = random.Random(8)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90))
+    items = [(1, han), (2, "https://example.org/a/b?c=1"), (3, "Quick  Brown fox"), (4, "zq"), (5, " \n")]
+    texts = [prose(rng, 50) + han + prose(rng, 50), "see HTTPS://example.org/A/b?c=2, there", "the quick\nbrwn FOX ran", "a zq b", prose(rng, 300), "quick brown", "fox", "", None, han[:40] + "\u3042" * 8 + han[40:]]
+    index = decontaminate.ItemIndex(items)
+    found = {(i + doc, index.ids[item]): d for i, _, data, offs in chunks(pa.array(texts)) for doc, item, d in index.find(data, offs)}
+    assert found == {(0, 1): 0, (1, 2): 1, (2, 3): 1, (3, 4): 0, (9, 1): 24}
+    for pattern in (b"zq", b"quick brown fox", b"0123456789" * 6):
+        for _ in range(20):
+            t = bytes(rng.choice(pattern) for _ in range(rng.randrange(1, 90)))
+            ends, distances = decontaminate.short_search(pattern, np.frombuffer(t, np.uint8))
+            best = decontaminate.edit_search(pattern, t)
+            assert min(distances.tolist(), default=None) == (best if best <= 0.2 * len(pattern) else None)
