@@ -96,10 +96,24 @@ def sentences(text: Column) -> Column:
     return F.filter(plain, lambda s: s != "")
 
 
+def _pattern(known: Sequence[str]) -> str:
+    """Matches the known sentences among pieces that newlines part: a sentence can go over pieces or stand inside one.
+
+    Longer sentences are tried first. An SPDX line ends its piece or goes on with an operator, so
+    MIT is not read out of MIT-0.
+    """
+    some = []
+    for s in sorted(known, key=lambda s: (-len(s), s)):
+        end = r"(?=$|\n| (?:or|and|with) )" if s.startswith("spdx ") else ""
+        some.append(s.replace(" ", r"[ \n]") + end)
+    return r"(?<![^ \n])(?:" + "|".join(some) + r")(?![^ \n])"
+
+
 def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[Sequence[str], str]] = RULES) -> DataFrame:
     """One row per document: doc_id, n_sentences, sentence_ids, licenses, unmatched.
 
-    ``sentence_ids`` lists the known sentences in order, joined by ``|``. Rules apply in order: each
+    ``sentence_ids`` lists the known sentences in order, joined by ``|``, wherever they stand: wrapped
+    over lines, behind comment signs, inside a longer sentence, or cut by their own full stops. Rules apply in order: each
     run of a rule's identifiers is taken out and adds its licence; ``licenses`` lists distinct
     licences in rule order, ``unmatched`` the identifiers that no rule took. Known sentences and
     rules are tables of the program (a few hundred), not data: they are literals of the plan. All in
@@ -111,7 +125,8 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = SENTENCES,
     ids = {_plain(s): i for s, i in known}
     table = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     d = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    found = F.transform(F.filter("s", lambda s: s.isin(list(ids))), lambda s: F.element_at(table, s))
+    whole = F.regexp_extract_all(F.array_join("s", "\n"), F.lit(_pattern(list(ids))), F.lit(0))
+    found = F.transform(whole, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(found, "|").alias("sentence_ids"))
     # Identifiers stand as <a><b>; a rule's run is cut out and leaves <> so that its neighbours don't join.
     left = F.when(F.col("sentence_ids") == "", "").otherwise(F.concat(F.lit("<"), F.replace("sentence_ids", F.lit("|"), F.lit("><")), F.lit(">")))

@@ -146,6 +146,21 @@ def test_licenses(spark):
     assert got == {1: ("MIT", ""), 2: ("Apache-2.0|CC-BY-NC-4.0", ""), 3: ("", ""), 4: ("", ""), None: ("", "rights-reserved"), 6: ("MIT", ""), 7: ("", "")}
 
 
+def test_licenses_wrapped(spark):
+    known = licenses.SENTENCES
+    wrap = lambda s, n, sign: "\n".join(sign + " ".join(s.split()[i : i + n]) for i in range(0, len(s.split()), n))
+    texts = [(4 * k + v, f"Some code.\n\n{t}\n\nMore text.") for k, (s, _) in enumerate(known) for v, t in enumerate((s, wrap(s, 3, ""), wrap(s, 4, " * "), wrap(s, 5, "# ")))]
+    by = dict(known)
+    bsd = " ".join(next(s for s, i in known if i == x) for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"))
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one"
+    texts += [(1000, wrap(bsd, 7, "// ")), (1001, wrap(gpl2, 9, "# ")), (1002, mpl), (1003, "SPDX-License-Identifier: MIT-0"), (1004, "# SPDX-License-Identifier: MIT OR Apache-2.0"), (1005, "submit the MIT Licenses (MIT)")]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, (s, i) in enumerate(known):
+        assert [got[4 * k + v][0] for v in range(4)] == [by[s]] * 4, (s, i)
+    assert [got[n][1] for n in range(1000, 1006)] == ["BSD-3-Clause", "GPL-2.0-or-later", "MPL-2.0", "", "MIT", ""]
+
+
 def test_text_media_round_trip(spark, documents, awkward):
     got = sorted((r for r in media.text_media(documents).collect()), key=lambda r: (repr(r["doc_id"]), r["payload_sha256"]))
     want = []
