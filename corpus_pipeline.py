@@ -18,15 +18,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id; of rows that repeat it, one.
+    """One row of each group of near duplicates: the one of smallest doc_id, null ids last; then by a hash of the row.
 
-    Documents without words are in no group and stay; so do rows without doc_id that are in none.
+    Rows are told apart by a 64-bit hash of all their columns, so a doc_id that is null or that
+    different texts share decides nothing. Documents without words are in no group and all stay.
     """
     ship(spark)
-    groups = jaccard_join.ngram_jaccard_join(docs)
-    stay = groups.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("__key", F.xxhash64(*[c for n in docs.columns for c in (F.col(n).isNull(), F.col(n))]))
+    grouped = keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    groups = jaccard_join.ngram_jaccard_join(grouped.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    rows = grouped.select("__key", "doc_id").distinct().join(groups, "__key")
+    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key")).select("__key")
+    kept = grouped.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,16 @@ def test_stages(spark):
     assert max(times.values()) <= 3
     shards = seen[5].collect()
     assert Counter(r["doc_id"] for r in shards) == times and {r["shard"] for r in shards} == set(range(24))
+
+
+def test_near_duplicates_without_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = one.replace("a59", "other")
+    rows = [(None, one, "x"), (None, one, "x"), (None, near, "y"), (5, two, "x"), (None, two, "x"), (7, three, "x"), (7, "another text of its own", "x"), (8, "unlike all of the others", "x"), (8, "unlike all of the others", "x"), (None, "", "x"), (9, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"]) for r in c.near_duplicates_stage(spark, docs, SF).collect())
+    mine = [k for k in got if k[0] is None and k[1]]
+    assert len(mine) == 1 and mine[0][1] in (one, near)
+    assert got == Counter([mine[0], (5, two), (7, three), (7, "another text of its own"), (8, "unlike all of the others"), (None, ""), (9, None)])
+    again = Counter((r["doc_id"], r["text"]) for r in c.near_duplicates_stage(spark, docs.orderBy(c.F.desc("source"), "text").repartition(3), SF).collect())
+    assert got == again
