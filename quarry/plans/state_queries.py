@@ -399,10 +399,14 @@ def heuristic_summary(spark, sf):
 # Streams, run as batches here (the same functions take streaming frames)
 
 
+#: The collector's default: one call in 100 is observed, so a weight is 100 times its count.
+SAMPLE_RATE = 100
+
+
 @register("observation_validation", f"WITH {d.OBSERVATIONS} SELECT src AS batch, count(*) AS rows, bool_and(coalesce(weight BETWEEN 0 AND 65535 AND abs(weight - observed * 60) <= 60 * 60, FALSE)) AS accepted FROM (SELECT src, observed, least(weight, 61) AS weight FROM observations WHERE weight < 61) GROUP BY src")
 def observation_validation(spark, sf):
-    o = d.observations(spark, sf).where("weight < 61").withColumn("batch", F.col("src"))
-    return ev.accept_batches(o.withColumn("weight", F.least("weight", F.lit(61))), "batch", F.col("weight"))
+    o = d.observations(spark, sf).withColumn("batch", F.col("src"))
+    return ev.accept_batches(o, "batch", F.lit(SAMPLE_RATE))
 
 
 @register("tumbling_buckets", f"WITH {d.OBSERVATIONS} SELECT src, dst, ts // 60 * 60 AS bucket, sum(observed)::BIGINT AS observed, sum(weight)::BIGINT AS weight FROM observations GROUP BY ALL")

@@ -33,3 +33,12 @@ def test_equals_uncut_sql(spark, small, name):
     df = plans.QUERIES[name](spark, sf)
     rel = connect(sf).sql(sql)
     assert rows_of(df.collect(), df.columns) == rows_of(rel.fetchall(), rel.columns)
+
+
+def test_observations_are_all_validated(spark, tmp_path):
+    connect(SF).sql(f"COPY (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 99 + event_id % 3 WHEN user_id % 3 = 1 AND event_id % 2 = 0 THEN 100 ELSE value END AS value) FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want: dict[str, list[bool]] = {}
+    for user, value in connect(SF).sql(f"SELECT user_id, floor(value)::BIGINT FROM '{tmp_path}/events.parquet'").fetchall():
+        want.setdefault(f"u{user}", []).append(value is not None and 99 <= value <= 101)
+    got = {r["batch"]: (r["rows"], r["accepted"]) for r in plans.QUERIES["observation_validation"](spark, str(tmp_path)).collect()}
+    assert got == {b: (len(ok), all(ok)) for b, ok in want.items()} and {a for _, a in got.values()} == {True, False}
