@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate as leaks
@@ -11,6 +11,20 @@ from quarry.llm.runtime import materialize
 from quarry.session import ship
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` by place (c0, c1, ...), whatever its columns are called, with key: a 64-bit hash of them all, nulls told apart from values."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.withColumn("key", F.xxhash64(*[c for n in plain.columns for c in (F.col(n).isNull(), F.col(n))]))
+
+
+def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def place(docs: DataFrame, name: str) -> Column:
+    return F.col(f"c{docs.columns.index(name)}").alias(name)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     ship(spark)
@@ -24,13 +38,15 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     different texts share decides nothing. Documents without words are in no group and all stay.
     """
     ship(spark)
-    keyed = docs.withColumn("__key", F.xxhash64(*[c for n in docs.columns for c in (F.col(n).isNull(), F.col(n))]))
-    grouped = keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    groups = jaccard_join.ngram_jaccard_join(grouped.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    rows = grouped.select("__key", "doc_id").distinct().join(groups, "__key")
-    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key")).select("__key")
-    kept = grouped.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-    return kept.unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    keyed = keyed_rows(docs)
+    text = place(docs, "text")
+    has_words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    grouped = keyed.where(has_words)
+    groups = jaccard_join.ngram_jaccard_join(grouped.select(F.col("key").alias("doc_id"), text)).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    rows = grouped.select("key", place(docs, "doc_id")).distinct().join(groups, "key")
+    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")).select("key")
+    kept = grouped.join(stay, "key", "left_semi").dropDuplicates(["key"])
+    return unkeyed(kept, docs).union(unkeyed(keyed.where(~has_words), docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +56,18 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole; the one in which a source's budget ends counts once more."""
+    """Documents as often as the mix takes them, whole; the one in which a source's budget ends counts once more.
+
+    Rows are told apart by a 64-bit hash of all their columns. Rows that agree in all of them are
+    emitted as often as the mix takes them together. Documents without words are never taken.
+    """
     ship(spark)
-    mixed = mixing.mix_sources(docs).where("taken > 0")
-    times = mixed.groupBy("doc_id", "source", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    times = times.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.word_count(F.col("text")) == F.col("__size"))
-    return docs.join(times, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__n")).drop("__n")
+    keyed = keyed_rows(docs)
+    named = keyed.select(place(docs, "doc_id"), place(docs, "source"), place(docs, "text"), "key")
+    mixed = mixing.mix_sources(named.withColumnRenamed("key", "row"), keep=["row"]).where("taken > 0")
+    times = mixed.groupBy(F.col("row").alias("key")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    rows = keyed.join(times, "key").dropDuplicates(["key"])
+    return unkeyed(rows.withColumn("nth", F.explode(F.sequence(F.lit(1), "times"))), docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
