@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE_TABLE, chunks, gram_hashes, mix, powers, prefix, within, word_hashes, words
+from .runtime import map_rows
+from .text import SPACE, U64, chunks, gram_hashes, within, word_hashes, words
 
 #: Labelled rows that training reads at most, those of least hash.
 SAMPLE = 20_000
@@ -29,15 +30,25 @@ FEATURES = ["bytes", "words", "word_bytes", "longest_word", *CLASSES, "distinct_
 
 
 def _distinct(owner: np.ndarray, values: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: number of distinct values, and the count of the most frequent."""
-    order = np.lexsort((values, owner))
-    o, v = owner[order], values[order]
-    new = np.ones(len(o), dtype=bool)
-    new[1:] = (o[1:] != o[:-1]) | (v[1:] != v[:-1])
-    first = np.flatnonzero(new)
+    """Per text: number of distinct values (told apart by 40 bits), and the count of the most frequent."""
+    key = (owner.astype(np.uint64) << U64(40)) | (values >> U64(24))
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    o = (key[first] >> U64(40)).astype(np.int64)
     top = np.zeros(docs, np.int64)
-    np.maximum.at(top, o[first], np.diff(np.append(first, len(o))))
-    return np.bincount(o[first], minlength=docs), top
+    np.maximum.at(top, o, np.diff(np.append(first, len(key))))
+    return np.bincount(o, minlength=docs), top
+
+
+def _counts(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``flags`` over the runs that begin at ``starts`` (none empty)."""
+    return np.add.reduceat(flags, starts, dtype=np.int32) if len(starts) else np.zeros(0, np.int32)
+
+
+def _line_numbers(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A number for each line [cut[i], cut[i + 1]), equal for equal lines only (in the bits that ``_distinct`` reads)."""
+    lines = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(np.ascontiguousarray(cut, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return lines.dictionary_encode().indices.to_numpy().astype(np.uint64) << U64(24)
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -52,12 +63,19 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     longest = np.zeros(docs, np.int64)
     np.maximum.at(longest, owner, length)
     cols = [np.log1p(size), np.log1p(n), np.bincount(owner, length, docs) / safe_n, np.log1p(longest)]
-    sums = {}
+    full = np.flatnonzero(size > 0)
+    letters = data[~SPACE[data]]
+    at_word = np.cumsum(length) - length
+    in_word: dict[str, np.ndarray] = {}
     for name, members in CLASSES.items():
         table = np.zeros(256, np.uint8)
         table[list(members)] = 1
-        sums[name] = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
-        cols.append((sums[name][offs[1:]] - sums[name][offs[:-1]]) / safe)
+        share = np.zeros(docs)
+        share[full] = _counts(table[data], offs[full])
+        cols.append(share / safe)
+        if name in ("upper", "symbol", "shout", "digit"):
+            in_word[name] = _counts(table[letters], at_word)
+    del letters
     wh = word_hashes(data, starts, ends)
     distinct, top = _distinct(owner, wh, docs)
     grams = gram_hashes(wh, 3)
@@ -65,17 +83,14 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     gram_owner = owner[ok]
     distinct_grams, _ = _distinct(gram_owner, grams[ok], docs)
     cols += [distinct / safe_n, top / safe_n, distinct_grams / np.maximum(np.bincount(gram_owner, minlength=docs), 1)]
-    breaks = np.flatnonzero(data == 10)
-    cut = np.unique(np.concatenate([breaks + 1, offs[:-1], offs[1:]]))
-    lo, hi = cut[:-1], cut[1:]
+    cut = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offs[:-1], offs[1:]]))
+    lo = cut[:-1]
     line_owner = np.searchsorted(offs, lo, side="right") - 1
-    h = prefix(BYTE_TABLE[data] * powers("byte", len(data)))
-    line_hash = mix((h[hi] - h[lo]) * powers("byte", len(data) + 1, True)[lo])
     lines = np.bincount(line_owner, minlength=docs)
-    distinct_lines, _ = _distinct(line_owner, line_hash, docs)
+    distinct_lines, _ = _distinct(line_owner, _line_numbers(data, cut), docs)
     cols += [np.log1p(lines), np.log1p(size / np.maximum(lines, 1)), distinct_lines / np.maximum(lines, 1)]
-    within_word = lambda c: sums[c][ends] - sums[c][starts]
-    cols += [np.bincount(owner, within_word("upper") > 1, docs) / safe_n, np.bincount(owner, within_word("symbol") + within_word("shout") + within_word("digit") > 0, docs) / safe_n, np.bincount(owner, length < 3, docs) / safe_n]
+    odd = in_word["symbol"] + in_word["shout"] + in_word["digit"] > 0
+    cols += [np.bincount(owner, in_word["upper"] > 1, docs) / safe_n, np.bincount(owner, odd, docs) / safe_n, np.bincount(owner, length < 3, docs) / safe_n]
     return np.stack(cols, axis=1).astype(np.float64)
 
 
@@ -150,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTr
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in flat], pa.binary())], names=["doc_id", "quality", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # bounded by ``sample``
-    rows = sorted(joined.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    found = joined.mapInArrow(run, "doc_id long, quality int, x binary")
+    found = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # one row of each label, however often its doc_id repeats
+    rows = sorted(found.collect(), key=lambda r: (r[0], r[1]))
     x = np.array([np.frombuffer(bytes(r["x"])) for r in rows]).reshape(-1, len(FEATURES))
     return BoostedTrees().fit(x, np.array([r["quality"] for r in rows], dtype=np.float64))
 
@@ -179,7 +196,7 @@ def classify(docs: DataFrame, model: BoostedTrees, threshold: float = 0.3, keep_
             yield b.filter(pa.array(score(b, at) >= threshold))
 
     if keep_columns:
-        return docs.mapInArrow(accept, docs.schema)
+        return map_rows(docs, accept)
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -1,31 +1,21 @@
-"""Shared plumbing of the training-data operators: durable intermediates and partition counts."""
+"""Shared plumbing of the training-data operators: partition counts, and the library's durable intermediates."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint directory.
+__all__ = ["input_bytes", "map_rows", "materialize", "partitions", "shared_dir"]
 
-    A machine-local folder is made up only where the session names none (unit tests).
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return sc.getCheckpointDir()
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def map_rows(docs: DataFrame, f: Callable) -> DataFrame:
+    """``docs.mapInArrow(f)`` that keeps the columns, whatever their names: ``f`` sees them by place."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(f, plain.schema).toDF(*docs.columns)
 
 
 def partitions(df: DataFrame, mb_each: float = 8.0) -> int:

@@ -1,47 +1,33 @@
 """Vectorised text primitives over Arrow string buffers.
 
-Texts are seen as UTF-8 bytes, without copying them out of Arrow. Hashes are polynomial
-prefix sums modulo 2**64 over a random byte table, so the hash of any byte or word range
-is one subtraction; ``mix`` finalises them.
+Texts are seen as UTF-8 bytes, without copying them out of Arrow. A word is 128 bits: up to 15
+bytes and their number, permuted, so that different ones never agree, or BLAKE2b of a longer
+one. Hashes of runs of words join halves by a finaliser; nothing is a sum that could cancel.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles (a longer single text is one step).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_RNG = np.random.default_rng(20240229)
-BYTE_TABLE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)
-LOWER_TABLE = BYTE_TABLE.copy()
-LOWER_TABLE[65:91] = BYTE_TABLE[97:123]
-#: Odd multipliers of the polynomial hashes, and their inverses modulo 2**64.
-BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F, "byte2": 0xD6E8FEB86659FD93, "word2": 0xA0761D6478BD642F}
-
-
-@lru_cache(maxsize=16)
-def _powers(base: int, size: int) -> np.ndarray:
-    p = np.full(size, base, dtype=np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
-def powers(name: str, n: int, inverse: bool = False) -> np.ndarray:
-    base = pow(BASES[name], -1, 1 << 64) if inverse else BASES[name]
-    size = max(1 << 12, 1 << max(n - 1, 0).bit_length())
-    p = _powers(base, size) if size <= 4 * STEP_BYTES else _powers.__wrapped__(base, size)
-    return p[:n]
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
+#: The first k bytes of a little-endian token.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+#: Windows that one step of ``minimizers`` sees; their positions fit 24 bits.
+MINIMIZER_STEP = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (murmur3's)."""
+    """A 64-bit finaliser (murmur3's), a permutation."""
     x = x ^ (x >> U64(33))
     x *= U64(0xFF51AFD7ED558CCD)
     x ^= x >> U64(33)
@@ -50,10 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values, out=out[1:])
-    return out
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two in order."""
+    return mix(a * U64(0x9E3779B97F4A7C15) + b)
+
+
+def tokens_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as little-endian integers; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 9,), "<u8", buffer=padded, strides=(1,))
 
 
 def chunks(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,25 +84,51 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, offs)
 
 
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word's bytes (A-Z as a-z if ``lower``), as two halves.
+
+    Words of at most 15 bytes are permuted with their length in three Feistel rounds: equal digests are equal words.
+    """
+    data = LOWER_BYTES[data] if lower else data
+    at = tokens_at(data)
+    size = ends - starts
+    a = at[starts] & FIRST_BYTES[np.minimum(size, 8)]
+    b = (at[starts + 8] & FIRST_BYTES[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << U64(56))
+    a ^= mix(b + U64(0xA0761D6478BD642F))
+    b ^= mix(a + U64(0xE7037ED1A0B428DB))
+    a ^= mix(b + U64(0x8EBC6AF09C88C6E3))
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        digests = [hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        a[long], b[long] = both[:, 0], both[:, 1]
+    return a, b
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
-    h = prefix((LOWER_TABLE if lower else BYTE_TABLE)[data] * powers("byte", len(data)))
-    return mix((h[ends] - h[starts]) * powers("byte", len(data) + 1, True)[starts])
+    """The first half of each word's digest."""
+    return word_digests(data, starts, ends, lower)[0]
 
 
-def gram_hashes(values: np.ndarray, k: int, name: str = "word") -> np.ndarray:
-    """Hashes of every ``k`` consecutive values, across texts too (callers mask those)."""
-    m = len(values)
-    if m < k:
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every ``k`` consecutive values, across texts too (callers mask those); runs are doubled."""
+    if len(values) < k:
         return np.zeros(0, np.uint64)
-    g = prefix(values * powers(name, m))
-    return mix((g[k:] - g[:-k]) * powers(name, m - k + 1, True))
+    out, have = values, 1
+    for bit in bin(k)[3:]:
+        out, have = join(out[:-have], out[have:]), 2 * have
+        if bit == "1":
+            out, have = join(out[:-1], values[have:]), have + 1
+    return out
 
 
-def range_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, name: str = "word") -> np.ndarray:
-    """Hashes of the value ranges [lo, hi)."""
-    g = prefix(values * powers(name, len(values)))
-    return mix((g[hi] - g[lo]) * powers(name, len(values) + 1, True)[lo])
+def range_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the value ranges [lo, hi): a step for each value of the longest."""
+    out = mix((hi - lo).astype(np.uint64))
+    for step in range(int((hi - lo).max(initial=0))):
+        at = np.flatnonzero(lo + step < hi)
+        out[at] = join(out[at], values[lo[at] + step])
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -135,19 +152,20 @@ def within(firsts: np.ndarray, total: int, k: int) -> np.ndarray:
     return ok
 
 
-def minimizers(hashes: np.ndarray, valid: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+def minimizers(hashes: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     """Position of the least hash among each window's ``w`` (leftmost of equals), for valid windows; -1 elsewhere.
 
-    Equal windows choose equal anchors, wherever they stand: only their own hashes decide.
+    Equal windows choose equal anchors, wherever they stand and however long their texts are: only
+    the first 40 bits of their own hashes, and then the order of the positions, decide.
     """
-    packed = (hashes & U64(0xFFFFFFFFFF000000)) | np.arange(len(hashes), dtype=np.uint64) if len(hashes) < 1 << 24 else None
-    if packed is None:  # one text of over 16 MB: indices need more bits
-        packed = (hashes & U64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        low = U64(0xFFFFFFFF)
-    else:
-        low = U64(0xFFFFFF)
-    at = (sliding_min(packed, w) & low).astype(np.int64)[: len(valid)]
-    return np.where(valid, at, -1)
+    at = np.full(len(valid), -1, np.int64)
+    for x in range(0, len(valid), MINIMIZER_STEP):
+        part = hashes[x : x + MINIMIZER_STEP + w - 1]
+        packed = (part & U64(0xFFFFFFFFFF000000)) | np.arange(len(part), dtype=np.uint64)
+        found = (sliding_min(packed, w) & U64(0xFFFFFF)).astype(np.int64) + x
+        at[x : x + MINIMIZER_STEP] = found[: len(valid) - x]
+    at[~valid] = -1
+    return at
 
 
 def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
