@@ -5,9 +5,10 @@ least hash in it; equal strings have equal anchors at equal offsets, so it is en
 suffixes that start at anchors (one byte in forty) and, for what lies before the anchor, the
 reversed prefixes that end there. A string is equal to another where both orders agree: their
 common prefixes reach far enough to the right and to the left. Sampled leading tokens (8 bytes)
-split the suffixes into buckets by range; a leading token never straddles two buckets, so no
-pair of equal strings crosses a boundary. A count-min sketch of anchors keeps suffixes out whose
-anchor occurs once.
+split the suffixes into buckets by range and volume; a leading token never straddles two buckets, so no
+pair of equal strings crosses a boundary. A gram that holds a noticeable share of all sampled contexts
+gives its strings to their next best anchors, so that one lead doesn't fill a bucket. A count-min
+sketch of anchors keeps suffixes out whose anchor occurs once.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from . import sketch
 from .runtime import input_bytes, materialize, partitions
 from .substring_dedup import NO_ID
-from .text import BYTE_TABLE, U64, chunks, minimizers, mix, powers, prefix, runs, split_by, within
+from .text import STEP_BYTES, U64, chunks, join, minimizers, mix, runs, split_by, tokens_at
 
 GRAM = 16
 LEAD = 8
 FLUSH = 1 << 17
+#: A gram with more than this share of the sampled contexts, and so many samples at least, is hot: there are at most 256.
+HOT_SHARE, HOT_LEAST = 256, 8
 META = np.dtype([("k", "<i8"), ("h", "<i8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
 SPAN = np.dtype([("k", "<i8"), ("h", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
@@ -118,46 +121,70 @@ def repeats_in_bucket(context: np.ndarray, meta: np.ndarray, length: int) -> np.
     return out
 
 
+def _windows(data: np.ndarray, offs: np.ndarray, length: int, hot: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first anchor, anchor, gram hashes, offset) for the windows of ``length`` bytes of blocks of a chunk; -1 where none is.
+
+    Of a window whose least gram is ``hot`` the second anchor is the least of its other grams.
+    """
+    n = len(data)
+    for x in range(0, n - length + 1, STEP_BYTES):
+        m = min(STEP_BYTES, n - length + 1 - x)
+        at = tokens_at(data[x : x + m + length - 1])
+        grams = join(mix(at[: m + length - GRAM]), at[8 : m + length - GRAM + 8])
+        lo, hi = np.searchsorted(offs, x, side="right") - 1, np.searchsorted(offs, x + m, side="left")
+        ends = np.repeat(offs[lo + 1 : hi + 1], np.diff(np.clip(offs[lo : hi + 1], x, x + m)))
+        inside = np.arange(x + length, x + length + m) <= ends
+        first = chosen = minimizers(grams, inside, length - GRAM + 1)
+        if hot is not None and len(hot):
+            known = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+            if known.any():
+                ordered = (grams >> U64(1)) | (known.astype(np.uint64) << U64(63))
+                chosen = np.where(known[first], minimizers(ordered, inside, length - GRAM + 1), first)
+        yield first, chosen, grams, x
+
+
 def _spans(docs: DataFrame, length: int) -> DataFrame:
     """(k, h, spans): for each document the byte spans that repeat earlier text, possibly overlapping."""
     left, wide = length - GRAM, 2 * length - GRAM
 
-    def anchors(data, offs):
-        n = len(data)
-        if n < length:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-        s = prefix(BYTE_TABLE[data] * powers("byte", n))
-        grams = mix((s[GRAM:] - s[:-GRAM]) * powers("byte", n - GRAM + 1, True))
-        a, lo, hi = runs(minimizers(grams, within(offs, n, length), left + 1))
-        return a, lo, hi, grams[a]
-
     def lead_of(data, a):
-        return np.ascontiguousarray(data[a[:, None] + np.arange(LEAD)]).view(">u8").ravel().astype(np.uint64)
+        return tokens_at(data)[a].byteswap()
 
     def extract(data, offs):
-        a, *_, hashes = anchors(data, offs)
-        return hashes, lead_of(data, a)
+        hashes, samples = [np.zeros(0, np.uint64)], [np.zeros((0, 3), np.uint64)]
+        for first, _, grams, x in _windows(data, offs, length):
+            a, *_ = runs(first)
+            at = tokens_at(data)
+            g, p = grams[a], a + x
+            # A context is told by 16 bytes before and 24 from the anchor.
+            context = join(join(at[np.maximum(p - 16, 0)], at[np.maximum(p - 8, 0)]), join(g, at[np.minimum(p + GRAM, len(data))]))
+            hashes.append(g)
+            samples.append(np.stack([context, lead_of(data, p), g], axis=1))
+        return np.concatenate(hashes), np.concatenate(samples)
 
     sc = docs.sparkSession.sparkContext
     parts = partitions(docs)
     cells, sample = sketch.build(docs, extract, sketch.bits_for(input_bytes(docs) / 25))
-    sample = np.unique(sample)
     table = sc.broadcast(cells)
-    splitters = sc.broadcast(sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]] if len(sample) else sample)
-    rng = np.random.default_rng(7)
-    salts = rng.integers(1, 2**63, size=(2, -(-wide // 8)), dtype=np.uint64) * U64(2) + U64(1)
+    leads = np.sort(sample[:, 0])
+    splitters = sc.broadcast(np.unique(leads[np.linspace(0, len(leads) - 1, parts + 1).astype(int)[1:-1]]) if len(leads) else leads)
+    grams, often = np.unique(sample[:, 1], return_counts=True)
+    hot = sc.broadcast(grams[often > max(HOT_LEAST, len(sample) // HOT_SHARE)])
     fields = pa.schema([("part", pa.int32()), ("known", pa.int32()), ("context", pa.binary()), ("meta", pa.binary())])
 
     def rows(found: list) -> Iterator[pa.RecordBatch]:
         if not found:
             return
         context, meta, lead = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
         tokens = _tokens(context)
-        d1, d2 = ((tokens * s).sum(axis=1, dtype=np.uint64) for s in (salts[0], salts[1]))
-        shape = meta["lo"].astype(np.int64) * 256 + meta["hi"]
-        order = np.lexsort((meta["pos"], meta["h"], meta["k"], shape, mix(d2), mix(d1)))
-        d1, d2, shape, m = d1[order], d2[order], shape[order], meta[order]
-        new = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (shape[1:] != shape[:-1])])
+        digest = mix(meta["lo"].astype(np.uint64) * U64(256) + meta["hi"])
+        for c in range(tokens.shape[1]):
+            digest = join(digest, tokens[:, c])
+        order = np.lexsort((meta["pos"], meta["h"], meta["k"], digest))
+        m, tokens = meta[order], tokens[order]
+        # Rows are settled here only where all their bytes agree; the digest just brings such rows together.
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]).any(axis=1) | (m["lo"][1:] != m["lo"][:-1]) | (m["hi"][1:] != m["hi"][:-1])])
         head = m[np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))]
         same = (m["k"] == head["k"]) & (m["h"] == head["h"])
         later = (m["k"] > head["k"]) | (same & (m["pos"] > head["pos"]))
@@ -165,7 +192,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
         out = [(p, 0, context[ship[i]].tobytes(), meta[ship[i]].tobytes()) for p, i in split_by(np.searchsorted(splitters.value, lead[ship], side="right").astype(np.int32))]
         span = np.zeros(len(known), SPAN)
         span["k"], span["h"], span["start"], span["end"] = known["k"], known["h"], known["pos"] - known["hi"], known["pos"] - known["lo"] + length
-        out += [(p, 1, b"", span[i].tobytes()) for p, i in split_by((mix(known["k"].astype(np.uint64)) % U64(parts)).astype(np.int32))]
+        out += [(p, 1, b"", span[i].tobytes()) for p, i in split_by((mix(known["h"].astype(np.uint64)) % U64(parts)).astype(np.int32))]
         yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in out], schema=fields)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,23 +200,32 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, _, data, offs in chunks(b.column(2)):
-                a, lo, hi, grams = anchors(data, offs)
-                keep = sketch.repeated(table.value, grams)
-                a, lo, hi = a[keep], lo[keep], hi[keep]
                 padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)])
-                for x in range(0, len(a), FLUSH):
-                    p, back, ahead = a[x : x + FLUSH], (a - lo)[x : x + FLUSH], (a - hi + 1)[x : x + FLUSH]
-                    context = padded[p[:, None] + np.arange(wide)]
-                    at = np.arange(wide) - left
-                    context[(at < -back[:, None]) | (at >= length - ahead[:, None])] = 0
-                    owner = np.searchsorted(offs, p, side="right") - 1
-                    meta = np.zeros(len(p), META)
-                    meta["k"], meta["h"], meta["pos"], meta["lo"], meta["hi"] = ids[i + owner], hs[i + owner], p - offs[owner], ahead, back
-                    found.append((context, meta, lead_of(data, p)))
-                    size += len(p)
-                    if size >= FLUSH:
-                        yield from rows(found)
-                        found, size = [], 0
+                around = np.lib.stride_tricks.sliding_window_view(padded, wide)
+                for first, chosen, grams, offset in _windows(data, offs, length, hot.value):
+                    a, lo, hi = runs(first)
+                    keep = sketch.repeated(table.value, grams[a])
+                    if chosen is first:
+                        a, lo, hi = a[keep], lo[keep], hi[keep]
+                    else:
+                        step = np.zeros(len(first) + 1, np.int8)
+                        np.add.at(step, lo[keep], 1)
+                        np.add.at(step, hi[keep], -1)
+                        a, lo, hi = runs(np.where(np.cumsum(step[:-1]) > 0, chosen, -1))
+                    a, lo, hi = a + offset, lo + offset, hi + offset
+                    for x in range(0, len(a), FLUSH):
+                        p, back, ahead = a[x : x + FLUSH], (a - lo)[x : x + FLUSH], (a - hi + 1)[x : x + FLUSH]
+                        context = around[p]
+                        at = np.arange(wide) - left
+                        context[(at < -back[:, None]) | (at >= length - ahead[:, None])] = 0
+                        owner = np.searchsorted(offs, p, side="right") - 1
+                        meta = np.zeros(len(p), META)
+                        meta["k"], meta["h"], meta["pos"], meta["lo"], meta["hi"] = ids[i + owner], hs[i + owner], p - offs[owner], ahead, back
+                        found.append((context, meta, lead_of(data, p)))
+                        size += len(p)
+                        if size >= FLUSH:
+                            yield from rows(found)
+                            found, size = [], 0
         yield from rows(found)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +258,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, keep_bytes: bool = Fals
     earlier start in the same document; strings may overlap and are judged on the input. Returns
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with
     ``keep_bytes`` kept (bytes; a cut may fall inside a character). A null text is empty, a
-    null doc_id comes after all others. Rows that repeat a doc_id and text are one document and get
+    null doc_id comes after all others. Rows that repeat a doc_id and text (by 64 bits of hash) are one document and get
     the same result; rows of one doc_id with other texts do not judge each other. Empty tables
     give no rows; other columns are ignored.
 
@@ -233,6 +269,10 @@ def dedup_substrings(docs: DataFrame, length: int = 100, keep_bytes: bool = Fals
         raise ValueError("length must be 32 to 255")
     d = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     found = materialize(_spans(d, length))
+    # A text below ``length`` has no spans: it asks for a key of its own that is never answered, so equal short texts don't pile up.
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < length
+    d = d.withColumn("h", F.when(short, F.monotonically_increasing_id()).otherwise(F.col("h"))).withColumn("short", short)
+    parts = partitions(docs, 16.0)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +298,8 @@ def dedup_substrings(docs: DataFrame, length: int = 100, keep_bytes: bool = Fals
             cols = [b.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.binary())] * keep_bytes, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_bytes])
 
-    joined = d.join(found, ["k", "h"], "left").select("doc_id", "text", "spans")
+    keys = ["k", "h", "short"]
+    joined = d.repartition(parts, *keys).join(found.withColumn("short", F.lit(False)).repartition(parts, *keys), keys, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
 
 
