@@ -2,9 +2,9 @@
 
 A window is 50 consecutive words. To keep the sketch small it counts anchors, not windows: the
 8-word gram of least hash in a window. Equal windows have equal anchors, so an anchor's estimate
-is never below its windows' counts, and one in twenty grams is an anchor. The second pass hashes
-(128 bits) the windows whose anchor is estimated at two or more and groups them exactly; a full
-sketch would only let more through.
+is never below its windows' counts, and one in twenty grams is an anchor. The second pass groups the
+windows whose anchor is estimated at two or more by 128 bits: two hashes, each of its own half of
+the words' 128-bit digests, so that neither depends on the other's. A full sketch would only let more through.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .runtime import input_bytes, materialize, partitions
-from .text import U64, chunks, gram_hashes, minimizers, mix, runs, split_by, within, word_hashes, words
+from .text import U64, chunks, gram_hashes, minimizers, mix, runs, split_by, within, word_digests, word_hashes, words
 
 GRAM = 8
 FLUSH = 1 << 20
@@ -28,14 +28,18 @@ NO_ID = (1 << 63) - 1
 
 def _anchors(data: np.ndarray, offs: np.ndarray, window: int):
     starts, ends, firsts = words(data, offs)
-    wh = word_hashes(data, starts, ends)
-    grams = gram_hashes(wh, GRAM)
-    at = minimizers(grams, within(firsts, len(wh), window), window - GRAM + 1) if len(wh) >= window else np.zeros(0, np.int64)
-    return starts, ends, firsts, wh, grams, *runs(at)
+    digests = word_digests(data, starts, ends)
+    n = len(starts)
+    grams = gram_hashes(digests[0], GRAM)
+    at = minimizers(grams, within(firsts, n, window), window - GRAM + 1) if n >= window else np.zeros(0, np.int64)
+    return firsts, digests, grams, *runs(at)
 
 
 def _repeats(docs: DataFrame, window: int) -> DataFrame:
-    """(k, hashes): for each document the hashes of its windows that a smaller doc_id has too."""
+    """(k, t, hashes): for each document the hashes of its windows that a smaller doc_id has too.
+
+    ``docs`` has k (the doc_id that judges), t (a hash of the text, so that rows of one k are answered apart) and text.
+    """
 
     def extract(data, offs):
         *_, grams, a, _, _ = _anchors(data, offs, window)
@@ -43,37 +47,42 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
 
     table = docs.sparkSession.sparkContext.broadcast(sketch.build(docs, extract, sketch.bits_for(input_bytes(docs) / 75))[0])
     parts = partitions(docs)
-    names = ["part", "known", "h1", "h2", "k"]
+    names = ["part", "known", "h1", "h2", "k", "t"]
 
     def rows(found: list) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        h1, h2, k = (np.concatenate(x) for x in zip(*found, strict=True))
+        h1, h2, k, t = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
         order = np.lexsort((k, h2, h1))
-        h1, h2, k = h1[order], h2[order], k[order]
+        h1, h2, k, t = h1[order], h2[order], k[order], t[order]
         new = np.ones(len(k), dtype=bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         least = k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+        # Of each window the least k asks, once for each of its texts; the others are known to be later.
+        first = k == least
+        first[1:] &= new[1:] | (t[1:] != t[:-1])
         out = []
-        for known, at in ((0, np.flatnonzero(new)), (1, np.flatnonzero(k > least))):
-            part = (h1[at] if not known else mix(k[at].astype(np.uint64))) % U64(parts)
-            out += [(p, known, h1[at[i]].tobytes(), h2[at[i]].tobytes() if not known else b"", k[at[i]].tobytes()) for p, i in split_by(part.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=names)
+        for known, at in ((0, np.flatnonzero(first)), (1, np.flatnonzero(k > least))):
+            part = (h1[at] if not known else mix(t[at].view(np.uint64))) % U64(parts)
+            out += [(p, known, h1[at[i]].tobytes(), h2[at[i]].tobytes() if not known else b"", k[at[i]].tobytes(), t[at[i]].tobytes()) for p, i in split_by(part.astype(np.int32))]
+        types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, _, data, offs in chunks(b.column(1)):
-                _, _, firsts, wh, grams, a, lo, hi = _anchors(data, offs, window)
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, _, data, offs in chunks(b.column(2)):
+                firsts, digests, grams, a, lo, hi = _anchors(data, offs, window)
                 keep = sketch.repeated(table.value, grams[a])
                 lo, hi = lo[keep], hi[keep]
                 if not len(lo):
                     continue
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                owner = np.searchsorted(firsts, at, side="right") - 1
-                found.append((gram_hashes(wh, window)[at], gram_hashes(wh, window, "word2")[at], ids[i + owner]))
+                owner = i + np.searchsorted(firsts, at, side="right") - 1
+                found.append((*(gram_hashes(d, window)[at] for d in digests), ids[owner], texts[owner]))
                 size += len(at)
                 if size >= FLUSH:
                     yield from rows(found)
@@ -83,25 +92,26 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, known = [], []
         for b in batches:
-            for flag, *blobs in zip(*[b.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
-                h1, h2, k = np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.uint64), np.frombuffer(blobs[2], np.int64)
-                known.append((h1, k)) if flag else ask.append((h1, h2, k))
+            for flag, *blobs in zip(*[b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)], strict=True):
+                h1, h2, k, t = (np.frombuffer(x, kind) for x, kind in zip(blobs, (np.uint64, np.uint64, np.int64, np.int64), strict=True))
+                known.append((h1, k, t)) if flag else ask.append((h1, h2, k, t))
         if ask:
-            h1, h2, k = (np.concatenate(x) for x in zip(*ask, strict=True))
+            h1, h2, k, t = (np.concatenate(x) for x in zip(*ask, strict=True))
+            ask.clear()
             order = np.lexsort((k, h2, h1))
-            h1, h2, k = h1[order], h2[order], k[order]
+            h1, h2, k, t = h1[order], h2[order], k[order], t[order]
             new = np.ones(len(k), dtype=bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             later = k > k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            known.append((h1[later], k[later]))
+            known.append((h1[later], k[later], t[later]))
         if known:
-            h, k = (np.concatenate(x) for x in zip(*known, strict=True))
-            (keys,), blob = sketch.grouped([k], h)
+            h, k, t = (np.concatenate(x) for x in zip(*known, strict=True))
+            (keys, texts), blob = sketch.grouped([k, t], h)
             for i in range(0, len(keys), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 10_000]), blob[i : i + 10_000]], names=["k", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 10_000]), pa.array(texts[i : i + 10_000]), blob[i : i + 10_000]], names=["k", "t", "hashes"])
 
-    asked = docs.select("k", "text").mapInArrow(candidates, "part int, known int, h1 binary, h2 binary, k binary")
-    return asked.repartition(parts, "part").mapInArrow(resolve, "k long, hashes binary").groupBy("k").agg(F.collect_list("hashes").alias("hashes"))
+    asked = docs.select("k", "t", "text").mapInArrow(candidates, "part int, known int, h1 binary, h2 binary, k binary, t binary")
+    return asked.repartition(parts, "part").mapInArrow(resolve, "k long, t long, hashes binary").groupBy("k", "t").agg(F.collect_list("hashes").alias("hashes"))
 
 
 def dedup_windows(docs: DataFrame, window: int = 50, keep_text: bool = False) -> DataFrame:
@@ -116,8 +126,12 @@ def dedup_windows(docs: DataFrame, window: int = 50, keep_text: bool = False) ->
     A window that a third of the documents share costs one entry a task: within a task only the least
     doc_id asks, and the others are known to be later.
     """
-    d = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"))
+    d = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     found = materialize(_repeats(d, window))
+    # A text too short for a window asks for a key of its own that is never answered, so equal short texts don't pile up.
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * window - 1
+    d = d.withColumn("t", F.when(short, F.monotonically_increasing_id()).otherwise(F.col("t"))).withColumn("short", short)
+    parts = partitions(docs, 16.0)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +182,8 @@ def dedup_windows(docs: DataFrame, window: int = 50, keep_text: bool = False) ->
             cols = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * keep_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text])
 
-    joined = d.join(found, "k", "left").select("doc_id", "text", "hashes")
+    keys = ["k", "t", "short"]
+    joined = d.repartition(parts, *keys).join(found.withColumn("short", F.lit(False)).repartition(parts, *keys), keys, "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
