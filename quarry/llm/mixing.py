@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3)
     return s.select("source", "source_size", "rank", "weight", F.when(F.col("full"), F.col("room").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken; ``keep`` names further columns to carry.
 
     Documents get hash-random keys (md5 of ``seed`` and doc_id), so reruns agree. A source's
     budget is its target's whole words: full epochs over the source take every document as
@@ -52,21 +52,21 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
     its size.
 
     Nulls: a null text has size 0, a null source is a source of its own (the last), a null
-    doc_id has one key. Rows that repeat a doc_id are taken in order of size. A source of size
+    doc_id has one key. Rows that repeat a doc_id are taken in order of size, then of a hash of the text. A source of size
     0 has target 0. Empty tables give no rows. Other columns are ignored.
     """
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), *keep)
     d = materialize(d.withColumn("key", hash_key(F.lit(seed), F.col("doc_id"))))
     plan = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     plan = plan.withColumnRenamed("source", "__source")
     d = d.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "weight")
     d = materialize(d)
-    d = with_running_sum(d, "rank", "key", F.col("size"), ["doc_id", "size"], "before")
+    d = with_running_sum(d, "rank", "key", F.col("size"), ["doc_id", "size"], "hash", "before")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
     rest = budget - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
