@@ -30,52 +30,71 @@ def _lookup(values: dict[int, int]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in values.items() for x in kv]), F.col("node").cast("long"))
 
 
-def _cut(points: DataFrame, goals: dict[int, tuple[int, float]]) -> dict[int, int]:
-    """For each node (dimension, bytes to put left): the coordinate threshold that comes nearest.
+def _histogram(rows: DataFrame, shift: int, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, F.shiftright("x", shift).alias("b")).agg(F.sum("size").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
-    A radix search: every pass sums bytes by the next 12 bits under the prefix found so far, so the
+
+def _cut(points: DataFrame, goals: dict[int, tuple[int, float, float]], first: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
+    """For each node (dimension, bytes to put left, bytes that it may miss by): the coordinate threshold that comes nearest.
+
+    A radix search from the histogram of the first 12 bits: every pass sums bytes by the next 12 bits under the
+    prefix found so far, until the bucket that holds the threshold is light enough. The
     driver sees at most 4096 sums a node however large the table is.
     """
-    dim = _lookup({n: d for n, (d, _) in goals.items()})
-    p = points.withColumn("x", F.element_at(F.array(*[c for c in points.columns if re.fullmatch(r"c\d+", c)]), (dim + 1).cast("int"))).where("x is not null")
-    prefix, below, last = dict.fromkeys(goals, 0), dict.fromkeys(goals, 0), dict.fromkeys(goals, 0)
-    for shift in range(BITS - RADIX, -1, -RADIX):
-        under = p if shift == BITS - RADIX else p.where(F.shiftright("x", shift + RADIX) == _lookup(prefix))
-        sums: dict[int, list[tuple[int, int]]] = {n: [] for n in goals}
-        for r in under.groupBy("node", F.shiftright("x", shift).alias("b")).agg(F.sum("size").alias("s")).collect():
-            sums[r["node"]].append((r["b"], r["s"]))
-        for node, found in sums.items():
-            for b, s in sorted(found):
-                prefix[node], last[node] = b, s
+    prefix, below, cuts = dict.fromkeys(goals, 0), dict.fromkeys(goals, 0), {}
+    found, shift = first, BITS - RADIX
+    while True:
+        for node, sums in found.items():
+            last = 0
+            for b, s in sorted(sums):
+                prefix[node], last = b, s
                 if below[node] + s >= goals[node][1]:
                     break
                 below[node] += s
             else:
-                below[node] -= last[node]
-    return {n: v + (goals[n][1] - below[n] > last[n] / 2) for n, v in prefix.items()}
-
-
-def kd_shards(points: DataFrame, shards: int, dims: int) -> list[tuple[int, int, int, int, int]]:
-    """The splits that cut ``points`` (size and coordinates c0..) into ``shards`` leaves of near equal size."""
+                below[node] -= last
+            if shift == 0 or last <= goals[node][2]:
+                cuts[node] = (prefix[node] + (goals[node][1] - below[node] > last / 2)) << shift
+        left = {n: g for n, g in goals.items() if n not in cuts}
+        if not left:
+            return cuts
+        dim = _lookup({n: d for n, (d, _, _) in left.items()})
+        x = F.element_at(F.array(*[c for c in points.columns if re.fullmatch(r"c\d+", c)]), (dim + 1).cast("int"))
+        under = points.withColumn("x", x).where(F.shiftright("x", shift) == _lookup({n: prefix[n] for n in left}))
+        shift -= RADIX
+        found = {n: [] for n in left}
+        for r in _histogram(under, shift, "node").collect():
+            found[r["node"]].append((r["b"], r["s"]))
+
+
+def kd_shards(points: DataFrame, shards: int, dims: int, tolerance: float = 0.002) -> list[tuple[int, int, int, int, int]]:
+    """The splits that cut ``points`` (size and coordinates c0..) into ``shards`` leaves of near equal size.
+
+    A level of the tree is one pass for the histograms of all dimensions, which also show the widest, and a pass or two
+    that refine the chosen ones until a cut misses its goal by at most ``tolerance`` of a leaf, or can't come nearer.
+    """
     splits: list[tuple[int, int, int, int, int]] = []
-    open_nodes, free, leaf = {0: shards}, 1, {}
-    while open_nodes:
-        p = points.withColumn("node", _node(splits))
-        spans = [F.max(F.shiftright(f"c{d}", 24)) - F.min(F.shiftright(f"c{d}", 24)) for d in range(dims)]
-        facts = p.where(_lookup(open_nodes).isNotNull()).groupBy("node").agg(F.sum("size").alias("s"), F.array(*spans).alias("w")).collect()
-        seen = {r["node"]: r for r in facts}
-        goals = {n: (max(range(dims), key=lambda d: (seen[n]["w"][d], -d)), seen[n]["s"] * (k // 2) / k) for n, k in open_nodes.items() if n in seen and k > 1}
-        cuts = _cut(p, goals) if goals else {}
+    open_nodes, free = {0: shards}, 1
+    while open_nodes := {n: k for n, k in open_nodes.items() if k > 1}:
+        p = points.withColumn("node", _node(splits)).where(F.col("node").isin(list(open_nodes)))
+        each = p.select("node", "size", F.posexplode(F.array(*[f"c{d}" for d in range(dims)])).alias("d", "x"))
+        seen: dict[int, list[list]] = {}
+        for r in _histogram(each, BITS - RADIX, "node", "d").collect():
+            seen.setdefault(r["node"], [[] for _ in range(dims)])[r["d"]].append(r)
+        goals, first = {}, {}
+        for n, by_dim in seen.items():
+            k = open_nodes[n]
+            total = sum(r["s"] for r in by_dim[0])
+            wide = max(range(dims), key=lambda d: ((max(r["hi"] for r in by_dim[d]) >> 24) - (min(r["lo"] for r in by_dim[d]) >> 24), -d))
+            goals[n] = (wide, total * (k // 2) / k, tolerance * total / k)
+            first[n] = [(r["b"], r["s"]) for r in by_dim[wide]]
+        cuts = _cut(p, goals, first)
         following = {}
-        for n, k in open_nodes.items():
-            if n not in cuts:
-                leaf[n] = k
-                continue
+        for n, cut in cuts.items():
             left, right, free = free, free + 1, free + 2
-            splits.append((n, goals[n][0], cuts[n], left, right))
-            following |= {left: k // 2, right: k - k // 2}
-        open_nodes = {n: k for n, k in following.items() if k > 1}
-        leaf |= {n: 1 for n, k in following.items() if k == 1}
+            splits.append((n, goals[n][0], cut, left, right))
+            following |= {left: open_nodes[n] // 2, right: open_nodes[n] - open_nodes[n] // 2}
+        open_nodes = following
     return splits
 
 
@@ -110,12 +129,12 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     d = d.drop("source", "lang").join(groups, ["h", "text_crc32"])
     tie = F.when(F.col("bytes") > total / shards / WHOLE, F.shiftright("key", 36)).otherwise(F.shiftright(F.xxhash64("h"), 40).bitwiseAND(F.lit((1 << 24) - 1)))
     coords = [F.floor(F.log2("size") * ((1 << 24) // 64)), q(F.col("source")), q(F.col("lang"))]
-    points = materialize(d.select("doc_id", "size", "text_crc32", "key", *[(F.shiftleft(c.cast("long"), 24) + tie).alias(f"c{i}") for i, c in enumerate(coords)]))
+    points = materialize(d.select("doc_id", "size", "text_crc32", "key", "h", *[(F.shiftleft(c.cast("long"), 24) + tie).alias(f"c{i}") for i, c in enumerate(coords)]))
     splits = kd_shards(points, shards, len(coords))
     leaves = sorted({x for s in splits for x in s[3:]} - {s[0] for s in splits}) or [0]
     number = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(leaves) for x in (n, i)]), _node(splits))
     placed = points.withColumn("shard", number)
-    out = with_running_sum(placed, "shard", "key", F.lit(1), ["doc_id", "size", "text_crc32"], "slot")
+    out = with_running_sum(placed, "shard", "key", F.lit(1), ["doc_id", "size", "text_crc32"], "h", "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
