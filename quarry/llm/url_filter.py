@@ -3,7 +3,8 @@
 Every URL is expanded into the expressions that a rule could name: each label-aligned suffix
 of its host times each prefix of its path that has the length of some rule's path. The
 expressions equi-join the rules on 32 bits of SHA-256; a match counts only if the full
-digests agree, and of a URL's matching rules the longest wins.
+digests agree, and of a URL's matching rules the longest wins. Each distinct URL is expanded once, alone;
+only the URLs that a rule fits join the pages again, by broadcast where they are few.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rule tables up to this many bytes (counted, not estimated) are broadcast; larger ones are shuffled.
+from .runtime import materialize
+
+#: Tables of rules and of judged URLs up to this many bytes (counted, not estimated) are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
 
 RULES = [
@@ -66,12 +69,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     )
     facts = rules.agg(F.sum(F.length("__rule") + 120).alias("b"), F.collect_set("__plen").alias("l")).first()
     lengths = sorted(facts["l"])  # distinct path lengths: bounded by the longest rule path
-    d = (
-        pages.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("__url"))
-        .withColumn("__row", F.monotonically_increasing_id())
-        .withColumn("host", _host())
-        .withColumn("path", _path())
-    )
+    given = F.coalesce(F.col(f"`{url}`"), F.lit(""))
+    d = pages.select(given.alias("__url")).distinct().withColumn("host", _host()).withColumn("path", _path())
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(
@@ -79,24 +78,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         lambda n: F.struct(n.alias("n"), F.substring(F.col("path"), F.lit(1), n).alias("p")),
     )
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(p["n"].cast("string"), F.lit(":"), s, p["p"]))))
-    e = d.select("*", F.explode_outer(expressions).alias("__e")).withColumn("__d", F.sha2("__e", 256))
+    e = d.select("__url", F.explode(expressions).alias("__e")).select("__url", F.sha2("__e", 256).alias("__d"))
     e = e.withColumn("__k", F.conv(F.substring("__d", 1, 8), 16, 10).cast("long"))
     right = F.broadcast(rules) if (facts["b"] or 0) <= BROADCAST_BYTES else rules
     hit = (F.col("__k") == F.col("__short")) & (F.col("__d") == F.col("__digest"))
-    best = F.max(F.when(F.col("__rule").isNotNull(), F.struct("__len", "__hlen", "__rule", "__verdict"))).alias("__best")
-    return (
-        e.drop("__e", "__url")
-        .join(right, hit, "left")
-        .groupBy("__row")
-        .agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in names], F.first("host").alias("host"), F.first("path").alias("path"), best)
-        .select(
-            *[F.col(f"`{c}`") for c in names],
-            "host",
-            "path",
-            F.col("__best.__rule").alias("rule"),
-            F.coalesce("__best.__verdict", F.lit(default)).alias("verdict"),
-        )
-    )
+    best = F.max(F.struct("__len", "__hlen", "__rule", "__verdict")).alias("__best")
+    judged = materialize(e.join(right, hit).groupBy("__url").agg(best).select("__url", "__best.__rule", "__best.__verdict"))
+    size = judged.agg(F.sum(F.octet_length("__url") + F.octet_length("__rule") + 32)).first()[0] or 0
+    out = pages.select(*[F.col(f"`{c}`") for c in names], given.alias("__url")).withColumn("host", _host()).withColumn("path", _path())
+    out = out.join(F.broadcast(judged) if size <= BROADCAST_BYTES else judged, "__url", "left")
+    return out.select(*[F.col(f"`{c}`") for c in names], "host", "path", F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
