@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import SPACE, U64, chunks, mix, split_by, word_hashes, words
+from .runtime import map_rows, materialize
+from .text import LOWER_BYTES, SPACE, U64, chunks, mix, split_by, word_hashes, words
 
 CLASSES = (16, 8, 4)
 REPEATS, TABLES, SAMPLES = 3, 4, 4
@@ -31,16 +32,14 @@ STRIDE = 4
 PAD = 32
 #: Edit distance up to this share of an item's bytes is a leak.
 EDITS = 0.2
-LOWER_BYTES = np.arange(256, dtype=np.uint8)
-LOWER_BYTES[65:91] += 32
 #: Bytes of a gram; items below SHORT bytes are searched exactly; zero bytes that part two texts, more than any short item's edits.
 GRAM, SHORT, GAP = 8, 64, 64
 #: A candidate has one of so many of its item's distinct grams at least, two in any case.
 SPARSE = 16
 #: Pairs of equal grams that are counted at once; a single text with more is one step.
 PAIRS = 1 << 21
-#: Items that one pass over the documents looks for; a larger benchmark takes several passes.
-BLOCK = 20_000
+#: Items and bytes of their texts that one pass over the documents looks for (their index takes some 30 bytes a byte); a larger benchmark takes several passes.
+BLOCK, BLOCK_BYTES = 20_000, 2 << 20
 _RNG = np.random.default_rng(31337)
 SALTS = _RNG.integers(1, 2**63, size=REPEATS, dtype=np.uint64)
 #: Sampled steps, one of each quarter of a class's walk, and the multipliers of the table's hash.
@@ -295,15 +294,18 @@ class ItemIndex:
                 sigs, windows, log, filled = self.tables[c, r, t]
                 maybe = np.flatnonzero(filled[(sig >> U64(64 - log)).astype(np.int64)])
                 lo, hi = np.searchsorted(sigs, sig[maybe], "left"), np.searchsorted(sigs, sig[maybe], "right")
-                n = hi - lo
-                if n.any():
-                    w = windows[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                    hits.append(np.stack([np.repeat(maybe + x, n) - self.offset[w], np.repeat(np.searchsorted(firsts, maybe + x, side="right") - 1, n), self.owner[w]], axis=1))
+                some = np.flatnonzero(hi > lo)
+                for _, at in split_by(np.cumsum(hi[some] - lo[some]) // PAIRS):  # a window that many items share is counted out step by step
+                    i = some[at]
+                    n = hi[i] - lo[i]
+                    w = windows[np.repeat(lo[i] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                    place = maybe[i] + x
+                    # Alignments a few words apart see the same stretch.
+                    quarter = (np.repeat(place, n) - self.offset[w]) >> 2
+                    hits.append(np.unique(np.stack([quarter, np.repeat(np.searchsorted(firsts, place, side="right") - 1, n), self.owner[w]], axis=1), axis=0))
         if not hits:
             return
-        where = np.concatenate(hits)
-        where[:, 0] >>= 2  # alignments a few words apart see the same stretch
-        for quarter, doc, item in np.unique(where, axis=0).tolist():
+        for quarter, doc, item in np.unique(np.concatenate(hits), axis=0).tolist():
             pattern, n = self.texts[item], int(self.words[item])
             slack = n // 4 + 6
             a, b = max(int(firsts[doc]), quarter * 4 - slack), min(int(firsts[doc + 1]), quarter * 4 + n + slack + 4)
@@ -313,55 +315,67 @@ class ItemIndex:
                 found[doc, item] = d
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
-    block = []
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[ItemIndex, bool]]:
+    """(index of a block of items, whether it is the last); one block is held at a time."""
+    block, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        if block and (len(block) == BLOCK or size > BLOCK_BYTES):
+            yield ItemIndex(block), False
+            block, size = [], 0
         block.append((r["item_id"], r["text"]))
-        if len(block) == BLOCK:
-            yield ItemIndex(block)
-            block = []
+        size += len(r["text"])
     if block:
-        yield ItemIndex(block)
+        yield ItemIndex(block), True
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_bytes): items within 20 % edits of a stretch of a document.
 
-    Case of A-Z and kind of blanks don't count. The benchmark is a stated query set: blocks of it (at most
-    20,000 items are broadcast) pass over all documents, whole texts. Only items without
+    Case of A-Z and kind of blanks don't count. The benchmark is a stated query set: blocks of it (20,000
+    items or 2 MB of text are broadcast) pass over all documents, whole texts, one after the other; what a block but the last
+    finds is written, and its broadcast freed. Only items without
     words are not looked for (any text holds them); null texts on either side match nothing; a null
-    doc_id or item_id is carried along; repeated rows repeat; empty tables give no rows.
+    doc_id or item_id is carried along; repeated rows repeat; empty tables give no rows; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     schema = "doc_id long, item_id long, distance int, item_bytes int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in _blocks(benchmark):
+    for index, last in _blocks(benchmark):
+        bc = sc.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], bc=sc.broadcast(index)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0)
                 rows = [(ids[i + doc].as_py(), bc.value.ids[item], d, len(bc.value.texts[item])) for i, _, data, offs in chunks(b.column(1)) for doc, item, d in bc.value.find(data, offs)]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "distance", "item_bytes"])
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
+        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if not last:
+            found = materialize(found)
+            bc.unpersist()
+        out = out.union(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that leak any item; one pass a block of items, no shuffle."""
+    """``docs`` without the rows that leak any item; one pass a block of items, no shuffle; between blocks what is left is written."""
     sc = docs.sparkSession.sparkContext
-    at, schema = docs.columns.index("text"), docs.schema
-    for index in _blocks(benchmark):
+    at = docs.columns.index("text")
+    for index, last in _blocks(benchmark):
+        bc = sc.broadcast(index)
 
-        def keep(batches: Iterator[pa.RecordBatch], bc=sc.broadcast(index)) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)
                 for i, _, data, offs in chunks(b.column(at)):
                     clean[[i + doc for doc, _, _ in bc.value.find(data, offs)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = map_rows(docs, keep)
+        if not last:
+            docs = materialize(docs)
+            bc.unpersist()
     return docs
 
 
