@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .text import chunks
 
@@ -22,6 +24,18 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (samples.shape[1], samples.shape[0]) + np.ascontiguousarray(samples, dtype=np.uint8).tobytes()
 
 
+def encode_bmp(samples: np.ndarray) -> bytes:
+    """An 8-bit greyscale array as BMP with a grey palette; rows from the bottom, padded to four bytes."""
+    height, width = samples.shape
+    rows = np.zeros((height, (width + 3) // 4 * 4), np.uint8)
+    rows[:, :width] = samples[::-1]
+    palette = np.zeros((256, 4), np.uint8)
+    palette[:, :3] = np.arange(256)[:, None]
+    start = 14 + 40 + palette.size
+    head = struct.pack("<2sIHHI", b"BM", start + rows.size, 0, 0, start)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 2835, 2835, 256, 0) + palette.tobytes() + rows.tobytes()
+
+
 def decode_netpbm(blob: bytes) -> np.ndarray:
     """P1 to P6 as an array of height x width (x 3); bitmaps give 0 for black, 1 for white."""
     kind, at, head = blob[:2], 2, []
@@ -33,6 +47,8 @@ def decode_netpbm(blob: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     width, height, most = head[0], head[1], head[2] if len(head) > 2 else 1
+    if width < 1 or height < 1 or not 0 < most < 65536:
+        raise ValueError("empty Netpbm image")
     depth = 3 if kind in (b"P3", b"P6") else 1
     count = width * height * depth
     if kind == b"P1":
@@ -58,7 +74,7 @@ def decode_bmp(blob: bytes) -> np.ndarray:
     start, head = (int.from_bytes(blob[i : i + 4], "little") for i in (10, 14))
     width, height = (int.from_bytes(blob[i : i + 4], "little", signed=True) for i in (18, 22))
     bits, packing, colours = int.from_bytes(blob[28:30], "little"), int.from_bytes(blob[30:34], "little"), int.from_bytes(blob[46:50], "little")
-    if packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0:
+    if packing not in (0, 3) or bits not in (8, 24, 32) or width < 1 or height == 0:
         raise ValueError("unsupported BMP form")
     stride = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(blob, np.uint8, abs(height) * stride, start).reshape(abs(height), stride)[:, : width * bits // 8]
@@ -108,9 +124,10 @@ def npy_tile(image: np.ndarray, side: int = 32) -> bytes:
 
 
 def media_columns(images: DataFrame, column: str = "media", key: str = "id", side: int = 32) -> DataFrame:
-    """Decode a binary column: key, height, width, npy (the tile's file) and dhash.
+    """Decode a binary column: the key (named ``key`` if its own name is one of the others'), height, width, npy (the tile's file) and dhash.
 
-    A null, empty or undecodable image gives nulls in all but the key; repeated rows repeat.
+    A null, empty, zero-sized or undecodable image gives nulls in all but the key; repeated rows
+    repeat; empty tables give none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,38 +140,45 @@ def media_columns(images: DataFrame, column: str = "media", key: str = "id", sid
                 except (ValueError, IndexError, OverflowError):
                     rows.append((None, None, None, None))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())], names=["k", "height", "width", "npy", "dhash"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())], names=["key", "height", "width", "npy", "dhash"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, column).mapInArrow(run, f"k {kind}, height int, width int, npy binary, dhash string").withColumnRenamed("k", key)
+    fields = ("height", "width", "npy", "dhash")
+    out = images.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("media")).mapInArrow(run, f"key {kind}, height int, width int, npy binary, dhash string")
+    return out if key in fields else out.withColumnRenamed("key", key)
 
 
-def text_media(docs: DataFrame, width: int = 64) -> DataFrame:
+def text_media(docs: DataFrame, width: int = 64, side: int = 32) -> DataFrame:
     """Each whole text stored losslessly as a greyscale PGM ``width`` samples wide, read back and described.
 
     The payload is the UTF-8 bytes with zeros up to a positive multiple of ``width``. Features
-    are the difference hash and the mean of the decoded samples. Nulls: a null text is empty
+    are the difference hash and the mean of the decoded samples. ``bmp_sha256`` is the digest of the same samples as a BMP
+    file, which is read back too and must give the same payload; ``npy_sha256`` that of the area-resized tile's NPY file. Nulls: a null text is empty
     (one row of zeros), a null doc_id is kept. Rows are independent: repeated rows give equal
     values, empty tables none, other columns are ignored.
     """
-    fields = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bmp_sha256", "npy_sha256"]
+    text = ("payload_sha256", "media_sha256", "feature", "bmp_sha256", "npy_sha256")
+    fields = pa.schema([(f, pa.string() if f in text else pa.int64()) for f in names])
+    sha = lambda blob: hashlib.sha256(blob).hexdigest()
+
+    def row(data: np.ndarray) -> tuple:
+        samples = np.zeros((max(1, -(-len(data) // width)), width), np.uint8)
+        samples.reshape(-1)[: len(data)] = data
+        media, bmp = encode_pgm(samples), encode_bmp(samples)
+        back = decode_netpbm(media)
+        if not np.array_equal(decode_bmp(bmp)[:, :, 0], back):
+            raise ValueError("BMP and PGM forms differ")
+        payload = back.tobytes()
+        return len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(media), sha(media), f"{difference_hash(back)}:{back.mean():.4f}", sha(bmp), sha(npy_tile(back, side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for _, _, data, offs in chunks(b.column(1)):
-                for lo, hi in zip(offs[:-1], offs[1:], strict=True):
-                    n = int(hi - lo)
-                    samples = np.zeros((max(1, -(-n // width)), width), np.uint8)
-                    samples.reshape(-1)[:n] = data[lo:hi]
-                    media = encode_pgm(samples)
-                    back = decode_netpbm(media)
-                    payload = back.tobytes()
-                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(back)}:{back.mean():.4f}"))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string() if "sha" in f or f == "feature" else pa.int64()) for f, c in zip(fields[1:], cols, strict=True)]], names=fields)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            rows = [row(data[lo:hi]) for _, _, data, offs in chunks(b.column(1)) for lo, hi in zip(offs[:-1], offs[1:], strict=True)]
+            cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for f, c in zip(list(fields)[1:], cols, strict=True)]], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{f} {'string' if f in text else 'long'}" for f in names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
