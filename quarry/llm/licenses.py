@@ -81,6 +81,8 @@ RULES = [
     (["ref-cc-by-sa-4.0"], "CC-BY-SA-4.0"),
     (["ref-cc-by-4.0"], "CC-BY-4.0"),
 ]
+#: Characters of other text (in normal form) that may stand between two identifiers of a rule: a paragraph, such as the grant of the MIT licence.
+GAP = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,12 +111,12 @@ def _pattern(known: Sequence[str]) -> str:
     return r"(?<![^ \n])(?:" + "|".join(some) + r")(?![^ \n])"
 
 
-def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[Sequence[str], str]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[Sequence[str], str]] = RULES, gap: int = GAP) -> DataFrame:
     """One row per document: doc_id, n_sentences, sentence_ids, licenses, unmatched.
 
     ``sentence_ids`` lists the known sentences in order, joined by ``|``, wherever they stand: wrapped
     over lines, behind comment signs, inside a longer sentence, or cut by their own full stops. Rules apply in order: each
-    run of a rule's identifiers is taken out and adds its licence; ``licenses`` lists distinct
+    run of a rule's identifiers, none further than ``gap`` characters from the last, is taken out and adds its licence; ``licenses`` lists distinct
     licences in rule order, ``unmatched`` the identifiers that no rule took. Known sentences and
     rules are tables of the program (a few hundred), not data: they are literals of the plan. All in
     expressions on the row: no shuffle.
@@ -125,12 +127,14 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = SENTENCES,
     ids = {_plain(s): i for s, i in known}
     table = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     d = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    whole = F.regexp_extract_all(F.array_join("s", "\n"), F.lit(_pattern(list(ids))), F.lit(0))
+    # Normal forms hold no control characters, so these two can mark where a known sentence begins and ends.
+    d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join("s", "\n"), _pattern(list(ids)), "\x01$0\x02").alias("m"))
+    whole, after = (F.regexp_extract_all("m", F.lit(p), F.lit(1)) for p in ("\x01([^\x02]*)\x02", "\x02([^\x01]*)"))
     found = F.transform(whole, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
-    d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join(found, "|").alias("sentence_ids"))
-    # Identifiers stand as <a><b>; a rule's run is cut out and leaves <> so that its neighbours don't join.
-    left = F.when(F.col("sentence_ids") == "", "").otherwise(F.concat(F.lit("<"), F.replace("sentence_ids", F.lit("|"), F.lit("><")), F.lit(">")))
-    d = d.withColumn("u", left).withColumn("l", F.array().cast("array<string>"))
+    d = d.select("doc_id", "n_sentences", found.alias("f"), after.alias("a"))
+    # Identifiers stand as <a><b>; a long gap, and a rule's run that is cut out, leave <> so that the neighbours don't join.
+    left = F.array_join(F.zip_with("f", "a", lambda i, g: F.concat(F.lit("<"), i, F.when(F.length(g) > gap, "><>").otherwise(">"))), "")
+    d = d.select("doc_id", "n_sentences", F.array_join("f", "|").alias("sentence_ids"), left.alias("u"), F.array().cast("array<string>").alias("l"))
     hit = F.col("u") != ""
     for run, name in rules:
         pattern = "".join(f"<{i}>" for i in run)
@@ -159,9 +163,10 @@ WITH known(s, id) AS (VALUES {known}),
 d AS (SELECT doc_id, row_number() OVER () AS n, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)),
   lambda s: trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS ss FROM documents),
 p AS (SELECT n, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM d),
-k AS (SELECT n, string_agg(id, '|' ORDER BY i) AS ids FROM p JOIN known USING (s) GROUP BY n),
-u0 AS (SELECT doc_id, len(ss)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids,
-  CASE WHEN ids IS NULL THEN '' ELSE '<' || replace(ids, '|', '><') || '>' END AS u, []::VARCHAR[] AS l FROM d LEFT JOIN k USING (n)),
+o AS (SELECT n, s, i, sum(length(s) + 1) OVER (PARTITION BY n ORDER BY i) AS past FROM p),
+g AS (SELECT n, i, id, past - length(s) - lag(past) OVER (PARTITION BY n ORDER BY i) AS gap FROM o JOIN known USING (s)),
+k AS (SELECT n, string_agg(id, '|' ORDER BY i) AS ids, string_agg(CASE WHEN gap > {GAP} THEN '<>' ELSE '' END || '<' || id || '>', '' ORDER BY i) AS u FROM g GROUP BY n),
+u0 AS (SELECT doc_id, len(ss)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(u, '') AS u, []::VARCHAR[] AS l FROM d LEFT JOIN k USING (n)),
 {", ".join(parts)}
 SELECT doc_id, n_sentences, sentence_ids,
   coalesce(array_to_string(list_transform(list_sort(list_distinct(list_transform(l, lambda x: lpad(list_position(l, x)::VARCHAR, 4, '0') || x))), lambda x: substr(x, 5)), '|'), '') AS licenses,
