@@ -43,3 +43,38 @@ def test_near_duplicates_without_ids(spark):
     assert got == Counter([mine[0], (5, two), (7, three), (7, "another text of its own"), (8, "unlike all of the others"), (None, ""), (9, None)])
     again = Counter((r["doc_id"], r["text"]) for r in c.near_duplicates_stage(spark, docs.orderBy(c.F.desc("source"), "text").repartition(3), SF).collect())
     assert got == again
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, `extra.col` string, size long, hash long, __times int"
+
+
+def awkward_rows():
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    a, b = words("a", 80), words("b", 60)
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a + " tail", "en", "s", 1), (None, a, None, None, None), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "t", 0), (4, "", "en", "t", 0), (5, b, "de", "t", 1), (6, words("c", 9000), "de", "t", 1), (5, words("d", 40), "de", "t", 1)]
+    return [(*r, "x", 7, 8, 9) for r in rows]
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = spark.createDataFrame(awkward_rows(), AWKWARD).repartition(3)
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    for name, stage in c.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert set(texts(out)) <= set(texts(docs)), name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    kept = texts(c.near_duplicates_stage(spark, docs, SF))
+    assert sum(n for (i, t), n in kept.items() if t and t.startswith("a0 ")) == 1
+    assert {k for k in kept if k[1] and not k[1].startswith("a0 ")} == {k for k in texts(docs) if k[1] and not k[1].startswith("a0 ")}
+    mixed = texts(c.mixing_stage(spark, docs, SF))
+    assert all(t for _, t in mixed)  # nothing without words is taken
+    shards = c.sharding_stage(spark, docs, SF)
+    assert shards.count() == docs.count() and c.sharding_stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_mixing_takes_rows_that_agree_together(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, text, "en", "s", 1)] * 4 + [(None, text + " x", "en", "s", 1)] * 3 + [(9, "lone words here", "en", "s", 1), (9, "other words here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in c.mixing_stage(spark, docs, SF).collect())
+    assert got == Counter({(1, text): 4, (None, text + " x"): 3, (9, "lone words here"): 1, (9, "other words here"): 1})  # one source: its target is its size

@@ -161,6 +161,16 @@ def test_licenses_wrapped(spark):
     assert [got[n][1] for n in range(1000, 1006)] == ["BSD-3-Clause", "GPL-2.0-or-later", "MPL-2.0", "", "MIT", ""]
 
 
+def test_licenses_far_apart_make_no_run(spark):
+    by = {i: s for s, i in licenses.SENTENCES}
+    three = [by[i] for i in ("bsd-grant", "bsd-source", "bsd-binary")]
+    filler = "some other words of a paragraph go here "
+    texts = [(n, f"{three[0]}\n{filler * n}\n{three[1]}\n{three[2]}") for n in (0, 1, 24, 26, 90)]
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {n: bool(x) for n, (x, _) in got.items()} == {0: True, 1: True, 24: True, 26: False, 90: False}
+    assert got[90] == ("", "bsd-grant|bsd-source|bsd-binary")
+
+
 def test_text_media_round_trip(spark, documents, awkward):
     got = sorted((r for r in media.text_media(documents).collect()), key=lambda r: (repr(r["doc_id"]), r["payload_sha256"]))
     want = []
