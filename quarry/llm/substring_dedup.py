@@ -52,10 +52,10 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
     def rows(found: list) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        h1, h2, k, t = (np.concatenate(x) for x in zip(*found, strict=True))
+        h1, h2, k, t, g = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
         order = np.lexsort((k, h2, h1))
-        h1, h2, k, t = h1[order], h2[order], k[order], t[order]
+        h1, h2, k, t, g = h1[order], h2[order], k[order], t[order], g[order]
         new = np.ones(len(k), dtype=bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         least = k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
@@ -64,7 +64,8 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
         first[1:] &= new[1:] | (t[1:] != t[:-1])
         out = []
         for known, at in ((0, np.flatnonzero(first)), (1, np.flatnonzero(k > least))):
-            part = (h1[at] if not known else mix(t[at].view(np.uint64))) % U64(parts)
+            # Equal windows have equal anchors, and a document's neighbouring windows mostly one, so by anchors it asks few tasks.
+            part = (mix(g[at]) if not known else mix(t[at].view(np.uint64))) % U64(parts)
             out += [(p, known, h1[at[i]].tobytes(), h2[at[i]].tobytes() if not known else b"", k[at[i]].tobytes(), t[at[i]].tobytes()) for p, i in split_by(part.astype(np.int32))]
         types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -76,13 +77,13 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
             for i, _, data, offs in chunks(b.column(2)):
                 firsts, digests, grams, a, lo, hi = _anchors(data, offs, window)
                 keep = sketch.repeated(table.value, grams[a])
-                lo, hi = lo[keep], hi[keep]
+                a, lo, hi = a[keep], lo[keep], hi[keep]
                 if not len(lo):
                     continue
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 owner = i + np.searchsorted(firsts, at, side="right") - 1
-                found.append((*(gram_hashes(d, window)[at] for d in digests), ids[owner], texts[owner]))
+                found.append((*(gram_hashes(d, window)[at] for d in digests), ids[owner], texts[owner], np.repeat(grams[a], n)))
                 size += len(at)
                 if size >= FLUSH:
                     yield from rows(found)
