@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import runtime_segments
+from ..functions.names import HINT_EXTENSIONS, runtime_segments
 
 
 def unique_index(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -21,26 +21,6 @@ def resolve_names(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.withColumn("target", F.coalesce("local", "global", F.concat(F.lit("?:"), "name"))).drop("local", "global")
 
 
-def resolve_edges(raw: DataFrame, nodes: DataFrame, modules: DataFrame) -> DataFrame:
-    """Raw edges to ids and call sites' ends.
-
-    ``raw`` has src_file, src_name, dst_name, kind, receiver, line, col; ``modules`` file and module id. The source
-    is the file's name (last by range), else its qualified name, else its module; edges without a source go.
-    Targets: the import binding's module and name, the same file's name, the only one by name, else ``?:name``.
-    """
-    named = nodes.groupBy(F.col("file").alias("src_file"), F.col("name").alias("src_name")).agg(F.max_by("id", F.struct("range_start", "id")).alias("s1"))
-    qualified = nodes.groupBy(F.col("file").alias("src_file"), F.col("qualified_name").alias("src_name")).agg(F.max_by("id", F.struct("range_start", "id")).alias("s2"))
-    module = modules.select(F.col("file").alias("src_file"), F.col("id").alias("s3"))
-    e = raw.join(named, ["src_file", "src_name"], "left").join(qualified, ["src_file", "src_name"], "left").join(module, "src_file", "left")
-    e = e.withColumn("src", F.coalesce("s1", "s2", F.when(F.col("src_name") == F.col("src_file"), F.col("s3")))).where("src is not null").drop("s1", "s2", "s3")
-    local = nodes.groupBy(F.col("file").alias("src_file"), F.col("name").alias("dst_name")).agg(F.max_by("id", F.struct("range_start", "id")).alias("d1"))
-    single = nodes.groupBy(F.col("name").alias("dst_name")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("d2")).where("n = 1").drop("n")
-    by_module = modules.groupBy(F.col("module").alias("dst_name")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("d3")).where("n = 1").drop("n")
-    e = e.join(local, ["src_file", "dst_name"], "left").join(single, "dst_name", "left").join(by_module, "dst_name", "left")
-    target = F.when(F.col("kind") == "import", F.coalesce("d3", "d2")).otherwise(F.coalesce("d1", "d2"))
-    return e.withColumn("dst", F.coalesce(target, F.concat(F.lit("?:"), "dst_name"))).drop("d1", "d2", "d3")
-
-
 def retry_unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Dangling call edges retried by unique name; self-loops stay dangling."""
     index = unique_index(nodes, "name").select(F.concat(F.lit("?:"), "name").alias("dst"), "target")
@@ -49,27 +29,31 @@ def retry_unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.withColumn("dst", F.when(ok, F.col("target")).otherwise(F.col("dst"))).drop("target").groupBy("src", "dst", "kind").agg(F.sum("weight").alias("weight"))
 
 
-def hint_candidates(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Runtime names (raw) with the node of their last segment that their other segments point to.
+def resolve_runtime(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(raw, id): the node that a runtime name means, or null where that is not certain.
 
-    A candidate's score is the longest run of segments before the last that ends its path, then how
-    many segments its path shares. One candidate needs no hint; several need a single best with
-    some score; else null.
+    The last two segments as a qualified name, then the last three, then the last as a bare name. A key of one node is that node; of several, the
+    segments before are a hint: candidates score by the longest end of the hint that stands in their id, then by how many of
+    the id's segments the hint holds. A single best with any score wins, a tie or none leaves the name open. Endings of files are no hint.
     """
-    n = names.withColumn("segments", runtime_segments(F.col("raw")))
-    n = n.withColumn("name", F.element_at("segments", -1)).withColumn("hints", F.reverse(F.slice("segments", 1, F.greatest(F.size("segments") - 1, F.lit(0)))))
-    path = F.filter(F.split(F.regexp_replace("file", r"\.[^./]*$", ""), "/"), lambda s: s != "")
-    c = n.join(nodes.select("name", "id", path.alias("path")), "name", "left").withColumn("back", F.reverse("path"))
-    agree = F.transform(F.arrays_zip("hints", "back"), lambda z: z["hints"] == z["back"])
-    run = F.coalesce(F.array_position(F.transform(agree, lambda x: F.coalesce(x, F.lit(False))), False) - 1, F.lit(0))
-    run = F.when(F.forall(agree, lambda x: F.coalesce(x, F.lit(False))) & (F.size(agree) > 0), F.size(agree)).otherwise(F.greatest(run, F.lit(0)))
-    c = c.withColumn("run", run.cast("int")).withColumn("shared", F.size(F.array_intersect("hints", "path")))
-    w = Window.partitionBy("raw")
-    order = Window.partitionBy("raw").orderBy(F.col("run").desc_nulls_last(), F.col("shared").desc_nulls_last())
-    c = c.withColumn("n", F.count("id").over(w)).withColumn("r", F.rank().over(order))
-    best = c.where("r = 1").groupBy("raw").agg(F.count("id").alias("tied"), F.max("n").alias("n"), F.min("id").alias("id"), F.max("run").alias("run"), F.max("shared").alias("shared"))
-    ok = (F.col("n") == 1) | ((F.col("tied") == 1) & ((F.col("run") > 0) | (F.col("shared") > 0)))
-    return best.select("raw", F.when(ok, F.col("id")).alias("id"), F.col("n").alias("candidates"))
+    n = names.select("raw").distinct().withColumn("s", runtime_segments(F.col("raw")))
+    size = F.size("s")
+    level = lambda k, of: F.struct(F.lit(k).alias("level"), F.array_join(F.slice("s", F.greatest(size - of + 1, F.lit(1)), of), ".").alias("key"), F.slice("s", 1, F.greatest(size - of, F.lit(0))).alias("hint"))
+    keys = F.array(F.when(size >= 2, level(2, 2)), F.when(size >= 3, level(3, 3)), F.when(size >= 1, level(9, 1)))
+    k = n.select("raw", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("k")).select("raw", "k.level", "k.key", F.filter("k.hint", lambda h: ~h.isin(HINT_EXTENSIONS)).alias("hint"))
+    by = nodes.select(F.col("qualified_name").alias("key"), "id", F.lit(True).alias("qualified")).union(nodes.select("name", "id", F.lit(False)))
+    c = k.join(by, "key").where((F.col("level") < 9) == F.col("qualified")).withColumn("path", runtime_segments(F.col("id")))
+    lengths = F.sequence(F.lit(1), F.greatest(F.size("hint"), F.lit(1)))
+    tail = lambda n_: F.slice("hint", F.greatest(F.size("hint") - n_ + 1, F.lit(1)), n_)
+    stands = lambda n_: (n_ <= F.size("hint")) & F.exists(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), lambda i: F.slice("path", i, n_) == tail(n_))
+    run = F.coalesce(F.array_max(F.filter(lengths, stands)), F.lit(0))
+    shared = F.size(F.filter("path", lambda x: F.array_contains("hint", x)))
+    c = c.select("raw", "level", "id", run.alias("run"), shared.alias("shared"))
+    w, order = Window.partitionBy("raw", "level"), Window.partitionBy("raw", "level").orderBy(F.col("run").desc(), F.col("shared").desc())
+    c = c.withColumn("n", F.count("*").over(w)).withColumn("r", F.rank().over(order)).where("r = 1")
+    best = c.groupBy("raw", "level").agg(F.count("*").alias("tied"), F.max("n").alias("n"), F.min("id").alias("id"), F.max(F.col("run") + F.col("shared")).alias("score"))
+    best = best.where("n = 1 or (tied = 1 and score > 0)").groupBy("raw").agg(F.min_by("id", "level").alias("id"))
+    return names.select("raw").distinct().join(best, "raw", "left")
 
 
 def normal_path(path: Column) -> Column:
@@ -118,12 +102,16 @@ def resolve_aliases(imports: DataFrame, aliases: DataFrame, files: DataFrame) ->
     """
     star = F.col("pattern").contains("*")
     lead, tail = F.substring_index("pattern", "*", 1), F.when(star, F.substring_index("pattern", "*", -1)).otherwise("")
-    inside = (F.col("dir") == "") | F.col("file").startswith(F.concat("dir", F.lit("/")))
-    fits = F.when(star, F.col("specifier").startswith(lead) & F.col("specifier").endswith(tail) & (F.length("specifier") >= F.length(lead) + F.length(tail))).otherwise(F.col("specifier") == F.col("pattern"))
-    c = imports.join(aliases, inside & fits)
+    # Every directory above the file and every start of the specifier are keys, so that aliases join by equality.
+    parts = F.split("file", "/")
+    dirs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    starts = F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda i: F.substring("specifier", F.lit(1), i))
+    i = imports.select("file", "specifier").distinct().withColumn("dir", F.explode(dirs)).withColumn("lead", F.explode(starts))
+    c = i.join(aliases.withColumn("lead", lead).withColumn("tail", tail), ["dir", "lead"])
+    c = c.where(F.when(star, F.col("specifier").endswith(F.col("tail")) & (F.length("specifier") >= F.length("lead") + F.length("tail"))).otherwise(F.col("specifier") == F.col("pattern")))
     middle = F.expr("substring(specifier, length(substring_index(pattern, '*', 1)) + 1, length(specifier) - length(pattern) + 1)")
     path = F.when(star, F.replace("target", F.lit("*"), middle)).otherwise(F.col("target"))
-    c = c.select("file", "specifier", F.length("dir").alias("near"), F.length(lead).alias("long"), normal_path(F.concat_ws("/", "dir", path)).alias("base"))
+    c = c.select("file", "specifier", F.length("dir").alias("near"), F.length("lead").alias("long"), normal_path(F.concat_ws("/", "dir", path)).alias("base"))
     c = c.select("*", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("p", "path"))
     hit = c.join(files.select(F.col("file").alias("path")).distinct(), "path").groupBy("file", "specifier").agg(F.max_by("path", F.struct("near", "long", -F.col("p"))).alias("target"))
     return imports.join(hit, ["file", "specifier"], "left")

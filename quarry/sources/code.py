@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.maintain import in_file_scope
 from .scanners import FAMILY, scan_astro, scan_braces
 
-RECORD = "record string, file string, name string, qualified_name string, kind string, range_start int, range_end int, arity int, params array<string>, return_type string, visibility string, src_name string, dst_name string, edge_kind string, receiver string, receiver_chain array<string>, imported string, line int, col int, ast_hash string"
+RECORD = "record string, file string, name string, qualified_name string, kind string, range_start int, range_end int, arity int, params array<string>, return_type string, visibility string, src_name string, dst_name string, edge_kind string, receiver string, receiver_chain array<string>, imported string, local string, line int, col int, ast_hash string"
 FIELDS = [f.split(" ")[0] for f in RECORD.split(", ")]
 
 
@@ -72,12 +72,12 @@ class _Python(ast.NodeVisitor):
 
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
-            self.row("edge", src_name=self.file, dst_name=a.name, edge_kind="import", imported=a.asname or a.name.split(".")[0], line=node.lineno, col=node.col_offset + 1)
+            self.row("edge", src_name=self.file, dst_name=a.name, edge_kind="import", imported=a.asname or a.name.split(".")[0], local=a.asname or a.name.split(".")[0], line=node.lineno, col=node.col_offset + 1)
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         base = "." * node.level + (node.module or "")
         for a in node.names:
-            self.row("edge", src_name=self.file, dst_name=base, edge_kind="import", imported=a.name, line=node.lineno, col=node.col_offset + 1)
+            self.row("edge", src_name=self.file, dst_name=base, edge_kind="import", imported=a.name, local=a.asname or a.name, line=node.lineno, col=node.col_offset + 1)
 
 
 def _module(file: str, text: str) -> dict:
