@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 #: Path fragments and leading directories that mark a test file.
 TEST_PATHS = ["/test/", "/tests/", "/__tests__/", "_test.", "test_", ".test.", ".spec.", "_spec."]
 TEST_DIRS = ["test/", "tests/", "__tests__/"]
+#: Paths of test, benchmark and mock files; * is any run, letters without case.
+TEST_GLOBS = ["*.test.*", "*.spec.*", "__tests__/*", "*/__tests__/*", "*_test.*", "*_spec.rb", "test_*.py", "*/test_*.py", "tests/*", "*/tests/*", "test/*", "*/test/*"]
+BENCH_GLOBS = ["bench/*", "*/bench/*"]
+MOCK_GLOBS = ["*/mocks.*", "mocks.*", "*.mock.*", "*/mocks/*", "*/__mocks__/*"]
+#: Segments of a runtime name's hint that are file extensions.
+HINT_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts", "py", "rs", "go"]
 #: Glue words that a relaxed search drops.
 STOP_WORDS = (
     "a an the this that these those it its how what why when where which who whom whose is are was were be been being am "
@@ -79,10 +85,40 @@ def test_file(file: Column) -> Column:
     return hit
 
 
+#: The test names of each language's runners.
+TEST_NAMES = {
+    "python": r"^test_|^Test[A-Z0-9_]|^Test$",
+    "javascript": r"^test[A-Z_]|(?:Test|Spec)$",
+    "go": r"^(?:Test|Benchmark|Example|Fuzz)([A-Z0-9_]|$)",
+    "rust": r"^test_|_test",
+}
+
+
+def leaf(name: Column) -> Column:
+    return F.regexp_extract(name, r"([^.]*)$", 1)
+
+
 def test_name(name: Column) -> Column:
-    last = F.regexp_extract(name, r"([^.]*)$", 1)
-    rule = r"^test_|^Test[A-Z0-9_]|^Test$|^test[A-Z_]|(?:Test|Spec)$|^(?:Test|Benchmark|Example|Fuzz)([A-Z0-9_]|$)|_test"
-    return name.rlike(rule) | last.rlike(rule)
+    """A test by name in any language: the whole name or its last segment."""
+    rule = "|".join(TEST_NAMES.values())
+    return name.rlike(rule) | leaf(name).rlike(rule)
+
+
+def _globbed(file: Column, globs: list[str]) -> Column:
+    path, out = F.coalesce(file, F.lit("")), F.lit(False)
+    for g in globs:
+        out = out | path.ilike(g.replace("_", r"\_").replace("*", "%"))
+    return out
+
+
+def test_path(file: Column) -> Column:
+    """A test file to packs and search ranking; narrower than what a runner may select (``test_file``)."""
+    return _globbed(file, TEST_GLOBS)
+
+
+def scaffold_path(file: Column) -> Column:
+    """A test, benchmark or mock file."""
+    return _globbed(file, TEST_GLOBS + BENCH_GLOBS + MOCK_GLOBS)
 
 
 def is_test(file: Column, name: Column) -> Column:
@@ -102,9 +138,42 @@ def language(file: Column) -> Column:
 
 
 def runner(file: Column) -> Column:
-    ext, base = extension(file), F.regexp_extract(file, r"([^/]*)$", 1)
+    """The test runner of a file by its extension; jest only where the path says so."""
+    ext = extension(file)
     js = ext.isin("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
-    return F.when(ext == "py", "pytest").when(js, F.when(base.rlike(r"\.(test|spec)\."), "vitest").otherwise("jest")).when(ext == "go", "go").when(ext == "rs", "cargo").otherwise("unknown")
+    jest = F.replace(file, F.lit("\\"), F.lit("/")).contains("jest")
+    return F.when(ext == "py", "pytest").when(js, F.when(jest, "jest").otherwise("vitest")).when(ext == "go", "go").when(ext == "rs", "cargo").otherwise("unknown")
+
+
+def _pytest_file(file: Column) -> Column:
+    return F.regexp_extract(file, r"([^/]*)$", 1).rlike(r"^test_.*\.py$|_test\.py$")
+
+
+def collectable(file: Column, name: Column, id_: Column) -> Column:
+    """Whether pytest would collect the entity by a node id of its own.
+
+    The file is a test module, nothing is nested in a function, a qualifier is a class named Test*, and the last segment is test* or Test*.
+    """
+    tail = F.regexp_extract(id_, r"([^/]*)$", 1)
+    nested = name.contains(".<locals>.") | id_.contains(".<locals>.")
+    owner = lambda q: F.regexp_extract(q, r"([^.]*)\.[^.]*$", 1)
+    qualified = lambda q: q.rlike(r"^.+\.")
+    helper = (qualified(name) & ~owner(name).rlike("^Test")) | (qualified(tail) & ~owner(tail).rlike("^Test"))
+    qual = F.when(name.contains("."), name).when(tail.contains("."), tail).otherwise(name)
+    bare = (leaf(name) == "test") | (leaf(tail) == "test")
+    return (file.isNull() | _pytest_file(file)) & ~nested & ~bare & ~helper & leaf(qual).rlike("^[tT]est")
+
+
+def runnable(file: Column, name: Column, id_: Column, kind: Column) -> Column:
+    """The handle by which a test's runner selects it: a pytest node id, a Go file::Test, else the file; null if it can't run alone."""
+    r = runner(file)
+    tail = F.regexp_extract(id_, r"([^/]*)$", 1)
+    qual = F.when(name.contains("."), name).when(tail.contains("."), tail).otherwise(name)
+    cls = F.regexp_extract(qual, r"([^.]*)\.[^.]*$", 1)
+    node = F.when(cls.rlike("^[A-Z]"), F.concat(file, F.lit("::"), cls, F.lit("::"), leaf(qual))).otherwise(F.concat(file, F.lit("::"), name))
+    pytest = F.when(kind == "module", F.when(_pytest_file(file), file)).when(collectable(file, name, id_), node)
+    go = F.when((kind != "module") & leaf(name).rlike(TEST_NAMES["go"]), F.concat(file, F.lit("::"), leaf(name))).otherwise(file)
+    return F.when(file.isNull(), None).when(r == "pytest", pytest).when(r == "go", go).otherwise(file)
 
 
 def runtime_segments(name: Column, depth: int = 4) -> Column:
@@ -115,13 +184,19 @@ def runtime_segments(name: Column, depth: int = 4) -> Column:
     return F.filter(F.split(plain, r"::|[.:/]"), lambda s: s != "")
 
 
-def fnv1a(text: Column, offset: int = 0x811C9DC5) -> Column:
-    """32-bit FNV-1a of the UTF-8 bytes, as 8 hex digits."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    codes = F.when(F.octet_length(text) > 0, codes).otherwise(F.array().cast("array<bigint>"))
-    step = F.aggregate(codes, F.lit(offset).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.lpad(F.lower(F.hex(step)), 8, "0")
+def fnv1a(text: Column, offset: int = 0x811C9DC5, prime: int = 0x01000193) -> Column:
+    """32-bit FNV-1a over the text's UTF-16 units, as 8 hex digits; the product is taken in halves, so 64 bits hold it."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    n = (F.length(digits) / 4).cast("int")
+    units = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(digits, i * 4 - 3, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    mask = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, c: Column) -> Column:
+        x = h.bitwiseXOR(c)
+        high = F.shiftleft((x * F.lit(prime >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+        return (high + x * F.lit(prime & 0xFFFF)).bitwiseAND(mask)
+
+    return F.lpad(F.lower(F.hex(F.aggregate(units, F.lit(offset).cast("long"), step))), 8, "0")
 
 
 def entity_id(file: Column, qualified: Column, is_method: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialize
+
 
 def is_call(kind: Column) -> Column:
     return (kind == "call") | kind.endswith("_call")
@@ -87,3 +89,17 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
     n = new.select(F.col(key).alias("k"), F.col(digest).alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") != F.col("b"), "modified")
     return o.join(n, "k", "full_outer").select(F.col("k").alias(key), change.alias("change")).where("change is not null")
+
+
+def positions(rows: DataFrame, order: list, out: str = "position") -> DataFrame:
+    """Number all rows from 1 in ``order`` (a total order) without gathering them: ranges are sorted apart, and their sizes summed.
+
+    The window over sizes has one row a range. Ranges and rows are written once, so their numbers stay as they are.
+    """
+    s = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    s = materialize(s.select("*", F.spark_partition_id().alias("__part"), at.alias("__at")))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = s.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    numbered = s.join(F.broadcast(before), "__part")  # one row a partition
+    return numbered.withColumn(out, (F.col("__before") + F.col("__at") + 1).cast("int")).drop("__part", "__at", "__before")
