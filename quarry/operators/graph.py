@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import materialize
@@ -95,7 +95,8 @@ def in_scope(column: str, scope: str):
 
 
 def scoped_edges(edges: DataFrame, scope: str) -> DataFrame:
-    return edges.where(in_scope("src", scope) | F.lit(False)).where(in_scope("dst", scope))
+    """Edges with both ends inside the scope."""
+    return edges.where(in_scope("src", scope) & in_scope("dst", scope))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -133,8 +134,43 @@ def hub_nodes(edges: DataFrame, least: int) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree")).where(F.col("in_degree") >= least)
 
 
-def level_of_detail(degree: DataFrame) -> DataFrame:
-    """Tier 0 to 2 of each node by its rank by degree."""
-    w = Window.orderBy(F.col("degree").desc(), "id")
-    r = F.percent_rank().over(w)
-    return degree.withColumn("tier", F.when(r < 0.1, 0).when(r < 0.5, 1).otherwise(2))
+#: The zoom from which all nodes show labels, and the most raw nodes drawn without clusters.
+ZOOM_LABELS, MOST_RAW = 1.5, 2000
+
+
+def level_of_detail(nodes: DataFrame, zoom: float, active: list[str]) -> DataFrame:
+    """Tier of each node: 2 where it is hovered, focused or selected, 1 for all from a zoom on, else 0."""
+    return nodes.withColumn("tier", F.when(F.col("id").isin(active), 2).when(F.lit(zoom >= ZOOM_LABELS), 1).otherwise(0))
+
+
+def degraded(total_raw: int, level: str) -> bool:
+    """Whether a view is answered by a prompt in place of a drawing."""
+    return level == "function" and total_raw > MOST_RAW
+
+
+def visible(nodes: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Nodes inside a rectangle, its edges included."""
+    return nodes.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+
+
+def neighborhood(static: DataFrame, trace: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 1, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) within ``depth`` of each root over static and traced edges; ends that no node names are of kind unknown.
+
+    With ``scope`` only ids inside it stay, and edges with both ends there.
+    """
+    near = materialize(neighbors(static.select("src", "dst").union(trace.select("src", "dst")), roots, depth))
+    if scope is not None:
+        near = near.where(in_scope("id", scope))
+    named = near.join(nodes.select("id", "name", "kind"), "id", "left").select("root", "id", "depth", F.coalesce("name", "id").alias("name"), F.coalesce("kind", F.lit("unknown")).alias("kind"))
+    e = neighbor_edges(static, trace)
+    ends = near.select("root", "id")
+    e = e.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["root", "dst"]).select("root", "src", "dst", "kind", "weight")
+    return named, e
+
+
+def clustered(named: DataFrame, edges: DataFrame, files: DataFrame, threshold: int = 500) -> tuple[str, DataFrame, DataFrame]:
+    """(level, nodes, edges) of one neighbourhood: its functions, or beyond ``threshold`` nodes its modules."""
+    if named.limit(threshold + 1).count() <= threshold:
+        return "function", named, edges
+    counts, between = cluster_modules(named.select("id").distinct().join(files.select("id", "file"), "id"), edges)
+    return "module", counts, between

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import STOP_WORDS, expand_terms, sanitize_terms
+from ..functions.names import STOP_WORDS, expand_terms, sanitize_terms, scaffold_path
 
 
 def search_path(file: Column, id_: Column) -> Column:
@@ -106,9 +106,78 @@ def live(created: Column, ttl: Column, now_ms: int) -> Column:
     return ttl.isNull() | (created + ttl * 1000 >= now_ms)
 
 
-def task_symbols(hits: DataFrame, nodes: DataFrame, cap: int = 3) -> DataFrame:
-    pool = hits.orderBy("score", "id").limit(max(5 * cap, 20))
-    return pool.join(nodes.select("id", "kind"), "id").where("kind <> 'module'").orderBy("score", "id").limit(cap).drop("kind")
+#: The weight of each searched column.
+FIELD_WEIGHTS = {"name": 1.0, "qualified_name": 1.0, "summary": 1.0, "path": 0.35}
+
+
+def _phrases(text: str, term: str) -> Column:
+    """How often a term stands in a column, overlaps included, without case; terms below three letters never do."""
+    return F.regexp_count(text, F.lit(f"(?=\\Q{term.lower()}\\E)")) if len(term) >= 3 else F.lit(0)
+
+
+def field_scores(rows: DataFrame, key: str, weights: dict[str, float], terms: list[str], hit: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the rows that ``hit``, lower is better: BM25 over trigram columns, each with its weight.
+
+    A row's length is its trigrams. Rows, lengths and rows that hold a term are counted over all rows in the same pass.
+    """
+    texts = rows.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in weights])
+    length = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in weights), F.lit(0))
+    d = texts.select(key, length.alias("__l"), hit.alias("__hit"), *[F.struct(*[_phrases(c, t).alias(c) for c in weights]).alias(f"t{i}") for i, t in enumerate(terms)])
+    any_of = lambda i: sum((F.col(f"t{i}.{c}") for c in weights), F.lit(0)) > 0
+    facts = d.agg(F.count("*").alias("n"), F.avg("__l").alias("mean"), *[F.count(F.when(any_of(i), 1)).alias(f"d{i}") for i in range(len(terms))])
+    d = d.where("__hit").crossJoin(F.broadcast(facts))  # one row
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf = sum((F.col(f"t{i}.{c}") * w for c, w in weights.items()), F.lit(0.0))
+        idf = F.ln((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+        score = score - idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__l") / F.col("mean")))
+    return d.select(key, F.round(score, 6).alias("score"))
+
+
+def ranked_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, path: str | None = None, semantic: list[str] | None = None) -> DataFrame:
+    """The best nodes (id, score, degree, final) for a query: precise, and relaxed if nothing matches precisely.
+
+    ``nodes`` has id, name, qualified_name, summary, file. ``semantic`` terms (a model's, at most eight) add matches and never take any away.
+    """
+    n = nodes.withColumn("path", search_path(F.col("file"), F.col("id")))
+    text = F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in FIELD_WEIGHTS])
+    more = [t for t in (semantic or [])[:8] if len(t) >= 3]
+
+    def attempt(relaxed: bool) -> DataFrame:
+        groups = query_groups(query, relaxed)
+        hit = matches(text, groups, relaxed)
+        for t in more:
+            hit = hit | F.lower(text).contains(t.lower())
+        scores = field_scores(n, "id", FIELD_WEIGHTS, [t for g in groups for t in g] + more, hit)
+        found = scores.join(n.select("id", "file"), "id")
+        return found if path is None else found.where(under_path(F.col("file"), path))
+
+    hits = attempt(False)
+    if hits.isEmpty() and query_groups(query, True):
+        hits = attempt(True)
+    return rerank(hits, edges, scaffold_path(F.col("file")), limit)
+
+
+def task_symbols(nodes: DataFrame, edges: DataFrame, task: str, cap: int = 3) -> DataFrame:
+    """The first ``cap`` symbols for a task's text: the search's best, modules left out."""
+    pool = ranked_search(nodes, edges, task, max(5 * cap, 20))
+    return pool.join(nodes.select("id", "kind"), "id").where("kind <> 'module'").orderBy("final", "score", "id").limit(cap).select("id", "score", "final")
+
+
+def resolve_node(nodes: DataFrame, edges: DataFrame, asked: str, fuzzy_paths: bool = False) -> DataFrame:
+    """(asked, id, exact): the node of that id, else the search's best. An id with a slash is not guessed unless ``fuzzy_paths``."""
+    exact = nodes.where(F.col("id") == asked).select(F.lit(asked).alias("asked"), "id", F.lit(True).alias("exact"))
+    if ("/" in asked and not fuzzy_paths) or not exact.isEmpty():
+        return exact
+    return ranked_search(nodes, edges, asked, 1).select(F.lit(asked).alias("asked"), "id", F.lit(False).alias("exact"))
+
+
+def search_notes(notes: DataFrame, query: str, now_ms: int, limit: int = 100) -> DataFrame:
+    """Live notes that recall a query, newest first: precise, else relaxed; a query without terms is looked for as it stands."""
+    n = notes.where(live(F.col("created"), F.col("ttl"), now_ms))
+    hit = search(n, F.col("note"), query) if query_groups(query) else n.where(F.lower("note").contains(query.lower()))
+    return hit.orderBy(F.col("created").desc(), "id").limit(max(0, limit))
 
 
 def navigation_metrics(results: DataFrame) -> DataFrame:
