@@ -36,22 +36,59 @@ def scope_neighbors(claims: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def suggested_scope(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    own = claims.select("id", F.explode("scope").alias("entity"))
-    return own.union(scope_neighbors(claims, edges)).distinct()
+    """(id, entity, claimed): a claim's scope and, as suggestions, what is one edge away."""
+    own = claims.select("id", F.explode("scope").alias("entity")).distinct().withColumn("claimed", F.lit(True))
+    return own.union(scope_neighbors(claims, edges).withColumn("claimed", F.lit(False)))
 
 
-def adjacent(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, direct, shared_neighbors): claims of different agents with an edge between their scopes or a common neighbour."""
-    agents = claims.select("id", "agent")
-    e = claims.select("id", F.explode("scope").alias("entity"))
-    near = scope_neighbors(claims, edges)
-    direct = near.join(e.select(F.col("id").alias("other"), F.col("entity").alias("neighbor")), "neighbor").where("id <> other")
-    direct = direct.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().withColumn("direct", F.lit(1))
-    x, y = near.select(F.col("id").alias("a"), "neighbor"), near.select(F.col("id").alias("b"), "neighbor")
-    common = x.join(y, "neighbor").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    out = direct.join(common, ["a", "b"], "full_outer")
-    out = out.join(agents.select(F.col("id").alias("a"), F.col("agent").alias("x")), "a").join(agents.select(F.col("id").alias("b"), F.col("agent").alias("y")), "b").where("x <> y")
-    return out.select("a", "b", (F.coalesce("direct", F.lit(0)) == 1).alias("direct"), F.coalesce("common", F.lit(0)).cast("long").alias("shared_neighbors"))
+def module_prefix(entity: Column) -> Column:
+    """What precedes the last slash of an id; null without one."""
+    m = F.regexp_extract(entity, r"^(.+)/[^/]*$", 1)
+    return F.when(m != "", m)
+
+
+def first_conflicts(claims: DataFrame) -> DataFrame:
+    """(id, other, entity): for each claim the first by id of another agent, before it, that holds an entity of its scope.
+
+    Of each entity only its first claim and the first of another agent than that one's are kept, so a crowded entity costs no pairs.
+    """
+    e = claims.select("id", "agent", F.explode("scope").alias("entity"))
+    first = e.groupBy("entity").agg(F.min(F.struct("id", "agent")).alias("f"))
+    j = e.join(first, "entity")
+    second = j.where(F.col("agent") != F.col("f.agent")).groupBy("entity").agg(F.min("id").alias("s"))
+    j = j.join(second, "entity", "left").withColumn("other", F.when(F.col("agent") != F.col("f.agent"), F.col("f.id")).otherwise(F.col("s")))
+    return j.where("other < id").groupBy("id").agg(F.min(F.struct("other", "entity")).alias("m")).select("id", "m.other", "m.entity")
+
+
+def adjacent(incoming: DataFrame, active: DataFrame, edges: DataFrame, gate: str = "module+edge") -> DataFrame:
+    """(a, b, direct, shared_neighbors, same_module): for each incoming claim a the active claims b that the gate lets an oracle look at.
+
+    ``edge``: an edge joins their scopes. ``graph``: or a common neighbour. ``module+edge``: an edge, or entities of one module. Claims of
+    one agent don't meet. The incoming claims are a query set: pairs grow with it, not with the square of the board.
+    """
+    keep = lambda c, side: c.select(F.col("id").alias(side), F.col("agent").alias(f"{side}_agent"), F.explode("scope").alias("entity"))
+    x, y = keep(incoming, "a"), keep(active, "b")
+    both = edges.select(F.col("src").alias("entity"), F.col("dst").alias("neighbor")).union(edges.select("dst", "src")).distinct()
+    met = lambda j: j.where("a <> b and a_agent <> b_agent")
+    direct = met(x.join(both, "entity").select("a", "a_agent", F.col("neighbor").alias("entity")).distinct().join(y, "entity")).select("a", "b").distinct().withColumn("direct", F.lit(1))
+    near = lambda c: scope_neighbors(c, edges).join(c.select("id", "agent"), "id")
+    parts = [direct.select("a", "b", "direct", F.lit(0).cast("long").alias("common"), F.lit(0).alias("module"))]
+    shared = met(near(incoming).select(F.col("id").alias("a"), F.col("agent").alias("a_agent"), "neighbor").join(near(active).select(F.col("id").alias("b"), F.col("agent").alias("b_agent"), "neighbor"), "neighbor"))
+    parts.append(shared.groupBy("a", "b").agg(F.count("*").alias("common")).select("a", "b", F.lit(0).alias("direct"), "common", F.lit(0).alias("module")))
+    if gate == "module+edge":
+        mod = lambda c, side: c.select(side, f"{side}_agent", module_prefix(F.col("entity")).alias("m")).where("m is not null").distinct()
+        parts.append(met(mod(x, "a").join(mod(y, "b"), "m")).select("a", "b").distinct().select("a", "b", F.lit(0).alias("direct"), F.lit(0).cast("long").alias("common"), F.lit(1).alias("module")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.groupBy("a", "b").agg((F.max("direct") == 1).alias("direct"), F.max("common").alias("shared_neighbors"), (F.max("module") == 1).alias("same_module"))
+    wanted = {"edge": F.col("direct"), "graph": F.col("direct") | (F.col("shared_neighbors") > 0), "module+edge": F.col("direct") | F.col("same_module")}
+    return out.where(wanted[gate])
+
+
+def edge_verdicts(pairs: DataFrame) -> DataFrame:
+    """An edge between the scopes is a conflict at 0.7; without one there is none."""
+    return pairs.select("a", "b", F.col("direct").alias("conflict"), F.when(F.col("direct"), 0.7).otherwise(0.0).alias("confidence"))
 
 
 def tokens(text: Column) -> Column:
@@ -88,21 +125,114 @@ def signature_changed(a: Column, b: Column) -> Column:
     return (a["arity"] != b["arity"]) | (a["params"] != b["params"]) | ~a["return_type"].eqNullSafe(b["return_type"]) | public
 
 
-def contract_verdicts(pairs: DataFrame, claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """The strongest of: same target 1.0; a contract edit on a dependency 0.85; two contract edits in one module 0.6; else no (0.7)."""
-    c = claims.select("id", "scope", intent_class(F.col("intent")).alias("edit"))
-    own = c.select("id", "edit", F.explode("scope").alias("entity"))
+def contract_edit(intent: Column, visibility: Column, callable_: Column) -> Column:
+    """Whether an edit changes a contract: an intent on one, or an ambiguous intent on a callable, unless the entity is known to be private."""
+    edit, public = intent_class(intent), F.coalesce(visibility, F.lit("unknown")) != "private"
+    return F.when(edit == "internal", False).when(edit == "contract", public).otherwise(public & F.coalesce(callable_, F.lit(True)))
+
+
+def contract_verdicts(pairs: DataFrame, claims: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(a, b, conflict, confidence): the strongest of: same entity 1.0; a contract edit on a dependency 0.85; two contract edits in one module 0.6.
+
+    Else no conflict at 0.7. ``entities`` has id, visibility and callable; ids that it lacks are skipped, and a pair of which one side has no
+    entity left is abstained from at 0. A dependency is an edge of either direction.
+    """
+    own = claims.select(F.col("id").alias("claim"), "intent", F.explode("scope").alias("id")).join(entities.select("id", "visibility", "callable"), "id")
+    own = own.select("claim", F.col("id").alias("entity"), contract_edit(F.col("intent"), F.col("visibility"), F.col("callable")).alias("edit"))
     dep = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
     dep = dep.union(dep.select("y", "x")).distinct()
-    p = pairs.select("a", "b")
-    a, b = own.select(F.col("id").alias("a"), F.col("edit").alias("ea"), F.col("entity").alias("x")), own.select(F.col("id").alias("b"), F.col("edit").alias("eb"), F.col("entity").alias("y"))
-    module = lambda e: F.substring_index(e, "/", 1)
+    p = pairs.select("a", "b").distinct()
+    a = own.select(F.col("claim").alias("a"), F.col("edit").alias("ea"), F.col("entity").alias("x"))
+    b = own.select(F.col("claim").alias("b"), F.col("edit").alias("eb"), F.col("entity").alias("y"))
     same = p.join(a, "a").join(b.withColumnRenamed("y", "x"), ["b", "x"]).select("a", "b", F.lit(1.0).alias("c"))
-    linked = p.join(a, "a").join(dep, "x").join(b, ["b", "y"]).where("ea = 'contract' or eb = 'contract'").select("a", "b", F.lit(0.85).alias("c"))
-    near = p.join(a.where("ea = 'contract'").select("a", module(F.col("x")).alias("m")).distinct(), "a").join(b.where("eb = 'contract'").select("b", module(F.col("y")).alias("m")).distinct(), ["b", "m"]).select("a", "b", F.lit(0.6).alias("c"))
+    linked = p.join(a, "a").join(dep, "x").join(b, ["b", "y"]).where("ea or eb").select("a", "b", F.lit(0.85).alias("c"))
+    edits = lambda side, c, e, to: side.where(e).select(c, module_prefix(F.col(to)).alias("m")).where("m is not null").distinct()
+    near = p.join(edits(a, "a", "ea", "x"), "a").join(edits(b, "b", "eb", "y"), ["b", "m"]).select("a", "b", F.lit(0.6).alias("c"))
     best = same.union(linked).union(near).groupBy("a", "b").agg(F.max("c").alias("c"))
-    return p.join(best, ["a", "b"], "left").select("a", "b", F.col("c").isNotNull().alias("conflict"), F.coalesce("c", F.lit(0.7)).alias("confidence"))
-
-
-def first_conflict(pairs: DataFrame) -> DataFrame:
-    return first_by(pairs, ["b"], [F.col("a")])
+    known = own.select("claim").distinct()
+    p = p.join(known.select(F.col("claim").alias("a"), F.lit(True).alias("ka")), "a", "left").join(known.select(F.col("claim").alias("b"), F.lit(True).alias("kb")), "b", "left")
+    silent = F.col("ka").isNull() | F.col("kb").isNull()
+    confidence = F.when(silent, 0.0).otherwise(F.coalesce("c", F.lit(0.7)))
+    return p.join(best, ["a", "b"], "left").select("a", "b", F.col("c").isNotNull().alias("conflict"), confidence.alias("confidence"))
+
+
+def register_claims(incoming: DataFrame, active: DataFrame, verdicts: DataFrame, now_ms: int) -> DataFrame:
+    """(id, status, reason, other, expires) of each incoming claim against the board.
+
+    200: its agent holds that id already. 409: another agent does, or an active claim's scope shares an entity (the first by id). 202: an oracle
+    sees a conflict with an adjacent claim and the claim isn't forced. 201: registered, until now and its seconds to live. ``incoming`` has
+    id, agent, scope, force, ttl_seconds; ``active`` id, agent, scope; ``verdicts`` a (incoming), b, conflict.
+    """
+    held = active.select("id", F.col("agent").alias("holder"))
+    x = incoming.select("id", F.explode("scope").alias("entity"))
+    y = active.select(F.col("id").alias("other"), F.explode("scope").alias("entity"))
+    overlap = x.join(y.groupBy("entity").agg(F.min("other").alias("other")), "entity").groupBy("id").agg(F.min("other").alias("overlap"))
+    soft = verdicts.where("conflict").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("adjacent"))
+    j = incoming.join(held, "id", "left").join(overlap, "id", "left").join(soft, "id", "left")
+    mine, theirs = F.col("holder") == F.col("agent"), F.col("holder").isNotNull()
+    blocked = F.col("adjacent").isNotNull() & ~F.coalesce("force", F.lit(False))
+    pick = lambda a, b, c, d, e: F.when(mine, a).when(theirs, b).when(F.col("overlap").isNotNull(), c).when(blocked, d).otherwise(e)
+    reason = pick(F.lit("held"), F.lit("id of another agent"), F.lit("scope overlaps"), F.lit("potential conflict"), F.lit("registered"))
+    status = pick(*[F.lit(x) for x in (200, 409, 409, 202, 201)])
+    other = pick(F.lit(None), F.col("id"), F.col("overlap"), F.col("adjacent"), F.lit(None))
+    expires = F.when(status == 201, F.lit(now_ms) + F.col("ttl_seconds") * 1000)
+    return j.select("id", status.alias("status"), reason.alias("reason"), other.cast(incoming.schema["id"].dataType).alias("other"), expires.cast("long").alias("expires"))
+
+
+def claim_board(active: DataFrame, now_ms: int) -> DataFrame:
+    """Claims with their state: active until their time to live (ms) has passed."""
+    return active.withColumn("status", F.when(F.col("expires") > now_ms, "active").otherwise("expired"))
+
+
+def list_claims(claims: DataFrame) -> DataFrame:
+    return claims.orderBy(F.col("created").desc(), "id")
+
+
+def verify_merge(files: DataFrame, records: DataFrame, checks: DataFrame, exit_code: int = 0) -> DataFrame:
+    """(file, phase, language, reason): what keeps a merge out. Syntax first; files that pass are type-checked by language.
+
+    ``records`` are the parser's (type, file, message): a warning or fatal record fails its file, a fatal one without a file, or a parser that
+    failed, all. ``checks`` has language, configured, ok, reason; a language without a configured checker passes.
+    """
+    from ..functions.names import language
+
+    f = files.where("file <> ''").select("file").distinct().withColumn("language", language(F.col("file")))
+    bad = records.where(F.col("type").isin("warn", "fatal"))
+    own = bad.where("file is not null").groupBy("file").agg(F.min(F.coalesce("message", F.concat(F.lit("parser "), "type"))).alias("reason"))
+    whole = bad.where("file is null and type = 'fatal'").agg(F.min(F.coalesce("message", F.lit("parser fatal"))).alias("all"))
+    exited = F.lit(f"parser exited {exit_code}") if exit_code else F.lit(None).cast("string")
+    s = f.join(own, "file", "left").crossJoin(F.broadcast(whole))  # one row
+    s = s.withColumn("why", F.coalesce("reason", "all", exited))
+    syntax = s.where("why is not null").select("file", F.lit("syntax").alias("phase"), F.coalesce("language", F.lit("unknown")).alias("language"), F.col("why").alias("reason"))
+    c = checks.where("configured and not ok").select("language", F.coalesce("reason", F.concat("language", F.lit(" typecheck failed"))).alias("failed"))
+    types = s.where("why is null").drop("reason").join(c, "language").select("file", F.lit("type").alias("phase"), "language", F.col("failed").alias("reason"))
+    return syntax.union(types)
+
+
+def draw(seed: str, *parts: Column) -> Column:
+    """A number in [0, 1) from an md5 of the seed and the parts; the same in any SQL engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def conflict_workload(pairs: DataFrame, edges: DataFrame, seed: str, contract_share: float = 0.4, type_share: float = 0.75, shared_share: float = 0.12) -> DataFrame:
+    """Pairs of work (n, x, y: entities) with what really conflicts, and which layer sees it: (n, x, y, x_edit, y_edit, class, manifest, layer).
+
+    The same entity: overlap, seen by the claims. An edge onto an entity whose contract is edited: caller-callee, mostly a type error. One module
+    without an edge: rarely shared-module, seen by no static check. Layers: A claims, B verification, C oracles where the pair is adjacent.
+    """
+    n = F.col("n")
+    edit = lambda side: F.when(draw(seed, n, F.lit(side)) < contract_share, "contract").otherwise("internal")
+    e = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
+    p = pairs.select("n", "x", "y", edit("x").alias("x_edit"), edit("y").alias("y_edit"))
+    p = p.join(e.withColumn("xy", F.lit(True)), ["x", "y"], "left").join(e.select(F.col("y").alias("x"), F.col("x").alias("y"), F.lit(True).alias("yx")), ["x", "y"], "left")
+    xy, yx = F.coalesce("xy", F.lit(False)), F.coalesce("yx", F.lit(False))
+    calls = (xy & (F.col("y_edit") == "contract")) | (yx & (F.col("x_edit") == "contract"))
+    module = module_prefix(F.col("x")).eqNullSafe(module_prefix(F.col("y"))) & module_prefix(F.col("x")).isNotNull()
+    shared = module & (draw(seed, n, F.lit("shared")) < shared_share)
+    cls = F.when(F.col("x") == F.col("y"), "overlap").when(calls, "caller-callee").when(shared, "shared-module").otherwise("none")
+    manifest = F.when(F.col("class") == "overlap", "syntax").when(F.col("class") == "caller-callee", F.when(draw(seed, n, F.lit("type")) < type_share, "type").otherwise("semantic")).when(F.col("class") == "shared-module", "semantic").otherwise("n/a")
+    adjacent_ = xy | yx | module
+    layer = F.when(F.col("x") == F.col("y"), "A").when(F.col("manifest") == "type", "B").when((F.col("class") != "none") & F.col("adjacent"), "C").when(F.col("class") == "none", "none").otherwise("escaped")
+    p = p.withColumn("class", cls).withColumn("adjacent", adjacent_).withColumn("manifest", manifest)
+    return p.select("n", "x", "y", "x_edit", "y_edit", "class", "manifest", layer.alias("layer"))

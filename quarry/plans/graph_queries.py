@@ -6,18 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, relational, resolve, select_tests
 from ..sources import derived as d
+from . import registry
 
-QUERIES, SQL = {}, {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, register = registry.new()
 
 
 def roots(spark, *ids: str):
@@ -109,10 +100,10 @@ def neighbors_khop(spark, sf):
 
 @register(
     "neighbor_edges",
-    f"WITH {d.EDGES}, {d.TRACE}, b AS (SELECT src, dst, kind, weight, 0 AS p FROM edges WHERE dst LIKE 'supplier/%' UNION ALL SELECT src, dst, 'trace_call', weight, 1 FROM trace) SELECT src, dst, kind, weight FROM b QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY p, kind) = 1",
+    f"WITH {d.EDGES}, {d.TRACE}, b AS (SELECT src, dst, kind, weight, 0 AS p FROM edges UNION ALL SELECT src, dst, 'trace_call', weight, 1 FROM trace) SELECT src, dst, kind, weight FROM b QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY p, kind) = 1",
 )
 def neighbor_edges(spark, sf):
-    return graph.neighbor_edges(d.edges(spark, sf).where(F.col("dst").startswith("supplier/")), d.trace_edges(spark, sf))
+    return graph.neighbor_edges(d.edges(spark, sf), d.trace_edges(spark, sf))
 
 
 @register("cluster_modules", f"WITH {d.NODES} SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS module, count(*) AS n FROM nodes GROUP BY 1")
@@ -162,32 +153,39 @@ def name_unique_resolution(spark, sf):
     return resolve.resolve_names(raw, n)
 
 
+_RUNTIME = """rn AS (SELECT DISTINCT regexp_replace(file, '\\.py$', '') || '/' || CASE WHEN kind = 'method' THEN 'Cat.' ELSE '' END || 'e' || (key % 400) AS id, 'e' || (key % 400) AS name, CASE WHEN kind = 'method' THEN 'Cat.' ELSE '' END || 'e' || (key % 400) AS qn FROM nodes WHERE kind IN ('function', 'method')),
+    raws AS (SELECT DISTINCT unnest(['geo::x.e' || (key % 400), 'app/sales/customer_' || (key % 20) || '.py:e' || (key % 400), 'catalog.part_' || (key % 7) || '.Cat.e' || (key % 400), 'e' || (key % 450)]) AS raw FROM nodes WHERE kind IN ('function', 'method'))"""
+
+
 @register(
     "hint_resolution",
-    f"""WITH {d.NODES}, p AS (SELECT id, 'e' || (key % 400) AS name, list_filter(string_split(regexp_replace(file, '\\.[^./]*$', ''), '/'), lambda s: s <> '') AS path FROM nodes WHERE kind IN ('function', 'method') AND key <= 3000),
-    q AS (SELECT DISTINCT raw, name, h1, h2 FROM (SELECT 'geo::' || 'x.e' || (key % 400) AS raw, 'e' || (key % 400) AS name, 'x' AS h1, 'geo' AS h2 FROM nodes WHERE kind = 'method' UNION ALL SELECT 'sales.customer_' || (key % 20) || '.e' || (key % 400), 'e' || (key % 400), 'customer_' || (key % 20), 'sales' FROM nodes WHERE kind = 'function' AND key <= 3000)),
-    c AS (SELECT raw, id, CASE WHEN id IS NULL THEN 0 WHEN path[-1] = h1 AND path[-2] = h2 THEN 2 WHEN path[-1] = h1 THEN 1 ELSE 0 END AS run, list_contains(coalesce(path, []), h1)::INT + list_contains(coalesce(path, []), h2)::INT AS shared FROM q LEFT JOIN p USING (name)),
-    r AS (SELECT *, rank() OVER (PARTITION BY raw ORDER BY run DESC, shared DESC) AS r, count(id) OVER (PARTITION BY raw) AS n FROM c)
-    SELECT raw, CASE WHEN max(n) = 1 OR (count(id) = 1 AND (max(run) > 0 OR max(shared) > 0)) THEN min(id) END AS id, max(n) AS candidates FROM r WHERE r = 1 GROUP BY raw""",
+    f"""WITH {d.NODES}, {_RUNTIME}, g AS (SELECT raw, list_filter(string_split(regexp_replace(raw, '::|[.:/]', chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM raws),
+    ids AS (SELECT id, name, qn, list_filter(string_split(regexp_replace(id, '[.:/]', chr(1), 'g'), chr(1)), lambda s: s <> '') AS ss FROM rn),
+    lv AS (SELECT raw, 2 AS lv, s[-2] || '.' || s[-1] AS k, s[:-3] AS h FROM g WHERE len(s) >= 2 UNION ALL SELECT raw, 3, s[-3] || '.' || s[-2] || '.' || s[-1], s[:-4] FROM g WHERE len(s) >= 3 UNION ALL SELECT raw, 9, s[-1], s[:-2] FROM g),
+    c AS (SELECT raw, lv, list_filter(coalesce(h, []), lambda x: x NOT IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'mts', 'cts', 'py', 'rs', 'go')) AS h, id, ss FROM lv JOIN ids ON (lv.lv < 9 AND ids.qn = lv.k) OR (lv.lv = 9 AND ids.name = lv.k)),
+    sc AS (SELECT raw, lv, id, coalesce(list_max(list_filter(range(1, len(h) + 1), lambda L: len(list_filter(range(1, len(ss) - L + 2), lambda i: ss[i:i + L - 1] = h[len(h) - L + 1:])) > 0)), 0) AS run, len(list_filter(ss, lambda x: list_contains(h, x))) AS shared, count(*) OVER (PARTITION BY raw, lv) AS n FROM c),
+    rk AS (SELECT *, rank() OVER (PARTITION BY raw, lv ORDER BY run DESC, shared DESC) AS r FROM sc),
+    best AS (SELECT raw, lv, min(id) AS id, max(n) AS n, count(*) AS tied, max(run) AS run, max(shared) AS shared FROM rk WHERE r = 1 GROUP BY raw, lv), ok AS (SELECT raw, lv, id FROM best WHERE n = 1 OR (tied = 1 AND (run > 0 OR shared > 0)))
+    SELECT raws.raw, arg_min(ok.id, ok.lv) AS id FROM raws LEFT JOIN ok USING (raw) GROUP BY raws.raw""",
 )
 def hint_resolution(spark, sf):
-    n = d.nodes(spark, sf)
-    p = n.where("kind in ('function', 'method')").select("id", "file", F.concat(F.lit("e"), F.col("key") % 400).alias("name"))
+    n = d.nodes(spark, sf).where("kind in ('function', 'method')")
+    e = F.concat(F.when(F.col("kind") == "method", "Cat.").otherwise(""), F.lit("e"), F.col("key") % 400)
+    p = n.select(F.concat(F.regexp_replace("file", r"\.py$", ""), F.lit("/"), e).alias("id"), F.concat(F.lit("e"), F.col("key") % 400).alias("name"), e.alias("qualified_name")).distinct()
     leaf = F.concat(F.lit("e"), F.col("key") % 400)
-    raw = n.where("kind = 'method'").select(F.concat(F.lit("geo::x."), leaf).alias("raw"))
-    raw = raw.union(n.where("kind = 'function'").select(F.concat(F.lit("sales.customer_"), F.col("key") % 20, F.lit("."), leaf))).distinct()
-    return resolve.hint_candidates(raw, p)
+    forms = [F.concat(F.lit("geo::x."), leaf), F.concat(F.lit("app/sales/customer_"), F.col("key") % 20, F.lit(".py:"), leaf), F.concat(F.lit("catalog.part_"), F.col("key") % 7, F.lit(".Cat."), leaf), F.concat(F.lit("e"), F.col("key") % 450)]
+    return resolve.resolve_runtime(n.select(F.explode(F.array(*forms)).alias("raw")).distinct(), p)
 
 
 @register(
     "unresolved_retry",
-    f"""WITH {d.NODES}, {d.EDGES}, x AS (SELECT src, CASE WHEN dst LIKE 'supplier/%' THEN '?:' || n.name ELSE e.dst END AS dst, 'static_call' AS kind, weight FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.kind = 'import'),
+    f"""WITH {d.NODES}, {d.EDGES}, x AS (SELECT src, CASE WHEN dst LIKE 'supplier/%' THEN '?:' || n.name ELSE e.dst END AS dst, 'static_call' AS kind, weight FROM edges e JOIN nodes n ON n.id = e.dst),
     u AS (SELECT name, min(id) AS target FROM nodes GROUP BY name HAVING count(*) = 1)
     SELECT src, coalesce(CASE WHEN u.target <> src THEN u.target END, dst) AS dst, kind, sum(weight)::BIGINT AS weight FROM x LEFT JOIN u ON x.dst = '?:' || u.name GROUP BY ALL""",
 )
 def unresolved_retry(spark, sf):
     n = d.nodes(spark, sf)
-    e = d.edges(spark, sf).where("kind = 'import'").join(n.select(F.col("id").alias("dst"), "name"), "dst")
+    e = d.edges(spark, sf).join(n.select(F.col("id").alias("dst"), "name"), "dst")
     e = e.select("src", F.when(F.col("dst").startswith("supplier/"), F.concat(F.lit("?:"), "name")).otherwise(F.col("dst")).alias("dst"), F.lit("static_call").alias("kind"), "weight")
     return resolve.retry_unresolved(e, n)
 
@@ -259,7 +257,7 @@ def hub_fraction(spark, sf):
 
 NOW = 1_710_000_000_000
 _TESTS_SQL = f"""t AS (SELECT 't' || event_id AS id, CASE WHEN event_type = 'error' THEN 'trace' ELSE 'static' END AS evidence, (event_id % 5 + 1)::INT AS depth, floor(value)::DOUBLE AS weight,
-    CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 END AS last_failed_at, CASE WHEN event_id % 4 <> 0 THEN (event_id % 700)::DOUBLE END AS last_duration_ms FROM events WHERE event_id < 2000)"""
+    CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 END AS last_failed_at, CASE WHEN event_id % 4 <> 0 THEN (event_id % 700)::DOUBLE END AS last_duration_ms FROM events)"""
 _PRIOR_SQL = f"""{_TESTS_SQL}, s AS (SELECT *, round(CASE WHEN last_failed_at IS NULL THEN 0.0 ELSE pow(2.0, -greatest(0.0, ({NOW} - last_failed_at) / 86400000.0) / 7.0) END + 0.6 / greatest(1, depth) + 0.4 * weight / (weight + 4), 9) AS score, coalesce(last_duration_ms, (SELECT avg(last_duration_ms) FROM t)) AS duration FROM t),
     p AS (SELECT id, evidence, score, row_number() OVER (ORDER BY evidence <> 'trace', score DESC, duration, id)::INT AS position FROM s)"""
 

@@ -9,18 +9,9 @@ from ..functions import names
 from ..operators import claims, crdt, maintain, pack, profiles, relational, search
 from ..sources import derived as d
 from ..streaming import events as ev
+from . import registry
 
-QUERIES, SQL = {}, {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
+QUERIES, SQL, register = registry.new()
 
 
 # Search
@@ -65,16 +56,6 @@ def bm25_scores(spark, sf):
     return search.bm25(d.table(spark, sf, "documents"), "doc_id", "text", ["there", "tion", "andre"]).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@register(
-    "degree_rerank_search",
-    f"WITH {d.EDGES}, p AS (SELECT 'part/' || p_partkey AS key, p_name FROM part), {_BM25.format(key='key', text='p_name', table='p', terms="('part')")}, pool AS (SELECT * FROM bm ORDER BY score, id LIMIT 80), g AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id) SELECT id, round(score, 4) AS score, coalesce(degree, 0)::BIGINT AS degree, round(score - 0.30 * ln(1 + coalesce(degree, 0)), 4) AS final FROM pool LEFT JOIN g USING (id) ORDER BY round(score - 0.30 * ln(1 + coalesce(degree, 0)), 6), score, id LIMIT 20",
-)
-def degree_rerank_search(spark, sf):
-    p = d.table(spark, sf, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("id"), "p_name")
-    out = search.rerank(search.bm25(p, "id", "p_name", ["part"]), d.edges(spark, sf), F.lit(False), 20)
-    return out.select("id", F.round("score", 4).alias("score"), "degree", F.round("final", 4).alias("final"))
-
-
 _NAV = "SELECT lang AS cohort, CASE WHEN doc_id % 7 < 6 THEN doc_id % 7 + 1 END AS rank FROM documents"
 
 
@@ -159,30 +140,55 @@ def retention_report(spark, sf):
 # Claims
 
 
-@register("claim_overlap", f"WITH {d.CLAIMS}, e AS (SELECT id, agent, unnest(scope) AS entity FROM claims) SELECT a.id AS a, b.id AS b, count(*) AS shared FROM e a JOIN e b ON a.entity = b.entity AND a.id < b.id AND a.agent <> b.agent GROUP BY ALL")
+#: The claims that are looked up against all others: a search's queries are the rows whose id is divisible by 20.
+INCOMING = 20
+
+
+@register("claim_overlap", f"WITH {d.CLAIMS}, e AS (SELECT id, agent, k, unnest(scope) AS entity FROM claims) SELECT a.id AS a, b.id AS b, count(*) AS shared FROM e a JOIN e b ON a.entity = b.entity AND a.id < b.id AND a.agent <> b.agent GROUP BY ALL")
 def claim_overlap(spark, sf):
     return claims.overlaps(d.claims(spark, sf))
 
 
-def _import_edges(spark, sf):
-    return d.edges(spark, sf).where(F.col("src").startswith("part/")).where(F.crc32(F.col("src").cast("binary")) >= 0)
+@register("first_conflict", f"WITH {d.CLAIMS}, e AS (SELECT id, agent, unnest(scope) AS entity FROM claims) SELECT a.id, min({{'o': b.id, 'e': a.entity}}).o AS other, min({{'o': b.id, 'e': a.entity}}).e AS entity FROM e a JOIN e b ON a.entity = b.entity AND b.id < a.id AND a.agent <> b.agent GROUP BY a.id")
+def first_conflict(spark, sf):
+    return claims.first_conflicts(d.claims(spark, sf))
 
 
-_ADJ = f"""{d.CLAIMS}, {d.EDGES}, pe AS (SELECT * FROM edges WHERE src LIKE 'part/%' AND dst IN ('supplier/1', 'supplier/2', 'supplier/3')), e AS (SELECT id, unnest(scope) AS entity FROM claims), bi AS (SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe),
-    nb AS (SELECT DISTINCT e.id, bi.dst AS neighbor FROM e JOIN bi ON bi.src = e.entity), near AS (SELECT * FROM nb WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = nb.id AND e.entity = nb.neighbor)),
-    direct AS (SELECT DISTINCT least(n.id, e.id) AS a, greatest(n.id, e.id) AS b FROM near n JOIN e ON e.entity = n.neighbor WHERE e.id <> n.id),
-    common AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM near x JOIN near y USING (neighbor) WHERE x.id < y.id GROUP BY ALL),
-    adj AS (SELECT a, b, direct.a IS NOT NULL AS direct, coalesce(n, 0)::BIGINT AS shared_neighbors FROM direct FULL JOIN common USING (a, b) JOIN claims p ON p.id = a JOIN claims q ON q.id = b WHERE p.agent <> q.agent)"""
+_ADJ = f"""{d.CLAIMS}, {d.CLAIM_EDGES}, e AS (SELECT id, agent, k, unnest(scope) AS entity FROM claims), i AS (SELECT * FROM e WHERE k % {INCOMING} = 0), bi AS (SELECT src, dst FROM claim_edges UNION SELECT dst, src FROM claim_edges),
+    nb AS (SELECT DISTINCT e.id, e.agent, e.k, bi.dst AS neighbor FROM e JOIN bi ON bi.src = e.entity), near AS (SELECT * FROM nb WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = nb.id AND e.entity = nb.neighbor)),
+    direct AS (SELECT DISTINCT n.id AS a, e.id AS b FROM nb n JOIN e ON e.entity = n.neighbor WHERE n.k % {INCOMING} = 0 AND e.id <> n.id AND e.agent <> n.agent),
+    common AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM near x JOIN near y USING (neighbor) WHERE x.k % {INCOMING} = 0 AND x.id <> y.id AND x.agent <> y.agent GROUP BY ALL),
+    adj AS (SELECT a, b, direct.a IS NOT NULL AS direct, coalesce(n, 0)::BIGINT AS shared_neighbors FROM direct FULL JOIN common USING (a, b))"""
+_DIRECT = "(SELECT count(*) > 0 FROM direct x WHERE x.a = adj.a AND x.b = adj.b)"
 
 
-def _near(spark, sf):
-    e = d.edges(spark, sf).where(F.col("src").startswith("part/"))
-    return claims.adjacent(d.claims(spark, sf), e), e
+def _near(spark, sf, gate="graph"):
+    c, e = d.claims(spark, sf), d.claim_edges(spark, sf)
+    return claims.adjacent(c.where(F.col("k") % INCOMING == 0), c, e, gate)
 
 
-@register("claim_adjacency", f"WITH {_ADJ} SELECT a, b, (SELECT count(*) > 0 FROM direct x WHERE x.a = adj.a AND x.b = adj.b) AS direct, shared_neighbors FROM adj")
+@register("claim_adjacency", f"WITH {_ADJ}, m AS (SELECT DISTINCT a, b, TRUE AS direct FROM direct) SELECT adj.a, adj.b, coalesce(m.direct, FALSE) AS direct, shared_neighbors FROM adj LEFT JOIN m USING (a, b)")
 def claim_adjacency(spark, sf):
-    return _near(spark, sf)[0]
+    return _near(spark, sf).select("a", "b", "direct", "shared_neighbors")
+
+
+@register(
+    "module_adjacency",
+    f"WITH {_ADJ}, pm AS (SELECT DISTINCT id, agent, k, regexp_extract(entity, '^(.+)/[^/]*$', 1) AS m FROM e), sm AS (SELECT DISTINCT x.id AS a, y.id AS b FROM pm x JOIN pm y USING (m) WHERE x.k % {INCOMING} = 0 AND x.id <> y.id AND x.agent <> y.agent), g AS (SELECT a, b FROM sm UNION SELECT a, b FROM direct) SELECT substr(a, 2)::BIGINT % 100 AS part, count(*) AS pairs, count(DISTINCT a) AS claims FROM g GROUP BY 1",
+)
+def module_adjacency(spark, sf):
+    p = _near(spark, sf, "module+edge")
+    return p.groupBy((F.substring("a", 2, 20).cast("long") % 100).alias("part")).agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("claims"))
+
+
+@register("edge_verdicts", f"WITH {_ADJ} SELECT a, b, TRUE AS conflict, 0.7::DOUBLE AS confidence FROM direct")
+def edge_verdicts(spark, sf):
+    return claims.edge_verdicts(_near(spark, sf, "edge"))
+
+
+@register("suggested_scope", f"WITH {_ADJ} SELECT id, entity, TRUE AS claimed FROM e UNION ALL SELECT id, neighbor, FALSE FROM near")
+def suggested_scope(spark, sf):
+    return claims.suggested_scope(d.claims(spark, sf), d.claim_edges(spark, sf))
 
 
 _STOP = ", ".join(f"'{w}'" for w in names.INTENT_STOP_WORDS)
@@ -193,29 +199,93 @@ _STOP = ", ".join(f"'{w}'" for w in names.INTENT_STOP_WORDS)
     f"WITH {_ADJ}, t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(intent), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS t FROM claims), v AS (SELECT a, b, len(list_intersect(x.t, y.t)) AS n, shared_neighbors AS s FROM adj JOIN t x ON x.id = a JOIN t y ON y.id = b) SELECT a, b, n AS shared_words, CASE WHEN s = 0 OR n = 0 THEN 0.0 WHEN n = 1 THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence, s > 0 AND n > 0 AS conflict FROM v",
 )
 def heuristic_verdicts(spark, sf):
-    return claims.heuristic_verdicts(_near(spark, sf)[0], d.claims(spark, sf))
+    return claims.heuristic_verdicts(_near(spark, sf), d.claims(spark, sf))
 
 
 _CONTRACT = " OR ".join(f"contains(lower(intent), '{p}')" for p in claims.CONTRACT_PHRASES)
 _INTERNAL = " OR ".join(f"contains(lower(intent), '{p}')" for p in claims.INTERNAL_PHRASES)
+_EDIT = f"CASE WHEN ({_INTERNAL}) AND NOT ({_CONTRACT}) THEN 'internal' WHEN {_CONTRACT} THEN 'contract' ELSE 'ambiguous' END"
 
 
-@register("intent_classes", f"WITH {d.CLAIMS} SELECT CASE WHEN ({_INTERNAL}) AND NOT ({_CONTRACT}) THEN 'internal' WHEN {_CONTRACT} THEN 'contract' ELSE 'ambiguous' END AS edit, count(*) AS n FROM claims GROUP BY 1")
+@register("intent_classes", f"WITH {d.CLAIMS} SELECT {_EDIT} AS edit, count(*) AS n FROM claims GROUP BY 1")
 def intent_classes(spark, sf):
     return d.claims(spark, sf).groupBy(claims.intent_class(F.col("intent")).alias("edit")).agg(F.count("*").alias("n"))
 
 
+def _signed(spark, sf):
+    """Signatures of the claimed customers; every eleventh is not indexed, and of orders none is."""
+    k = F.col("c_custkey")
+    return d.table(spark, sf, "customer").where(k % 11 != 0).select(d.entity_of("customer", "c_custkey").alias("id"), F.when(k % 5 == 0, "private").when(k % 5 == 1, "public").otherwise("unknown").alias("visibility"), (k % 2 == 0).alias("callable"))
+
+
 @register(
     "contract_diff_verdicts",
-    f"""WITH {_ADJ}, k AS (SELECT id, unnest(scope) AS entity, CASE WHEN ({_INTERNAL}) AND NOT ({_CONTRACT}) THEN 'internal' WHEN {_CONTRACT} THEN 'contract' ELSE 'ambiguous' END AS edit FROM claims),
+    f"""WITH {_ADJ}, signed AS (SELECT 'customer/m' || (c_custkey % 400) || '/' || c_custkey AS entity, c_custkey % 5 = 0 AS private, c_custkey % 2 = 0 AS callable FROM customer WHERE c_custkey % 11 <> 0),
+    k AS (SELECT c.id, s.entity, CASE c.edit WHEN 'internal' THEN FALSE WHEN 'contract' THEN NOT s.private ELSE s.callable AND NOT s.private END AS edit FROM (SELECT id, unnest(scope) AS entity, {_EDIT} AS edit FROM claims) c JOIN signed s USING (entity)),
     c AS (SELECT adj.a, adj.b, 1.0 AS c FROM adj JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE x.entity = y.entity
-      UNION ALL SELECT adj.a, adj.b, 0.85 FROM adj JOIN k x ON x.id = a JOIN bi ON bi.src = x.entity JOIN k y ON y.id = b AND y.entity = bi.dst WHERE x.edit = 'contract' OR y.edit = 'contract'
-      UNION ALL SELECT DISTINCT adj.a, adj.b, 0.6 FROM adj JOIN k x ON x.id = a AND x.edit = 'contract' JOIN k y ON y.id = b AND y.edit = 'contract' WHERE split_part(x.entity, '/', 1) = split_part(y.entity, '/', 1))
-    SELECT adj.a, adj.b, max(c) IS NOT NULL AS conflict, coalesce(max(c), 0.7)::DOUBLE AS confidence FROM adj LEFT JOIN c ON c.a = adj.a AND c.b = adj.b GROUP BY ALL""",
+      UNION ALL SELECT adj.a, adj.b, 0.85 FROM adj JOIN k x ON x.id = a JOIN bi ON bi.src = x.entity JOIN k y ON y.id = b AND y.entity = bi.dst WHERE x.edit OR y.edit
+      UNION ALL SELECT DISTINCT adj.a, adj.b, 0.6 FROM adj JOIN k x ON x.id = a AND x.edit JOIN k y ON y.id = b AND y.edit WHERE regexp_extract(x.entity, '^(.+)/[^/]*$', 1) = regexp_extract(y.entity, '^(.+)/[^/]*$', 1)),
+    v AS (SELECT adj.a, adj.b, max(c.c) AS m FROM adj LEFT JOIN c ON c.a = adj.a AND c.b = adj.b GROUP BY ALL)
+    SELECT a, b, m IS NOT NULL AS conflict, CASE WHEN a NOT IN (SELECT id FROM k) OR b NOT IN (SELECT id FROM k) THEN 0 ELSE coalesce(m, 0.7) END::DOUBLE AS confidence FROM v""",
 )
 def contract_diff_verdicts(spark, sf):
-    pairs, e = _near(spark, sf)
-    return claims.contract_verdicts(pairs, d.claims(spark, sf), e)
+    return claims.contract_verdicts(_near(spark, sf), d.claims(spark, sf), d.claim_edges(spark, sf), _signed(spark, sf))
+
+
+@register(
+    "claim_registration",
+    f"""WITH {d.CLAIMS}, act AS (SELECT id, CASE WHEN k % 60 = 0 THEN 'other' ELSE agent END AS agent, scope, k FROM claims WHERE k % 3 <> 1), inc AS (SELECT * FROM claims WHERE k % {INCOMING} = 0),
+    ov AS (SELECT i.id, min(a.id) AS other FROM (SELECT id, unnest(scope) AS entity FROM inc) i JOIN (SELECT id, unnest(scope) AS entity FROM act) a USING (entity) GROUP BY i.id),
+    j AS (SELECT i.id, i.agent, i.k, h.agent AS holder, ov.other, CASE WHEN i.k % 8 = 0 THEN 'c1' END AS soft FROM inc i LEFT JOIN act h ON h.id = i.id LEFT JOIN ov ON ov.id = i.id),
+    s AS (SELECT *, CASE WHEN holder = agent THEN 200 WHEN holder IS NOT NULL THEN 409 WHEN other IS NOT NULL THEN 410 WHEN soft IS NOT NULL AND k % 40 <> 0 THEN 202 ELSE 201 END AS st FROM j)
+    SELECT id, CASE WHEN st = 410 THEN 409 ELSE st END::INT AS status, CASE st WHEN 200 THEN 'held' WHEN 409 THEN 'id of another agent' WHEN 410 THEN 'scope overlaps' WHEN 202 THEN 'potential conflict' ELSE 'registered' END AS reason,
+      CASE st WHEN 409 THEN id WHEN 410 THEN other WHEN 202 THEN soft END AS other, CASE WHEN st = 201 THEN 1706000000000 + 3600 * 1000 END AS expires FROM s""",
+)
+def claim_registration(spark, sf):
+    c = d.claims(spark, sf)
+    active = c.where("k % 3 <> 1").select("id", F.when(F.col("k") % 60 == 0, "other").otherwise(F.col("agent")).alias("agent"), "scope")
+    incoming = c.where(F.col("k") % INCOMING == 0).select("id", "agent", "scope", (F.col("k") % 40 == 0).alias("force"), F.lit(3600).alias("ttl_seconds"), "k")
+    verdicts = incoming.where("k % 8 = 0").select(F.col("id").alias("a"), F.lit("c1").alias("b"), F.lit(True).alias("conflict"))
+    return claims.register_claims(incoming.drop("k"), active, verdicts, 1_706_000_000_000)
+
+
+@register("claim_board", f"WITH {d.CLAIMS} SELECT CASE WHEN 1706000000000 + (k % 50 - 20) * 1000 > 1706000000000 THEN 'active' ELSE 'expired' END AS status, count(*) AS n FROM claims GROUP BY 1")
+def claim_board(spark, sf):
+    now = 1_706_000_000_000
+    return claims.claim_board(d.claims(spark, sf).withColumn("expires", F.lit(now) + (F.col("k") % 50 - 20) * 1000), now).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_DRAW = "(('0x' || substr(md5('work|' || {a} || '|' || {b}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@register(
+    "conflict_workload",
+    f"""WITH {d.CLAIM_EDGES}, cust AS (SELECT c_custkey AS c, 'customer/m' || (c_custkey % 400) || '/' || c_custkey AS id FROM customer), p AS (SELECT row_number() OVER (ORDER BY x, y) AS z, x, y FROM (SELECT id AS x, id AS y FROM cust UNION ALL SELECT src, dst FROM claim_edges UNION ALL SELECT a.id, b.id FROM cust a JOIN cust b ON b.c = a.c + 400)),
+    n AS (SELECT ('0x' || substr(md5(x || y), 1, 8))::BIGINT AS n, x, y FROM p), f AS (SELECT n.*, CASE WHEN {_DRAW.format(a="n", b="'x'")} < 0.4 THEN 'contract' ELSE 'internal' END AS x_edit, CASE WHEN {_DRAW.format(a="n", b="'y'")} < 0.4 THEN 'contract' ELSE 'internal' END AS y_edit, e.src IS NOT NULL AS xy, r.src IS NOT NULL AS yx, regexp_extract(x, '^(.+)/[^/]*$', 1) = regexp_extract(y, '^(.+)/[^/]*$', 1) AS m FROM n LEFT JOIN claim_edges e ON e.src = x AND e.dst = y LEFT JOIN claim_edges r ON r.src = y AND r.dst = x),
+    k AS (SELECT *, CASE WHEN x = y THEN 'overlap' WHEN (xy AND y_edit = 'contract') OR (yx AND x_edit = 'contract') THEN 'caller-callee' WHEN m AND {_DRAW.format(a="n", b="'shared'")} < 0.12 THEN 'shared-module' ELSE 'none' END AS cls FROM f),
+    g AS (SELECT *, CASE cls WHEN 'overlap' THEN 'syntax' WHEN 'caller-callee' THEN CASE WHEN {_DRAW.format(a="n", b="'type'")} < 0.75 THEN 'type' ELSE 'semantic' END WHEN 'shared-module' THEN 'semantic' ELSE 'n/a' END AS manifest FROM k)
+    SELECT cls AS class, manifest, CASE WHEN x = y THEN 'A' WHEN manifest = 'type' THEN 'B' WHEN cls <> 'none' AND (xy OR yx OR m) THEN 'C' WHEN cls = 'none' THEN 'none' ELSE 'escaped' END AS layer, count(*) AS n FROM g GROUP BY ALL""",
+)
+def conflict_workload(spark, sf):
+    c = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), d.entity_of("customer", "c_custkey").alias("x"))
+    e = d.claim_edges(spark, sf)
+    far = c.join(c.select((F.col("c") - 400).alias("c"), F.col("x").alias("y")), "c").select("x", "y")
+    p = c.select("x", F.col("x").alias("y")).union(e.select("src", "dst")).union(far)
+    p = p.withColumn("n", F.conv(F.substring(F.md5(F.concat("x", "y")), 1, 8), 16, 10).cast("long"))
+    return claims.conflict_workload(p, e, "work").groupBy("class", "manifest", "layer").agg(F.count("*").alias("n"))
+
+
+@register(
+    "merge_verification",
+    """WITH f AS (SELECT DISTINCT 'src/f' || (event_id % 500) || CASE event_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.txt' END AS file FROM events), bad AS (SELECT 'src/f' || (event_id % 500) || CASE event_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.txt' END AS file, min('m' || event_type) AS reason FROM events WHERE event_type = 'error' AND event_id % 4 = 0 GROUP BY 1)
+    SELECT file, 'syntax' AS phase, CASE WHEN file LIKE '%.py' THEN 'python' WHEN file LIKE '%.ts' THEN 'typescript' ELSE 'unknown' END AS language, reason FROM f JOIN bad USING (file) UNION ALL SELECT file, 'type', 'typescript', 'tsc failed' FROM f WHERE file LIKE '%.ts' AND file NOT IN (SELECT file FROM bad)""",
+)
+def merge_verification(spark, sf):
+    k = F.col("event_id")
+    e = d.table(spark, sf, "events").withColumn("file", F.concat(F.lit("src/f"), k % 500, F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".ts").otherwise(".txt")))
+    records = e.where("event_type = 'error' and event_id % 4 = 0").select(F.lit("warn").alias("type"), "file", F.concat(F.lit("m"), "event_type").alias("message"))
+    checks = spark.createDataFrame([("python", False, False, None), ("typescript", True, False, "tsc failed")], "language string, configured boolean, ok boolean, reason string")
+    return claims.verify_merge(e.select("file"), records, checks)
 
 
 # Maintenance
@@ -233,9 +303,9 @@ def upsert_nodes(spark, sf):
     return relational.upsert_nodes(old, new)
 
 
-@register("upsert_edges", f"WITH {d.EDGES}, n AS (SELECT src, dst, kind, 1000 AS weight FROM edges WHERE kind = 'import' AND src LIKE 'supplier/%') SELECT src, dst, kind, sum(weight)::BIGINT AS weight FROM (SELECT * FROM edges WHERE kind = 'import' UNION ALL SELECT * FROM n) GROUP BY ALL")
+@register("upsert_edges", f"WITH {d.EDGES}, n AS (SELECT src, dst, kind, 1000 AS weight FROM edges WHERE src LIKE 'supplier/%') SELECT src, dst, kind, sum(weight)::BIGINT AS weight FROM (SELECT * FROM edges UNION ALL SELECT * FROM n) GROUP BY ALL")
 def upsert_edges(spark, sf):
-    e = d.edges(spark, sf).where("kind = 'import'")
+    e = d.edges(spark, sf)
     return relational.upsert_edges(e, e.where(F.col("src").startswith("supplier/")).withColumn("weight", F.lit(1000).cast("long")))
 
 
@@ -314,7 +384,7 @@ def module_scope_segments(spark, sf):
 
 @register(
     "enclosing_entity",
-    f"""WITH {d.NODES}, g AS (SELECT DISTINCT file, (key % 53) * 9 + 2 AS s, (key % 53) * 9 + 2 + key % 4 AS e FROM nodes WHERE kind IN ('function', 'class') AND key <= 400), n AS (SELECT * FROM nodes WHERE key <= 400), j AS (SELECT g.file, g.s, g.e, n.id, n.range_end - n.range_start AS span, n.range_start <= g.s AND n.range_end >= g.e AS inside FROM g JOIN n ON n.file = g.file AND n.range_start <= g.e AND n.range_end >= g.s),
+    f"""WITH {d.NODES}, g AS (SELECT DISTINCT file, (key % 53) * 9 + 2 AS s, (key % 53) * 9 + 2 + key % 4 AS e FROM nodes WHERE kind IN ('function', 'class')), n AS (SELECT * FROM nodes), j AS (SELECT g.file, g.s, g.e, n.id, n.range_end - n.range_start AS span, n.range_start <= g.s AND n.range_end >= g.e AS inside FROM g JOIN n ON n.file = g.file AND n.range_start <= g.e AND n.range_end >= g.s),
     b AS (SELECT file, s, e, arg_min(id, (span, id)) AS id FROM j WHERE inside GROUP BY ALL) SELECT file, s AS start, e AS "end", id, 'contains' AS how FROM b UNION ALL SELECT file, s, e, id, 'overlaps' FROM j WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.file = j.file AND b.s = j.s AND b.e = j.e)""",
 )
 def enclosing_entity(spark, sf):
@@ -390,9 +460,9 @@ def intent_texts(spark, sf):
     return pack.intent_texts(d.table(spark, sf, "conversations"))
 
 
-@register("heuristic_summary", f"WITH {d.NODES} SELECT id, substr(CASE WHEN substr(kind, 1, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'An ' ELSE 'A ' END || kind || ' ' || name || ' (' || id || '): ' || file, 1, 160) AS summary FROM nodes WHERE kind <> 'function'")
+@register("heuristic_summary", f"WITH {d.NODES} SELECT id, substr(CASE WHEN substr(kind, 1, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'An ' ELSE 'A ' END || kind || ' ' || name || ' (' || id || '): ' || file, 1, 160) AS summary FROM nodes")
 def heuristic_summary(spark, sf):
-    n = d.nodes(spark, sf).where("kind <> 'function'")
+    n = d.nodes(spark, sf)
     return n.select("id", pack.heuristic_summary(F.col("kind"), F.col("name"), F.col("id"), F.col("file")).alias("summary"))
 
 
@@ -403,9 +473,12 @@ def heuristic_summary(spark, sf):
 SAMPLE_RATE = 100
 
 
-@register("observation_validation", f"WITH {d.OBSERVATIONS} SELECT src AS batch, count(*) AS rows, bool_and(coalesce(weight BETWEEN 0 AND 65535 AND abs(weight - observed * 60) <= 60 * 60, FALSE)) AS accepted FROM (SELECT src, observed, least(weight, 61) AS weight FROM observations WHERE weight < 61) GROUP BY src")
+@register("observation_validation", f"WITH {d.OBSERVATIONS} SELECT batch, count(*) AS rows, bool_and(coalesce(src <> '' AND dst <> '' AND observed BETWEEN 0 AND 65535 AND weight BETWEEN 0 AND 65535 AND abs(weight - observed * 100) <= 1, FALSE)) AS accepted FROM (SELECT src || '/' || (event_id % 2000) AS batch, * FROM (SELECT 'u' || user_id AS src, event_type AS dst, event_id, 1::BIGINT AS observed, CASE WHEN event_id % 2000 < 700 THEN 99 + event_id % 3 ELSE floor(value)::BIGINT END AS weight FROM events)) GROUP BY batch")
 def observation_validation(spark, sf):
-    o = d.observations(spark, sf).withColumn("batch", F.col("src"))
+    e = d.table(spark, sf, "events")
+    weight = F.when(F.col("event_id") % 2000 < 700, 99 + F.col("event_id") % 3).otherwise(F.floor("value").cast("long"))
+    o = e.select(F.concat(F.lit("u"), "user_id").alias("src"), F.col("event_type").alias("dst"), "event_id", F.lit(1).cast("long").alias("observed"), weight.alias("weight"))
+    o = o.withColumn("batch", F.concat("src", F.lit("/"), F.col("event_id") % 2000))
     return ev.accept_batches(o, "batch", F.lit(SAMPLE_RATE))
 
 

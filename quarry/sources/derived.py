@@ -6,7 +6,7 @@ nations import regions; every fifth order is a test.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import fold_edges
@@ -99,10 +99,23 @@ def ops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Work claims: every order is one, its scope is its parts."""
-    o = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("a"), F.col("o_custkey") % 7).alias("agent"), F.col("o_orderkey").alias("k"), "o_orderpriority")
-    scope = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("part/"), "l_partkey").alias("part")).groupBy("k").agg(F.sort_array(F.collect_set("part")).alias("scope"))
-    return o.join(scope, "k").withColumn("intent", F.concat(F.lower("o_orderpriority"), F.when(F.col("k") % 3 == 0, " rename the parameter").when(F.col("k") % 3 == 1, " internal logic only").otherwise(" handling stock levels"))).drop("o_orderpriority")
+    """Work claims: every order is one, on its customer's module and itself."""
+    k = F.col("o_orderkey")
+    tail = F.when(k % 3 == 0, " rename the parameter").when(k % 3 == 1, " internal logic only").otherwise(" handling stock levels")
+    scope = F.array(entity_of("customer", "o_custkey"), entity_of("order", "o_orderkey"))
+    return table(spark, sf, "orders").select(F.concat(F.lit("c"), k).alias("id"), F.concat(F.lit("a"), k % 7).alias("agent"), k.alias("k"), scope.alias("scope"), F.concat(F.lower("o_orderpriority"), tail).alias("intent"))
+
+
+def entity_of(scope: str, key: str) -> Column:
+    """An id of three segments: scope, one of 400 modules, entity."""
+    return F.concat(F.lit(f"{scope}/m"), F.col(key) % 400, F.lit("/"), F.col(key).cast("string"))
+
+
+def claim_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies between claimed entities: of every fifth order its customer's on the next order's customer."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    n = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("n_custkey"))
+    return o.where("o_orderkey % 5 = 0").join(n, "o_orderkey").select(entity_of("customer", "o_custkey").alias("src"), entity_of("customer", "n_custkey").alias("dst")).where("src <> dst").distinct()
 
 
 _ENTITY = "SELECT '{scope}/' || {key} AS id, {name} AS name, '{kind}' AS kind, {directory} || '_' || ({key}::BIGINT % 20) || '.py' AS file, ({key}::BIGINT % 50) * 10 + 1 AS range_start, ({key}::BIGINT % 50) * 10 + 1 + {key}::BIGINT % 9 AS range_end, {key}::BIGINT AS key FROM {table}"
@@ -129,6 +142,6 @@ TRACE = "trace AS (SELECT 'order/' || l_orderkey AS src, 'supplier/' || l_suppke
 COVERAGE = "coverage AS (SELECT 'test_order_' || l_orderkey AS test, 'supplier/' || l_suppkey AS entity, l_quantity::BIGINT AS weight FROM lineitem WHERE l_orderkey % 5 = 0 AND l_shipdate >= '1995-06-01')"
 OBSERVATIONS = "observations AS (SELECT 'u' || user_id AS src, event_type AS dst, epoch_us(ts) // 1000000 AS ts, 1::BIGINT AS observed, floor(value)::BIGINT AS weight, 's' || (event_id % 3) AS source FROM events)"
 OPS = "ops AS (SELECT 'e' || user_id AS entity, 'v' || event_id AS value, epoch_us(ts) // 1000 AS wall, event_id % 65536 AS counter, event_type AS writer, event_id AS op FROM events)"
-CLAIMS = """claims AS (SELECT 'c' || o_orderkey AS id, 'a' || (o_custkey % 7) AS agent, o_orderkey AS k, s.scope,
-  lower(o_orderpriority) || CASE o_orderkey % 3 WHEN 0 THEN ' rename the parameter' WHEN 1 THEN ' internal logic only' ELSE ' handling stock levels' END AS intent
-  FROM orders JOIN (SELECT l_orderkey, list_sort(list_distinct(list('part/' || l_partkey))) AS scope FROM lineitem GROUP BY 1) s ON l_orderkey = o_orderkey WHERE o_orderkey % 40 = 0)"""
+CLAIMS = """claims AS (SELECT 'c' || o_orderkey AS id, 'a' || (o_orderkey % 7) AS agent, o_orderkey AS k, ['customer/m' || (o_custkey % 400) || '/' || o_custkey, 'order/m' || (o_orderkey % 400) || '/' || o_orderkey] AS scope,
+  lower(o_orderpriority) || CASE o_orderkey % 3 WHEN 0 THEN ' rename the parameter' WHEN 1 THEN ' internal logic only' ELSE ' handling stock levels' END AS intent FROM orders)"""
+CLAIM_EDGES = "claim_edges AS (SELECT DISTINCT 'customer/m' || (a.o_custkey % 400) || '/' || a.o_custkey AS src, 'customer/m' || (b.o_custkey % 400) || '/' || b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 5 = 0 AND a.o_custkey <> b.o_custkey)"
