@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialize
+from .relational import positions
+
 BUCKET_S = 60
 CLOCK = ["wall", "counter", "writer"]
 
@@ -55,17 +58,18 @@ def merkle_leaves(ops: DataFrame, group: list[str], key: str) -> DataFrame:
     return ops.groupBy(*group).agg(F.sha2(F.concat(F.lit("00"), F.array_join(keys, "")), 256).alias("leaf"), F.countDistinct(key).alias("keys"))
 
 
-def merkle_root(leaves: DataFrame) -> str:
-    """The root over sorted leaf hashes, paired as (1, least, greatest), an odd one promoted. Leaves are days: few."""
-    import hashlib
+def merkle_root(leaves: DataFrame) -> DataFrame:
+    """One row: the root over all leaf hashes in order, paired as hash(01, least, greatest) level by level; an odd one is promoted. '' without leaves.
 
-    level = sorted(r[0] for r in leaves.select("leaf").collect())
-    if not level:
-        return ""
-    while len(level) > 1:
-        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
-        level = [hashlib.sha256(("01" + min(p) + max(p)).encode()).hexdigest() if len(p) == 2 else p[0] for p in pairs]
-    return level[0]
+    Leaves are numbered by ranges, and each level is a join-free aggregate of half as many rows.
+    """
+    level = positions(leaves.select("leaf").where("leaf is not null"), [F.col("leaf")], "at").select("leaf", (F.col("at") - 1).alias("at"))
+    n = level.count()
+    while n > 1:
+        pair = level.groupBy((F.col("at") / 2).cast("int").alias("at")).agg(F.min("leaf").alias("a"), F.max("leaf").alias("b"), F.count("*").alias("k"))
+        level = materialize(pair.select(F.when(F.col("k") == 2, F.sha2(F.concat(F.lit("01"), "a", "b"), 256)).otherwise(F.col("a")).alias("leaf"), "at"))
+        n = (n + 1) // 2
+    return level.agg(F.coalesce(F.max("leaf"), F.lit("")).alias("root"))
 
 
 def merkle_diff(local: DataFrame, remote: DataFrame, group: list[str]) -> DataFrame:
@@ -101,3 +105,53 @@ def newest_peers(peers: DataFrame, cap: int = 64) -> DataFrame:
 def clock_skew(ops: DataFrame, now_ms: int, most_ms: int = 86_400_000) -> DataFrame:
     """Operations whose wall clock is at most a day ahead."""
     return ops.where(F.col("wall") - now_ms <= most_ms)
+
+
+def orset_merge(adds: list[DataFrame], removes: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The union of replicas' adds, one a tag, and of their removed tags, one row each."""
+    a, r = adds[0], removes[0].select(F.explode("tags").alias("tag"))
+    for more in adds[1:]:
+        a = a.unionByName(more)
+    for more in removes[1:]:
+        r = r.union(more.select(F.explode("tags").alias("tag")))
+    return a.dropDuplicates(["tag"]), r.distinct()
+
+
+def remove_ops(adds: DataFrame, claims: DataFrame) -> DataFrame:
+    """(claim, tags): the removal of each claim covers every tag of it that was seen, removed before or not."""
+    return adds.join(claims.select("claim").distinct(), "claim").groupBy("claim").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+
+
+def hydrate(lww: DataFrame, gset: DataFrame, adds: DataFrame, removes: DataFrame, now: int | None = None) -> dict[str, DataFrame]:
+    """The states that a whole operation log gives, each operation counted once."""
+    return {"lww": lww_current(lww), "gset": gset_buckets(dedup_ops(gset)), "orset": orset_active(adds.dropDuplicates(["tag"]), removes, now)}
+
+
+class HybridClock:
+    """A replica's clock: (wall ms, counter), never going back.
+
+    ``tick`` follows the wall clock, else counts; a full counter moves on by a millisecond. ``observe`` adopts a remote
+    reading that is ahead, unless it is more than a day ahead of the wall clock, which is refused.
+    """
+
+    COUNTER, SKEW_MS = 65_535, 86_400_000
+
+    def __init__(self, now) -> None:
+        self.now, self.wall, self.counter, self.refused = now, 0, 0, 0
+
+    def tick(self) -> tuple[int, int]:
+        wall = self.now()
+        if wall > self.wall:
+            self.wall, self.counter = wall, 0
+        elif self.counter >= self.COUNTER:
+            self.wall, self.counter = self.wall + 1, 0
+        else:
+            self.counter += 1
+        return self.wall, self.counter
+
+    def observe(self, wall: int, counter: int) -> bool:
+        if wall > self.now() + self.SKEW_MS:
+            self.refused += 1
+            return False
+        self.wall, self.counter = max((self.wall, self.counter), (wall, counter))
+        return True

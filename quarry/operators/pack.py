@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import positions
+
 #: The order of slice roles in a pack.
 ROLES = ["header", "target", "callee", "type", "import", "caller", "frame", "residual", "file"]
 
@@ -46,11 +48,13 @@ def enclosing_entities(regions: DataFrame, entities: DataFrame) -> DataFrame:
     Joined on the file; within it the containment is a filter.
     """
     e = entities.select("file", F.col("range_start").alias("s"), F.col("range_end").alias("e"), "id")
-    j = regions.join(e, "file").where("s <= end and e >= start")
-    j = j.withColumn("inside", (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")))
-    best = j.where("inside").groupBy("file", "start", "end").agg(F.min(F.struct(F.col("e") - F.col("s"), F.col("id"))).alias("b"))
+    # Containment looks at distinct ranges, each with its least id; only what no range contains meets all entities.
+    spans = e.groupBy("file", "s", "e").agg(F.min("id").alias("id"))
+    held = regions.join(spans, "file").where("s <= start and e >= end")
+    best = held.groupBy("file", "start", "end").agg(F.min(F.struct(F.col("e") - F.col("s"), F.col("id"))).alias("b"))
     best = best.select("file", "start", "end", F.col("b.id").alias("id"), F.lit("contains").alias("how"))
-    other = j.join(best.select("file", "start", "end"), ["file", "start", "end"], "left_anti").select("file", "start", "end", "id", F.lit("overlaps").alias("how"))
+    loose = regions.join(best.select("file", "start", "end"), ["file", "start", "end"], "left_anti")
+    other = loose.join(e, "file").where("s <= end and e >= start").select("file", "start", "end", "id", F.lit("overlaps").alias("how"))
     return best.union(other)
 
 
@@ -73,7 +77,7 @@ def canonical(slices: DataFrame) -> DataFrame:
     s = slices.withColumn("__r", role)
     first = Window.partitionBy("file", "start", "end").orderBy("__r", "role", "text")
     s = s.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return s.withColumn("position", F.row_number().over(Window.orderBy("file", "start", "end"))).drop("__n", "__r")
+    return positions(s.drop("__n", "__r"), [F.col("file"), F.col("start"), F.col("end")])
 
 
 def render(slices: DataFrame, group: str) -> DataFrame:

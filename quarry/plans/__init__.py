@@ -1,6 +1,7 @@
 """Registered queries of the engine's own operators."""
 
-from . import graph_queries, state_queries
+from . import code_queries, context_queries, graph_queries, selection_queries, state_queries, store_queries
 
-QUERIES = {**graph_queries.QUERIES, **state_queries.QUERIES}
-SQL = {**graph_queries.SQL, **state_queries.SQL}
+_MODULES = (graph_queries, state_queries, code_queries, selection_queries, store_queries, context_queries)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from quarry.functions import names
-from quarry.operators import crdt, graph, maintain, pack, profiles, relational, resolve, search, select_tests
-from quarry.sources import code
+import pytest
+
+from quarry.operators import calls, claims, context, crdt, graph, maintain, pack, profiles, relational, resolve, search, select_tests
+from quarry.sources import code, markdown, oplog, repo
 from quarry.streaming import events
 
 EDGE = "src string, dst string, kind string, weight long"
@@ -71,8 +75,12 @@ def test_orset_remove_spares_concurrent_adds(spark):
 
 def test_merkle_root_is_independent_of_order(spark):
     leaves = [(f"{i:02d}",) for i in range(7)]
-    a = crdt.merkle_root(spark.createDataFrame(leaves, "leaf string"))
-    assert a == crdt.merkle_root(spark.createDataFrame(leaves[::-1], "leaf string")) and len(a) == 64
+    root = lambda x: crdt.merkle_root(spark.createDataFrame(x, "leaf string")).first()[0]
+    level = sorted(x for (x,) in leaves)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [hashlib.sha256(("01" + min(p) + max(p)).encode()).hexdigest() if len(p) == 2 else p[0] for p in pairs]
+    assert root(leaves) == root(leaves[::-1]) == level[0] and root(leaves[:0]) == "" and root(leaves[:1]) == "00"
 
 
 def test_lanes_are_disjoint_and_hubs_can_be_left_out(spark):
@@ -131,9 +139,11 @@ def test_parser_on_spark_and_edge_resolution(spark):
     files = spark.createDataFrame([("a/x.py", "def f():\n    g()\n\ndef g():\n    pass\n"), ("a/y.py", "import x\nx.f()\n"), ("a/z.py", None)], "file string, text string")
     r = code.extract(files)
     nodes = r.where("record = 'node'").withColumn("id", F.concat_ws("#", "file", "qualified_name"))
-    modules = nodes.where("kind = 'module'").select("file", "id", F.col("name").alias("module"))
-    raw = r.where("record = 'edge'").select(F.col("file").alias("src_file"), "src_name", "dst_name", F.col("edge_kind").alias("kind"))
-    got = rows(resolve.resolve_edges(raw, nodes.where("kind <> 'module'"), modules).select("src", "dst", "kind"), "src", "dst")
+    nodes = nodes.select("id", "name", "qualified_name", "kind", "file", F.lit("a").alias("package"), F.col("range_start").cast("long").alias("seq"))
+    imported = r.where("edge_kind = 'import'").select(F.col("file").alias("src_file"), "dst_name").distinct()
+    targets = imported.join(nodes.where("kind = 'module'").select(F.col("name").alias("dst_name"), F.col("id").alias("module")), "dst_name", "left")
+    raw, imports = calls.parsed_edges(r, targets)
+    got = rows(calls.resolve_calls(raw, nodes, imports).select("src", "dst", "kind"), "src", "dst")
     assert ("a/x.py#f", "a/x.py#g", "static_call") in got and ("a/y.py#", "a/x.py#", "import") in got and ("a/y.py#", "a/x.py#f", "static_call") in got
 
 
@@ -238,3 +248,148 @@ def test_verdicts(spark):
     assert [r[0] for r in d.select(verdicts.yes_no(F.col("r"))).collect()] == [True, False, None, None]
     pair = spark.createDataFrame([('text {"entity": "a", "signature_changed": true, "references": [],} end', '{"entity": "b", "signature_changed": false, "references": ["a"]}'), ("none", '{"entity": "b"}')], "x string, y string")
     assert [r[0] for r in pair.select(verdicts.extractor_conflict(verdicts.edit_facts(F.col("x")), verdicts.edit_facts(F.col("y")))).collect()] == [True, False]
+
+
+def test_calls_through_aliases_namespaces_and_outside_modules(spark):
+    nodes = spark.createDataFrame([(i, n, q, k, f, p, 0) for i, n, q, k, f, p in [
+        ("lib/m", "m", "m", "module", "lib/m.ts", "lib"), ("lib/m/run", "run", "run", "function", "lib/m.ts", "lib"), ("lib/m/api/get", "get", "api.get", "method", "lib/m.ts", "lib"),
+        ("lib/deep/only", "only", "only", "function", "lib/deep.ts", "lib"), ("app/a", "a", "a", "module", "app/a.ts", "app"), ("app/a/main", "main", "main", "function", "app/a.ts", "app"), ("app/b/run", "run", "run", "function", "app/b.ts", "app"),
+    ]], "id string, name string, qualified_name string, kind string, file string, package string, seq long")
+    imports = spark.createDataFrame([("app/a.ts", 1, "lib/m", ["r", "ns", "api", "only"], [("r", "run")]), ("app/a.ts", 2, None, ["ext"], []), ("app/a.ts", 3, "other", ["r"], [])], "src_file string, seq long, module string, local array<string>, aliases array<struct<local:string,imported:string>>")
+    forms = [("r", None, None), ("run", "ns", None), ("get", "ns", ["ns", "api"]), ("get", "api", None), ("only", None, None), ("run", "ext", None), ("ext", None, None), ("run", None, None), ("gone", None, None)]
+    raw = spark.createDataFrame([("app/a.ts", "main", dst, "static_call", rec, chain, None, i, 1) for i, (dst, rec, chain) in enumerate(forms)] + [("app/a.ts", "app/a.ts", "run", "static_call", None, None, None, 50, 2), ("no.ts", "x", "y", "static_call", None, None, None, 1, 1)], "src_file string, src_name string, dst_name string, kind string, receiver string, chain array<string>, module string, line long, col long")
+    got = calls.resolve_calls(raw, nodes, imports)
+    by = {r["line"]: (r["src"], r["dst"]) for r in got.collect()}
+    want = ["lib/m/run", "lib/m/run", "lib/m/api/get", "lib/m/api/get", "lib/deep/only", "?:run", "?:ext", "app/b/run", "?:gone"]
+    assert by == {i: ("app/a/main", w) for i, w in enumerate(want)} | {50: ("app/a", "app/b/run")}
+    assert calls.call_sites(got).count() == 7
+
+
+def test_hybrid_clock():
+    at = [1000]
+    c = crdt.HybridClock(lambda: at[0])
+    assert [c.tick(), c.tick()] == [(1000, 0), (1000, 1)]
+    at[0] = 900
+    assert c.tick() == (1000, 2) and c.observe(2000, crdt.HybridClock.COUNTER) and c.tick() == (2001, 0)
+    assert not c.observe(900 + crdt.HybridClock.SKEW_MS + 1, 0) and c.refused == 1 and c.tick() == (2001, 1)
+    assert c.observe(5, 5) and c.tick() == (2001, 2)
+
+
+def test_operation_batches_round_trip_and_torn_segments(spark, tmp_path):
+    w = bytes(range(16))
+    ops = [
+        {"kind": "lww", "wall": 1 << 40, "counter": 65535, "writer": w, "a": "e\u00e9", "b": None, "payload": bytes(32) + b"body", "bucket": None, "observed": None, "weight": None},
+        {"kind": "gset_observe", "wall": 5, "counter": 0, "writer": w, "a": "x", "b": "y", "payload": None, "bucket": 60, "observed": 3, "weight": 300},
+        {"kind": "or_add", "wall": 6, "counter": 1, "writer": w, "a": "c", "b": "x", "payload": b"\xa0", "bucket": None, "observed": None, "weight": None},
+        {"kind": "or_remove", "wall": 7, "counter": 1, "writer": w, "a": "c", "b": None, "payload": bytes(56), "bucket": None, "observed": None, "weight": None},
+    ]
+    blob = oplog.encode_batch(ops)
+    assert oplog.decode_batch(blob) == ops and oplog.decode_batch(oplog.encode_batch([])) == []
+    for bad in (b"", b"\x07" + blob[1:], blob[:1] + b"XXXX" + blob[5:], blob[:-1]):
+        with pytest.raises(ValueError):
+            oplog.decode_batch(bad)
+    assert [oplog.read_varint(oplog.varint(n), 0)[0] for n in (0, 127, 128, 300, oplog.VARINT_MOST)] == [0, 127, 128, 300, oplog.VARINT_MOST]
+    with pytest.raises(ValueError):
+        oplog.read_varint(b"\xff\xff\xff\xff\x7f", 0)
+    framed = oplog.varint(len(blob)) + blob
+    assert oplog.split_batches(framed * 2 + framed[:-3]) == [blob, blob]
+    (tmp_path / "gset").mkdir()
+    (tmp_path / "gset" / "2024-01-02.log").write_bytes(framed + framed[:9])
+    got = oplog.read_segments(spark, str(tmp_path))
+    assert got.count() == 4 and {(r["type"], r["day"]) for r in got.collect()} == {("gset", "2024-01-02")}
+    oplog.append_ops(got.drop("type", "day"), str(tmp_path / "log"))
+    oplog.append_ops(got.drop("type", "day"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).groupBy("type").count().orderBy("type").collect() == [("gset", 2), ("lww", 2), ("orset", 4)]
+
+
+def test_node_files_are_written_once_and_swept(spark, tmp_path):
+    n = spark.createDataFrame([("a/b", "b", "b", "function", "python", "a.py", 1, 2, "h", 0, 3, 'say "hi": \\ there'), ("../up", "up", "up", "function", "python", "u.py", 1, 2, "h", 0, 3, None)], "id string, name string, qualified_name string, kind string, language string, file string, range_start long, range_end long, ast_hash string, last_seen long, logical_clock long, summary string")
+    e = spark.createDataFrame([("a/b", "c", 1), ("z", "a/b", 5), ("y", "a/b", 5)], "src string, dst string, weight long")
+    files = markdown.render_nodes(n, e)
+    folder = str(tmp_path / "nodes")
+    (tmp_path / "nodes").mkdir()
+    (tmp_path / "nodes" / "notes.md").write_text("mine")
+    markdown.write_files(files, folder)
+    assert not (tmp_path / "up.md").exists() and sorted(p.name for p in (tmp_path / "nodes").rglob("*.md")) == ["b.md", "notes.md"]
+    back = markdown.read_files(spark, folder)
+    assert markdown.changed_files(files.where("id = 'a/b'"), back).count() == 0
+    parsed = {r["path"]: r for r in markdown.parse_nodes(back).collect()}
+    assert parsed["a/b.md"]["summary"] == 'say "hi": \\ there' and parsed["a/b.md"]["range_end"] == 2 and parsed["notes.md"]["id"] == ""
+    text = (tmp_path / "nodes" / "a" / "b.md").read_text()
+    assert "- [[y]] (5 invocations)\n- [[z]] (5 invocations)" in text and "- [[c]] (1 invocation)" in text
+    assert [r[0] for r in markdown.orphans(back, n.where("false")).collect()] == ["a/b.md"]
+
+
+def test_note_ids_hash_utf16_units(spark):
+    def fnv(units, h, prime):
+        for c in units:
+            h = ((h ^ c) * prime) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    texts = ["", "a", "note \u00fc", "\U0001f600 x" * 30]
+    got = [r[0] for r in maintain.note_ids(spark.createDataFrame([(t,) for t in texts], "t string"), "t").select("note_id").collect()]
+    units = [[int.from_bytes(t.encode("utf-16-be")[i : i + 2], "big") for i in range(0, len(t.encode("utf-16-be")), 2)] for t in texts]
+    assert got == ["mem_" + fnv(u, 0x811C9DC5, 0x01000193) + fnv(u, 0x01000193, 0x85EBCA6B) for u in units]
+
+
+def test_layout_equals_plain_loops_and_is_bounded(spark):
+    n = spark.createDataFrame([("g", "a"), ("g", "b"), ("g", "c")], "graph string, id string")
+    e = spark.createDataFrame([("g", "a", "b", 1)], "graph string, src string, dst string, weight long")
+    at = context.start_positions(n, e)
+    start = {r["id"]: (r["x"], r["y"], r["mass"]) for r in at.collect()}
+    out = {r["id"]: (r["x"], r["y"], r["vx"], r["vy"]) for r in context.force_layout(at, e).collect()}
+    for i, (x, y, m) in start.items():
+        vx = vy = 0.0
+        for j, (u, v, k) in start.items():
+            if i != j:
+                d = ((u - x) ** 2 + (v - y) ** 2) ** 0.5
+                vx, vy = vx - 400 * k * (u - x) / d**3, vy - 400 * k * (v - y) / d**3
+        if i in "ab":
+            u, v, _ = start["b" if i == "a" else "a"]
+            d = ((u - x) ** 2 + (v - y) ** 2) ** 0.5
+            f = 0.05 * (d - 60) * min(2, 0.5 + math.log10(2)) / d / m
+            vx, vy = vx + f * (u - x), vy + f * (v - y)
+        vx, vy = (vx + (400 - x) * 0.005) * 0.85, (vy + (300 - y) * 0.005) * 0.85
+        assert out[i] == pytest.approx((x + vx, y + vy, vx, vy))
+    many = spark.range(context.MOST_DRAWN + 1).select(F.lit("g").alias("graph"), F.col("id").cast("string").alias("id"))
+    with pytest.raises(Exception, match="cluster them first"):
+        context.force_layout(context.start_positions(many, e), e).count()
+
+
+def test_trees_on_cycles_and_empty_inputs(spark):
+    t = spark.createDataFrame([(1, None, "a", 1), (2, 1, None, 2), (3, 2, "b", 4), (8, 9, "x", 5), (9, 8, "y", 5)], "id long, parent long, function string, hits long")
+    assert rows(profiles.subtree_totals(t), "id") == [(1, 7), (2, 6), (3, 4)]
+    assert rows(profiles.tree_edges(t), "src") == [("a", "b", 4)] and rows(profiles.tree_coverage(t), "entity") == [("a", 7), ("b", 4)]
+    assert profiles.tree_edges(t.where("false")).count() == 0
+
+
+def test_verdicts_by_edges_and_modules(spark):
+    c = spark.createDataFrame([("i", "p", ["m/n/a"], "change the signature"), ("x", "q", ["m/n/b"], "rename the parameter"), ("y", "q", ["m/o/c"], "internal logic only"), ("z", "q", ["k"], "touch it"), ("w", "p", ["m/n/d"], "rename")], "id string, agent string, scope array<string>, intent string")
+    e = spark.createDataFrame([("m/o/c", "m/n/a")], "src string, dst string")
+    p = claims.adjacent(c.where("id = 'i'"), c, e)
+    assert rows(p.select("b", "direct", "same_module"), "b") == [("x", False, True), ("y", True, False)]
+    signed = spark.createDataFrame([("m/n/a", "public", True), ("m/n/b", "unknown", True), ("m/o/c", "private", True)], "id string, visibility string, callable boolean")
+    both = p.select("a", "b").union(spark.createDataFrame([("i", "z"), ("i", "i2")], "a string, b string"))
+    assert rows(claims.contract_verdicts(both, c, e, signed).drop("a"), "b") == [("i2", False, 0.0), ("x", True, 0.6), ("y", True, 0.85), ("z", False, 0.0)]
+
+
+def test_selection_without_coverage_is_cold(spark):
+    n = spark.createDataFrame([("sym", "sym", "sym", "s.py", "function"), ("t", "test_a", "test_a", "tests/t.py", "function")], "id string, name string, qualified_name string, file string, kind string")
+    e, none = spark.createDataFrame([("t", "sym", "static_call", 3)], EDGE), spark.createDataFrame([], "src string, dst string, weight long")
+    index = spark.createDataFrame([], "entity string, test string, weight long")
+    root = spark.createDataFrame([("sym",)], "root string")
+    got = select_tests.select_tests(e, none, index, n, root).collect()
+    assert [(r["id"], r["evidence"], r["weight"], r["confidence"], r["dispatch_only"], r["note"]) for r in got] == [("t", "static", 3, "reachable", False, select_tests.COLD_NOTE)]
+    assert select_tests.select_tests(e, none, index, n, root, trace_only=True).count() == 0
+
+
+def test_positions_number_every_row(spark):
+    d = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(7)
+    got = relational.positions(d, [F.col("v").desc()]).collect()
+    assert sorted(r["position"] for r in got) == list(range(1, 5001)) and all(r["position"] == 5000 - r["v"] for r in got)
+    assert relational.positions(d.where("false"), [F.col("v")]).count() == 0
+
+
+def test_generated_repositories_repeat(spark):
+    a, b = (sorted(map(tuple, repo.synthetic_repo(spark, 40).collect())) for _ in range(2))
+    assert a == b and len({f for f, _ in a}) == 40 and all(t for _, t in a)
