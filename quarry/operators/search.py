@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialize
 from ..functions.names import STOP_WORDS, expand_terms, sanitize_terms, scaffold_path
 
 
@@ -78,18 +79,14 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2
     return d.select(key, F.round(score, 6).alias("score"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
-    return both.groupBy("id").agg(F.count("*").alias("degree"))
-
-
 def rerank(hits: DataFrame, edges: DataFrame, scaffold: Column, limit: int) -> DataFrame:
     """The best ``limit`` of (id, score) after degree and scaffolding: only a pool of max(50, 4 limit) is joined.
 
     final = score - 0.30 ln(1 + degree) + 1.0 for scaffold files.
     """
-    pool = hits.orderBy("score", "id").limit(max(50, 4 * limit))
-    d = degrees(edges.join(F.broadcast(pool.select(F.col("id").alias("src"))), "src", "left_semi").unionByName(edges.join(F.broadcast(pool.select(F.col("id").alias("dst"))), "dst", "left_semi").join(F.broadcast(pool.select(F.col("id").alias("src"))), "src", "left_anti")))
+    pool = materialize(hits.orderBy("score", "id").limit(max(50, 4 * limit)))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).join(F.broadcast(pool.select("id")), "id", "left_semi")  # bounded by the pool
+    d = ends.groupBy("id").agg(F.count("*").alias("degree"))
     final = F.round(F.col("score") - 0.30 * F.ln(1 + F.coalesce("degree", F.lit(0))) + F.when(scaffold, 1.0).otherwise(0.0), 6)
     out = pool.join(d, "id", "left").withColumn("final", final)
     return out.orderBy("final", "score", "id").limit(limit).select("id", "score", F.coalesce("degree", F.lit(0)).alias("degree"), "final")
@@ -151,7 +148,7 @@ def ranked_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 2
             hit = hit | F.lower(text).contains(t.lower())
         scores = field_scores(n, "id", FIELD_WEIGHTS, [t for g in groups for t in g] + more, hit)
         found = scores.join(n.select("id", "file"), "id")
-        return found if path is None else found.where(under_path(F.col("file"), path))
+        return materialize(found if path is None else found.where(under_path(F.col("file"), path)))
 
     hits = attempt(False)
     if hits.isEmpty() and query_groups(query, True):

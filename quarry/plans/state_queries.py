@@ -510,7 +510,7 @@ def rate_guard(spark, sf):
     return ev.rate_guard(t, 30, 3).select("key", "ts", "trailing", "verdict")
 
 
-@register("log_windows")
+@register("log_windows", "WITH RECURSIVE t AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms FROM events), w AS (SELECT key, min(ms) AS opened FROM t GROUP BY key UNION ALL SELECT w.key, min(t.ms) FROM w JOIN t ON t.key = w.key AND t.ms >= w.opened + 86400000 GROUP BY w.key) SELECT w.key, opened, least(count(*), 5) AS emitted, greatest(count(*) - 5, 0) AS suppressed FROM w JOIN t ON t.key = w.key AND t.ms >= w.opened AND t.ms < w.opened + 86400000 GROUP BY ALL")
 def log_windows(spark, sf):
     t = d.table(spark, sf, "events").select(F.col("event_type").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
     return ev.log_windows(t, 86_400_000)

@@ -65,27 +65,34 @@ def rate_guard(starts: DataFrame, least_gap_s: int = 30, most_an_hour: int = 30)
 def log_windows(rows: DataFrame, window_ms: int = 60_000, most: int = 5) -> DataFrame:
     """Repeated log lines: a key's window opens with its first record; five are emitted, the rest counted.
 
-    Rows (key, at ms) to (key, opened, emitted, suppressed). Each key is folded in order; Arrow
-    batches keep the fold out of the row loop's serialisation.
+    Rows (key, at ms) to (key, opened, emitted, suppressed). Records are first counted by key and time; a key's windows are then found one by
+    one in its sorted times, by bisection, so a step is a window, not a record, and a batch is held at once.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, opened, n, out = None, 0, 0, []
-
-        def close() -> None:
-            if key is not None:
-                out.append((key, opened, min(n, most), max(0, n - most)))
-
+        key, opened, n = None, 0, 0
         for b in batches:
-            for k, at in zip(b["key"], b["at"], strict=True):
-                if k != key or at >= opened + window_ms:
-                    close()
-                    key, opened, n = k, at, 0
-                n += 1
-        close()
-        yield pd.DataFrame(out, columns=["key", "opened", "emitted", "suppressed"])
-
-    return rows.select("key", "at").repartition("key").sortWithinPartitions("key", "at").mapInPandas(fold, "key string, opened long, emitted long, suppressed long")
+            out = []
+            keys, at, count = b["key"].to_numpy(), b["at"].to_numpy(), b["n"].to_numpy().cumsum()
+            cut = [0, *((keys[1:] != keys[:-1]).nonzero()[0] + 1), len(keys)] if len(keys) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if keys[lo] != key:
+                    if key is not None:
+                        out.append((key, opened, min(n, most), max(0, n - most)))
+                    key, opened, n = keys[lo], int(at[lo]), 0
+                while lo < hi:
+                    end = lo + int(at[lo:hi].searchsorted(opened + window_ms))
+                    n += int(count[end - 1] - (count[lo - 1] if lo else 0)) if end > lo else 0
+                    if end < hi:
+                        out.append((key, opened, min(n, most), max(0, n - most)))
+                        opened, n = int(at[end]), 0
+                    lo = end
+            yield pd.DataFrame(out, columns=["key", "opened", "emitted", "suppressed"])
+        if key is not None:
+            yield pd.DataFrame([(key, opened, min(n, most), max(0, n - most))], columns=["key", "opened", "emitted", "suppressed"])
+
+    counted = rows.where("key is not null and at is not null").groupBy("key", "at").agg(F.count("*").alias("n"))
+    return counted.repartition("key").sortWithinPartitions("key", "at").mapInPandas(fold, "key string, opened long, emitted long, suppressed long")
 
 
 def stalls(beats: DataFrame, most_ms: int = 60_000) -> DataFrame:
