@@ -51,12 +51,13 @@ def impact_summary(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def subtree_sizes(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(root, id, subtree): for every member (root, id) of a radius, how many members reach it, itself excluded.
 
-    All members walk together inside their radius (the root belongs to it).
+    All members that anything reaches walk together inside their radius (the root belongs to it); the others, mostly the many on its rim, are 0 without a walk.
     """
     m = members.select(F.concat_ws("\t", "root", "id").alias("key"), "root", "id")
     inside = dependency_edges(edges).join(m.select(F.col("root").alias("r"), F.col("id").alias("dst")), "dst").join(m.select(F.col("root").alias("r"), F.col("id").alias("src")), ["r", "src"])
     local = inside.select(F.concat_ws("\t", "r", "src").alias("src"), F.concat_ws("\t", "r", "dst").alias("dst"))
-    reached = walk(local, m.select(F.col("key").alias("root")), MAX_DEPTH).where("depth > 0").groupBy(F.col("root").alias("key")).agg(F.count("*").alias("subtree"))
+    local = materialize(local.distinct())
+    reached = walk(local, local.select(F.col("dst").alias("root")).distinct(), MAX_DEPTH).where("depth > 0").groupBy(F.col("root").alias("key")).agg(F.count("*").alias("subtree"))
     return m.join(reached, "key", "left").select("root", "id", F.coalesce("subtree", F.lit(0)).cast("long").alias("subtree"))
 
 

@@ -431,12 +431,12 @@ def budget_rung(spark, sf):
 
 @register(
     "stable_prefix",
-    """WITH p AS (SELECT l_orderkey AS g, l_linenumber AS position, 'k' || l_partkey AS key, l_suppkey AS digest FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY 'k' || l_partkey, l_suppkey) = 1 AND row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey) = 1), c AS (SELECT g, key, CASE WHEN substr(key, 2)::BIGINT % 5 = 0 THEN digest + 1 ELSE digest END AS digest FROM p WHERE substr(key, 2)::BIGINT % 11 > 0),
+    """WITH p AS (SELECT l_orderkey AS g, l_linenumber AS position, 'k' || l_partkey AS key, l_suppkey AS digest FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY 'k' || l_partkey, l_suppkey) = 1 AND row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey) = 1), c AS (SELECT g, key, CASE WHEN substr(key, 2)::BIGINT % 5 = 0 THEN digest + 1 ELSE digest END AS digest FROM p WHERE substr(key, 2)::BIGINT % 11 > 0),
     k AS (SELECT p.g, p.position, p.key, bool_and(coalesce(c.digest = p.digest, FALSE)) OVER (PARTITION BY p.g ORDER BY p.position) AS ok FROM p LEFT JOIN c ON c.g = p.g AND c.key = p.key), f AS (SELECT g, position, key FROM k WHERE ok)
     SELECT g, position::BIGINT AS position, key, 'prefix' AS part FROM f UNION ALL SELECT g, row_number() OVER (PARTITION BY g ORDER BY key), key, 'tail' FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.g = c.g AND f.key = c.key)""",
 )
 def stable_prefix(spark, sf):
-    li = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("position"), F.concat(F.lit("k"), "l_partkey").alias("key"), F.col("l_suppkey").alias("digest"))
+    li = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("position"), F.concat(F.lit("k"), "l_partkey").alias("key"), F.col("l_suppkey").alias("digest")).distinct()
     w, v = Window.partitionBy("g", "position").orderBy("key", "digest"), Window.partitionBy("g", "key").orderBy("position", "digest")
     prior = li.withColumns({"r": F.row_number().over(w), "s": F.row_number().over(v)}).where("r = 1 and s = 1").drop("r", "s")
     n = F.substring("key", 2, 20).cast("long")
