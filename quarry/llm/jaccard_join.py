@@ -36,6 +36,8 @@ FLUSH = (1 << 19, 1 << 22)
 #: From so many classes in one flush a shingle is dealt over several tasks and counts as the most frequent.
 HOT = 64
 HOT_COUNT = (1 << 32) - 1
+#: Shingles that a task counts at once.
+COUNT_STEP = 1 << 17
 #: Minimum hashes by which sets meet in the first round.
 MEETINGS = 3
 #: Bytes of sets that one tree holds; larger buckets are joined block against block.
@@ -171,6 +173,37 @@ def _unpack(cids: bytes, sizes: bytes, lengths: bytes) -> tuple[np.ndarray, np.n
     return np.repeat(np.frombuffer(cids, np.int64), n), np.repeat(np.frombuffer(sizes, np.uint32), n)
 
 
+def _repeated(blobs: list[tuple], marks: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingle, class, its size, count) of the shingles of two classes or more and of the marked ones.
+
+    ``blobs`` has shingles with their packed classes, all equal modulo ``parts``; it is emptied. Steps
+    of about COUNT_STEP, dealt by the shingle, are unpacked, sorted and counted one by one.
+    """
+    steps = -(-sum(len(x[0]) for x in blobs) // COUNT_STEP)
+    step = np.concatenate([(x[0] // U64(parts) % U64(steps)).astype(np.uint16 if steps < 1 << 16 else np.uint32) for x in blobs])
+    tokens, cids, sizes, lengths = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.uint64, np.int64, np.uint32, np.uint32)))
+    blobs.clear()
+    run = np.repeat(np.arange(len(cids), dtype=np.uint32), lengths)
+    out = []
+    for k in range(steps):
+        at = np.flatnonzero(step == k)
+        if not len(at):
+            continue
+        token, cid, size = tokens[at], cids[run[at]], sizes[run[at]]
+        order = np.lexsort((cid, token))
+        token, cid, size = token[order], cid[order], size[order]
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])  # a class can come from several tasks
+        token, cid, size = token[new], cid[new], size[new]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        each = np.diff(np.append(first, len(token)))
+        n = np.where(np.isin(token[first], marks), HOT_COUNT, each) if len(marks) else each
+        n = np.repeat(n, each)
+        keep = n > 1
+        out.append((token[keep], cid[keep], size[keep], n[keep].astype(np.uint32)))
+    return out
+
+
 def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
@@ -179,7 +212,8 @@ def _active(docs: DataFrame) -> DataFrame:
     """(cid, n, shingles, heads, meetings) of the classes that can link: repeated shingles in order, the prefix, minimum hashes.
 
     Shingles travel in blobs: to the task that counts them, and those of two classes or more to
-    the task that gathers their class.
+    the task that gathers their class. A part is a task of its own; by a hash of their numbers
+    several parts would meet in one and leave others idle.
     """
     parts = partitions(docs, 4.0)
     width = partitions(docs)
@@ -227,30 +261,22 @@ def _active(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold, out, marks = [], [], []
         for b in batches:
-            for kind, tokens, *packed in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
+            kinds = b.column(1).to_numpy()
+            for r in range(len(kinds)):
+                tokens, *packed = (c[r].as_buffer() for c in b.columns[2:])  # not copied out of Arrow
                 token = np.frombuffer(tokens, np.uint64)
-                if kind == 2:
+                if kinds[r] == 2:
                     marks.append(token)
-                elif kind == 1:
+                elif kinds[r] == 1:
                     out.append((token, *_unpack(*packed), np.full(len(token), HOT_COUNT, np.uint32)))
                 else:
-                    cold.append((token, *_unpack(*packed)))
+                    cold.append((token, *packed))
         if cold:
-            token, cid, size = (np.concatenate(x) for x in zip(*cold, strict=True))
-            del cold
-            order = np.lexsort((cid, token))
-            token, cid, size = token[order], cid[order], size[order]
-            new = np.ones(len(token), dtype=bool)
-            new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])  # a class can come from several tasks
-            token, cid, size = token[new], cid[new], size[new]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            each = np.diff(np.append(first, len(token)))
-            n = np.where(np.isin(token[first], np.concatenate(marks)), HOT_COUNT, each) if marks else each
-            n = np.repeat(n, each)
-            keep = n > 1
-            out.append((token[keep], cid[keep], size[keep], n[keep].astype(np.uint32)))
+            out += _repeated(cold, np.concatenate(marks) if marks else np.zeros(0, np.uint64), parts)
+        del cold, marks
         if out:
             token, cid, size, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            out.clear()
             order = np.argsort(cid, kind="stable")
             token, cid, size, n = token[order], cid[order], size[order], n[order]
             found = [(p, token[i].tobytes(), n[i].tobytes(), *_pack(cid[i], size[i])) for p, i in split_by((cid.view(np.uint64) % U64(width)).astype(np.int32))]
@@ -279,8 +305,8 @@ def _active(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cid[first[at]]), pa.array(size[first[at]]), pa.array(sets, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(list(lowest[at]), pa.list_(pa.int64()))], names=["cid", "n", "shingles", "heads", "meetings"])
 
     x = docs.select("text").mapInArrow(deal, "part int, kind int, tokens binary, cids binary, sizes binary, lengths binary")
-    x = x.repartition(parts, "part").mapInArrow(count, "part int, tokens binary, counts binary, cids binary, sizes binary, lengths binary")
-    x = x.repartition(width, "part").mapInArrow(gather, "cid long, n long, shingles binary, heads array<long>, meetings array<long>")
+    x = x.repartitionById(parts, "part").mapInArrow(count, "part int, tokens binary, counts binary, cids binary, sizes binary, lengths binary")
+    x = x.repartitionById(width, "part").mapInArrow(gather, "cid long, n long, shingles binary, heads array<long>, meetings array<long>")
     return materialize(x)
 
 

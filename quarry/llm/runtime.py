@@ -29,8 +29,15 @@ UNKNOWN = 1 << 50
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that ``df`` reads; where it has none, the texts' bytes are counted."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the bytes that ``df`` reads; where it has none, the texts' bytes are counted.
+
+    A projection divides its table's bytes as if every string had 20, so that texts lose most of
+    theirs; the tables read count whole where that is more.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    tables = plan.collectLeaves()
+    sizes = [int(str(x.stats().sizeInBytes())) for x in (tables.apply(i) for i in range(tables.size()))]
+    size = max(int(str(plan.stats().sizeInBytes())), sum(sizes))
     if size >= UNKNOWN and "text" in df.columns:
         size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
     return min(size, UNKNOWN)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
 
-from quarry.llm import components, decontaminate, jaccard_join, sketch, substring_dedup, suffix_dedup
+import numpy as np
+
+from quarry.llm import components, decontaminate, jaccard_join, runtime, sketch, substring_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 1 << 63
@@ -119,6 +122,56 @@ def test_jaccard_with_tiny_blocks_and_star_rounds(spark, documents, awkward, mon
     assert by_row(jaccard_join.ngram_jaccard_join(documents), "doc_id", "n_shingles", "component_id") == components_brute(awkward)
 
 
+def test_jaccard_in_small_steps(spark, documents, awkward, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNT_STEP", 40)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    assert by_row(jaccard_join.ngram_jaccard_join(documents), "doc_id", "n_shingles", "component_id") == components_brute(awkward)
+
+
+def test_counting_shingles_in_steps(monkeypatch):
+    """Equal to plain loops, and steps take well under the memory of one pass over all."""
+    rng = np.random.default_rng(3)
+    parts, blobs, home = 7, [], defaultdict(set)
+    for _ in range(60):
+        cid = np.repeat(rng.integers(1, 1 << 62, 2000), 5)
+        token = rng.integers(0, 1 << 50, len(cid)).astype(np.uint64)
+        token[::6] %= np.uint64(20000)
+        token = token * np.uint64(parts) + np.uint64(2)
+        blobs.append((token, *jaccard_join._pack(cid, np.full(len(cid), 9))))
+        for t, c in zip(token.tolist(), cid.tolist(), strict=True):
+            home[t].add(c)
+    marks = np.sort(blobs[0][0][:3])
+    marked = set(marks.tolist())
+    wanted = {(t, c, jaccard_join.HOT_COUNT if t in marked else len(cs)) for t, cs in home.items() for c in cs if len(cs) > 1 or t in marked}
+    peaks = []
+    for step in (1 << 40, 1 << 14):
+        monkeypatch.setattr(jaccard_join, "COUNT_STEP", step)
+        tracemalloc.start()
+        found = jaccard_join._repeated(list(blobs), marks, parts)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        token, cid, size, n = (np.concatenate(x).tolist() for x in zip(*found, strict=True))
+        assert len(token) == len(wanted) and set(zip(token, cid, n, strict=True)) == wanted and set(size) == {9}
+    assert peaks[1] < 0.6 * peaks[0], peaks
+
+
+def test_width_of_a_projection_counts_whole_texts(spark, tmp_path):
+    """The pipeline asks with two of many columns; Catalyst alone would give a fraction of the table."""
+    rows = [(i, "w" * 4000, "en", "a", i, i) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, other long").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert runtime.input_bytes(docs.select((docs.doc_id + 1).alias("doc_id"), "text")) == runtime.input_bytes(docs)
+
+
+def test_parts_of_shingles_are_tasks_of_their_own(spark, documents, monkeypatch):
+    """As many tasks count shingles as there are parts: none gets several parts while others idle."""
+    monkeypatch.setattr(jaccard_join, "partitions", lambda docs, mb_each=8.0: 24)
+    plans = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    jaccard_join._active(documents)
+    assert plans[0].count("hashpartitioning(part") == 0 and plans[0].count("shufflepartitionidpassthrough") == 2
+
+
 def test_components_both_ways(spark, monkeypatch):
     import random
 
