@@ -393,3 +393,52 @@ def test_positions_number_every_row(spark):
 def test_generated_repositories_repeat(spark):
     a, b = (sorted(map(tuple, repo.synthetic_repo(spark, 40).collect())) for _ in range(2))
     assert a == b and len({f for f, _ in a}) == 40 and all(t for _, t in a)
+
+
+def test_adjacent_pairs_are_counted_without_being_made(spark):
+    rnd = random.Random(5)
+    scope = lambda i: [f"s/m{rnd.randrange(9)}/{rnd.randrange(12)}" for _ in range(i % 7)] + ["bare"] * (i % 3)
+    c = spark.createDataFrame([(f"c{i}", None if i == 9 else f"a{i % 4}", scope(i)) for i in range(60)], "id string, agent string, scope array<string>")
+    e = c.select(F.explode("scope").alias("src"), F.reverse("scope")[0].alias("dst")).where("src <> dst").distinct()
+    board = c.withColumn("agent", F.when(F.col("id") == "c12", "other").otherwise(F.col("agent")))
+    asked = c.where("id like '%2' or id like '%6'")
+    want = claims.adjacent(asked, board, e).groupBy("a").agg(F.count("*").alias("pairs"))
+    assert rows(claims.adjacent_counts(asked, board, e), "a") == rows(want, "a") != []
+
+
+def test_module_counts_make_no_pairs(spark):
+    c = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("id"), F.concat(F.lit("a"), F.col("id") % 2).alias("agent"), F.array(F.concat(F.lit("one/m/"), "id")).alias("scope"))
+    e = spark.createDataFrame([("one/m/1", "one/m/2")], "src string, dst string")
+    got = claims.adjacent_counts(c, c, e)
+    assert {r["pairs"] for r in got.collect()} == {2000}
+    assert 0 < most_joined(got) <= 20_000  # 8,000,000 pairs
+
+
+def most_joined(df):
+    """The most rows that any join made of a collected frame."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if name.endswith("Join") and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        todo.extend(kids.apply(i) for i in range(kids.size()))
+    return most
+
+
+def test_a_hub_costs_a_pair_of_claims_one_row(spark, monkeypatch):
+    monkeypatch.setattr(claims, "materialize", lambda df: df)
+    c = spark.range(200).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("x").alias("agent"), F.array(F.when(F.col("id") < 100, "m/hub").otherwise(F.concat(F.lit("n/"), "id"))).alias("scope"), F.lit("rename").alias("intent"))
+    e = spark.range(100, 400).select(F.lit("m/hub").alias("src"), F.concat(F.lit("n/"), "id").alias("dst"))
+    pairs = c.where("scope[0] = 'm/hub'").select(F.col("id").alias("a")).crossJoin(c.where("scope[0] in ('n/150', 'n/151')").select(F.col("id").alias("b")))
+    signed = c.select(F.col("scope")[0].alias("id"), F.lit("public").alias("visibility"), F.lit(True).alias("callable")).distinct()
+    got = claims.contract_verdicts(pairs, c, e, signed)
+    assert {(r["conflict"], r["confidence"]) for r in got.collect()} == {(True, 0.85)}
+    assert 0 < most_joined(got) <= 1000  # 200 pairs, 60,000 neighbours of their hub
