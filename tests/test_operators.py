@@ -442,3 +442,51 @@ def test_a_hub_costs_a_pair_of_claims_one_row(spark, monkeypatch):
     got = claims.contract_verdicts(pairs, c, e, signed)
     assert {(r["conflict"], r["confidence"]) for r in got.collect()} == {(True, 0.85)}
     assert 0 < most_joined(got) <= 1000  # 200 pairs, 60,000 neighbours of their hub
+
+
+def test_direct_pairs_make_no_pairs_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(claims, "materialize", lambda df: df)
+    c = spark.range(300).select(F.concat(F.lit("c"), "id").alias("id"), F.concat(F.lit("a"), F.col("id") % 2).alias("agent"), F.array(F.concat(F.lit("m/"), "id")).alias("scope"))
+    e = c.select(F.col("scope")[0].alias("src"), F.lit("m/0").alias("dst")).where("src <> dst")
+    got = claims.direct_pairs(c.where("id <> 'c0'"), c, e)
+    assert {(r["a"], r["b"], r["direct"]) for r in got.collect()} == {(f"c{i}", "c0", True) for i in range(1, 300, 2)}
+    assert 0 < most_joined(got) <= 1000  # 90,000 pairs of neighbours of m/0
+
+
+def test_pairs_of_claims_are_dealt_once(spark):
+    c = spark.createDataFrame([("i", "p", ["x"], "stock levels"), ("j", "q", ["y"], "stock levels")], "id string, agent string, scope array<string>, intent string")
+    e = spark.createDataFrame([("x", "n"), ("y", "n"), ("x", "y")], "src string, dst string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        near = claims.adjacent(c.where("id = 'i'"), c, e, "graph")
+        assert rows(near, "b") == [("i", "j", True, 1, False)]
+        got = claims.heuristic_verdicts(near, c)
+        assert [tuple(r) for r in got.collect()] == [("i", "j", 2, 0.8, True)]
+        plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(a#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(a#" in x and ", b#" in x]
+
+
+def test_calls_are_dealt_by_file_and_by_question(spark):
+    nodes = spark.createDataFrame([("f", "f", "f", "module", "f.ts", "app", 0), ("f/main", "main", "main", "function", "f.ts", "app", 0), ("lib", "lib", "lib", "module", "lib.ts", "pkg", 0), ("lib/go", "go", "go", "function", "lib.ts", "pkg", 0), ("f/own", "own", "own", "function", "f.ts", "app", 0), ("g/far", "far", "far", "function", "g.ts", "app", 0)], "id string, name string, qualified_name string, kind string, file string, package string, seq long")
+    imports = spark.createDataFrame([("f.ts", 1, "lib", ["l"], []), ("f.ts", 2, None, ["out"], [])], "src_file string, seq long, module string, local array<string>, aliases array<struct<local:string,imported:string>>")
+    names_ = ["go", "go", "own", "far", "nowhere", "out"]
+    raw = spark.createDataFrame([("f.ts", "main", n, "static_call", "l" if n == "go" else None, None, None, i) for i, n in enumerate(names_)], "src_file string, src_name string, dst_name string, kind string, receiver string, chain array<string>, module string, line long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = calls.resolve_calls(raw, nodes, imports)
+        assert rows(got.select("line", "src", "dst"), "line") == [(0, "f/main", "lib/go"), (1, "f/main", "lib/go"), (2, "f/main", "f/own"), (3, "f/main", "g/far"), (4, "f/main", "?:nowhere"), (5, "f/main", "?:out")]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") <= 4
+
+
+def test_bindings_are_dealt_before_they_are_exploded(spark):
+    imports = spark.range(50).select(F.concat(F.lit("f"), F.col("id") % 5).alias("src_file"), F.col("id").alias("seq"), F.lit("m").alias("module"), F.array(F.lit("a"), F.lit("b")).alias("local"), F.array(F.struct(F.lit("a").alias("local"), F.lit("x").alias("imported"))).alias("aliases"))
+    got = calls.import_bindings(imports)
+    assert rows(got, "src_file", "local")[:2] == [("f0", "a", "m", "x"), ("f0", "b", "m", "b")] and got.count() == 10
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    text = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan and text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
