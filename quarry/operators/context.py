@@ -181,8 +181,10 @@ def extended(slices: DataFrame, prior: DataFrame, group: str) -> DataFrame:
     from .pack import stable_prefix
 
     key = F.concat_ws(":", "file", F.col("start").cast("string"), F.col("end").cast("string"))
-    now = slices.select(group, key.alias("key"), F.sha2("text", 256).alias("digest")).groupBy(group, "key").agg(F.min("digest").alias("digest"))
-    return stable_prefix(prior, now, group)
+    now = slices.select(group, key.alias("key"), F.unhex(F.sha2("text", 256)).alias("d")).groupBy(group, "key").agg(F.min("d").alias("d"))
+    # Digests are dealt out as 32 bytes; what isn't one equals none.
+    old = F.when(F.col("digest").rlike("^[0-9a-f]{64}$"), F.unhex("digest")).otherwise(F.lit(b""))
+    return stable_prefix(prior.withColumn("digest", old), now.withColumnRenamed("d", "digest"), group)
 
 
 #: Rungs of a symbol's context, the cheapest first.

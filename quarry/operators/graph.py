@@ -11,13 +11,15 @@ from .relational import first_by, is_call
 MAX_DEPTH = 64
 
 
-def walk(edges: DataFrame, roots: DataFrame, max_depth: int, start: str = "dst", end: str = "src") -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, max_depth: int, start: str = "dst", end: str = "src", written: bool = False) -> DataFrame:
     """(root, id, depth): nodes that each root (a column of ``roots``) reaches, at their least depth; the root at 0.
 
     A frontier loop: each hop joins the last frontier only, and is written once. All roots share
-    the hops, so their number is that of the deepest walk.
+    the hops, so their number is that of the deepest walk. Edges are written as they come, unless ``written`` says that they are
+    read from files already; a hop drops what repeats, so they needn't be dealt out to be made distinct.
     """
-    steps = materialize(edges.select(F.col(start).alias("at"), F.col(end).alias("next")).distinct())
+    steps = edges.select(F.col(start).alias("at"), F.col(end).alias("next"))
+    steps = steps if written else materialize(steps)
     seen = frontier = materialize(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
         hop = frontier.select("root", F.col("id").alias("at")).join(steps, "at").select("root", F.col("next").alias("id")).distinct()
@@ -40,8 +42,8 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def impact_summary(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Per root: how many dependents within ``depth``, and whether more lie beyond."""
     depth = min(max(int(depth), 1), MAX_DEPTH)
-    dep = dependency_edges(edges)
-    seen = materialize(walk(dep, roots, depth))
+    dep = materialize(dependency_edges(edges).select("src", "dst"))
+    seen = materialize(walk(dep, roots, depth, written=True))
     rim = seen.where(F.col("depth") == depth).select("root", F.col("id").alias("dst"))
     beyond = rim.join(dep.select("src", "dst"), "dst").select("root", F.col("src").alias("id")).distinct().join(seen, ["root", "id"], "left_anti").select("root").distinct()
     counts = seen.groupBy("root").agg(F.count(F.when(F.col("depth") > 0, 1)).alias("dependents"), F.max("depth").alias("deepest"))
@@ -57,37 +59,48 @@ def subtree_sizes(edges: DataFrame, members: DataFrame) -> DataFrame:
     inside = dependency_edges(edges).join(m.select(F.col("root").alias("r"), F.col("id").alias("dst")), "dst").join(m.select(F.col("root").alias("r"), F.col("id").alias("src")), ["r", "src"])
     local = inside.select(F.concat_ws("\t", "r", "src").alias("src"), F.concat_ws("\t", "r", "dst").alias("dst"))
     local = materialize(local.distinct())
-    reached = walk(local, local.select(F.col("dst").alias("root")).distinct(), MAX_DEPTH).where("depth > 0").groupBy(F.col("root").alias("key")).agg(F.count("*").alias("subtree"))
+    reached = walk(local, local.select(F.col("dst").alias("root")).distinct(), MAX_DEPTH, written=True).where("depth > 0").groupBy(F.col("root").alias("key")).agg(F.count("*").alias("subtree"))
     return m.join(reached, "key", "left").select("root", "id", F.coalesce("subtree", F.lit(0)).cast("long").alias("subtree"))
 
 
 def impact_preview(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Dependents with depth, via (call, import, call+import; direct ones only), call sites and subtree size."""
-    seen = materialize(walk(dependency_edges(edges), roots, depth))
+    edges = materialize(dependency_edges(edges).select("src", "dst", "kind", "weight"))
+    seen = materialize(walk(edges, roots, depth, written=True))
     sizes = subtree_sizes(edges, seen.select("root", "id"))
-    direct = dependency_edges(edges).select(F.col("dst").alias("root"), F.col("src").alias("id"), (F.col("kind") == "import").alias("imp"), "weight")
+    direct = edges.join(roots.select(F.col("root").alias("dst")).distinct(), "dst", "left_semi")
+    direct = direct.select(F.col("dst").alias("root"), F.col("src").alias("id"), (F.col("kind") == "import").alias("imp"), "weight")
     direct = direct.groupBy("root", "id").agg(F.bool_or("imp").alias("i"), F.bool_or(~F.col("imp")).alias("c"), F.sum(F.when(~F.col("imp"), F.col("weight"))).alias("call_sites"))
     via = F.when(F.col("i") & F.col("c"), "call+import").when(F.col("c"), "call").when(F.col("i"), "import")
     return seen.where("depth > 0").join(direct, ["root", "id"], "left").join(sizes, ["root", "id"]).select("root", "id", "depth", via.alias("via"), F.coalesce("call_sites", F.lit(0)).alias("call_sites"), "subtree")
 
 
-def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1) -> DataFrame:
-    """Undirected (root, id, depth), depth clamped to 0..5."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src")))
-    return walk(both, roots, min(max(int(depth), 0), 5), "src", "dst")
+def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, written: bool = False) -> DataFrame:
+    """Undirected (root, id, depth), depth clamped to 0..5. The edges are written once and read in both directions."""
+    e = edges.select("src", "dst") if written else materialize(edges.select("src", "dst"))
+    return walk(e.union(e.select("dst", "src")), roots, min(max(int(depth), 0), 5), "src", "dst", written=True)
 
 
 def neighbor_edges(static: DataFrame, trace: DataFrame) -> DataFrame:
     """One edge a pair: a static one (the first by kind) before a traced one; weights are not summed."""
-    both = static.select("src", "dst", "kind", "weight", F.lit(0).alias("p")).union(trace.select("src", "dst", F.lit("trace_call"), "weight", F.lit(1)))
-    return first_by(both, ["src", "dst"], [F.col("p"), F.col("kind")]).drop("p")
+    return _one_a_pair(_ranked(static, trace))
+
+
+def _ranked(static: DataFrame, trace: DataFrame) -> DataFrame:
+    return static.select("src", "dst", "kind", "weight", F.lit(0).alias("p")).union(trace.select("src", "dst", F.lit("trace_call"), "weight", F.lit(1)))
+
+
+def _one_a_pair(ranked: DataFrame) -> DataFrame:
+    return first_by(ranked, ["src", "dst"], [F.col("p"), F.col("kind")]).drop("p")
 
 
 def cluster_modules(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Directories as nodes (count) and the summed edges between different ones."""
     d = nodes.select("id", F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("module"))
     counts = d.groupBy("module").agg(F.count("*").alias("n"))
-    e = edges.join(d.select(F.col("id").alias("src"), F.col("module").alias("a")), "src").join(d.select(F.col("id").alias("dst"), F.col("module").alias("b")), "dst")
+    e = edges.join(d.select(F.col("id").alias("src"), F.col("module").alias("a")), "src")
+    e = e.groupBy("a", "dst").agg(F.sum("weight").alias("weight"))  # before the other end is looked up: a module and a node have one row
+    e = e.join(d.select(F.col("id").alias("dst"), F.col("module").alias("b")), "dst")
     return counts, e.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
@@ -159,12 +172,15 @@ def neighborhood(static: DataFrame, trace: DataFrame, nodes: DataFrame, roots: D
 
     With ``scope`` only ids inside it stay, and edges with both ends there.
     """
-    near = materialize(neighbors(static.select("src", "dst").union(trace.select("src", "dst")), roots, depth))
+    both = materialize(_ranked(static, trace))
+    near = materialize(neighbors(both, roots, depth, written=True))
     if scope is not None:
         near = near.where(in_scope("id", scope))
     named = near.join(nodes.select("id", "name", "kind"), "id", "left").select("root", "id", "depth", F.coalesce("name", "id").alias("name"), F.coalesce("kind", F.lit("unknown")).alias("kind"))
-    e = neighbor_edges(static, trace)
     ends = near.select("root", "id")
+    ids = ends.select("id").distinct()  # only edges inside some neighbourhood are dealt by their ends
+    inside = both.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = _one_a_pair(inside)
     e = e.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["root", "dst"]).select("root", "src", "dst", "kind", "weight")
     return named, e
 

@@ -15,8 +15,9 @@ DAY_MS = 86_400_000
 
 def coverage_index(coverage: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entity, test, weight) by node ids: both names resolved (exact id, else the only node of that name), others dropped."""
-    by_name = nodes.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("name", "id")
-    names = nodes.select(F.col("id").alias("name"), "id").union(by_name.join(nodes.select(F.col("id").alias("name")), "name", "left_anti"))
+    spelled = nodes.select(F.col("id").alias("name"), "id", F.lit(True).alias("exact")).union(nodes.select("name", "id", F.lit(False)))
+    spelled = spelled.groupBy("name").agg(F.min(F.when(F.col("exact"), F.col("id"))).alias("own"), F.count(F.when(~F.col("exact"), 1)).alias("n"), F.min(F.when(~F.col("exact"), F.col("id"))).alias("only"))
+    names = spelled.select("name", F.coalesce("own", F.when(F.col("n") == 1, F.col("only"))).alias("id")).where("id is not null")
     c = coverage.join(names.select(F.col("name").alias("test"), F.col("id").alias("test_id")), "test").join(names.select(F.col("name").alias("entity"), F.col("id").alias("entity_id")), "entity")
     return c.groupBy(F.col("entity_id").alias("entity"), F.col("test_id").alias("test")).agg(F.sum("weight").alias("weight"))
 
@@ -27,9 +28,17 @@ def reach(static: DataFrame, trace: DataFrame, roots: DataFrame, depth: int = 64
     Weights are the greatest over all edges that lead from the walked nodes, tree edges or not;
     edges back into the walk's own root don't count.
     """
+    return _reach(_traced(static, trace), roots, depth)
+
+
+def _traced(static: DataFrame, trace: DataFrame) -> DataFrame:
+    """(src, dst, traced, weight) of both, written once for all walks."""
     s = dependency_edges(static).select("src", "dst", F.lit(False).alias("traced"), "weight")
-    both = materialize(s.union(trace.select("src", "dst", F.lit(True), "weight")))
-    seen = materialize(walk(both, roots, depth))
+    return materialize(s.union(trace.select("src", "dst", F.lit(True), "weight")))
+
+
+def _reach(both: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    seen = materialize(walk(both, roots, depth, written=True))
     relaxed = seen.where(F.col("depth") < depth).select("root", F.col("id").alias("dst")).join(both, "dst").where("src <> root")
     top = lambda traced: F.max(F.when(F.col("traced") == traced, F.col("weight")))
     weights = relaxed.groupBy("root", F.col("src").alias("id")).agg(F.bool_or("traced").alias("via_trace"), top(True).alias("trace_weight"), top(False).alias("static_weight"))
@@ -84,8 +93,10 @@ def select_tests(static: DataFrame, trace: DataFrame, index: DataFrame, nodes: D
     is answered by its reachable set: all of it if nothing at all was observed, or ``by_root`` that of every root that no test covers.
     """
     roots = materialize(roots.select("root").distinct())
+    index = materialize(index)
     precise = not index.isEmpty()
-    walked = materialize(reach(static, trace, roots, depth))
+    both = _traced(static, trace)
+    walked = materialize(_reach(both, roots, depth))
     own = roots.select(F.col("root").alias("id"))
     parts = walked.drop("root").withColumn("observed", F.lit(False))
     seen = lambda of, observed: index.join(of, index.entity == of.id).select(F.col("test").alias("id"), F.lit(1).alias("depth"), F.lit(True).alias("via_trace"), F.col("weight").alias("trace_weight"), F.lit(None).cast("long").alias("static_weight"), F.lit(observed).alias("observed"))
@@ -96,7 +107,7 @@ def select_tests(static: DataFrame, trace: DataFrame, index: DataFrame, nodes: D
     if precise and rollup:
         more = seen(class_siblings(nodes, roots).select("id").join(own, "id", "left_anti").distinct(), False).groupBy("id").agg(F.max("trace_weight").alias("rw"))
         merged = merged.join(more, "id", "full_outer").select("id", F.coalesce("depth", F.lit(1)).alias("depth"), (F.coalesce("via_trace", F.lit(False)) | F.col("rw").isNotNull()).alias("via_trace"), F.greatest("tw", "rw").alias("tw"), "sw", F.coalesce("observed", F.lit(False)).alias("observed"))
-    still = walk(dependency_edges(static), roots, depth).where("depth > 0").select("id").distinct().withColumn("static_reachable", F.lit(True))
+    still = walk(both.where("not traced"), roots, depth, written=True).where("depth > 0").select("id").distinct().withColumn("static_reachable", F.lit(True))
     tests = nodes.where(is_test(F.col("file"), F.col("name"))).select("id")
 
     def shown(m: DataFrame) -> DataFrame:

@@ -118,8 +118,9 @@ def extended_context(spark, sf):
 
     s = _slices(spark, sf)
     key = F.concat_ws(":", "file", F.col("start").cast("string"), F.col("end").cast("string"))
-    now = s.select("task", key.alias("key"), F.sha2("text", 256).alias("digest")).groupBy("task", "key").agg(F.min("digest").alias("digest"))
-    prior = now.withColumn("digest", F.when(F.col("key").startswith("f3"), "old").otherwise(F.col("digest"))).withColumn("position", F.row_number().over(Window.partitionBy("task").orderBy(F.col("key").desc())))
+    now = s.select("task", key.alias("key"), F.unhex(F.sha2("text", 256)).alias("d")).groupBy("task", "key").agg(F.min("d").alias("d"))
+    prior = now.withColumn("position", F.row_number().over(Window.partitionBy("task").orderBy(F.col("key").desc())))
+    prior = prior.withColumn("digest", F.when(F.col("key").startswith("f3"), "old").otherwise(F.lower(F.hex("d")))).drop("d")
     return context.extended(s, prior, "task")
 
 

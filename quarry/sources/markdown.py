@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import materialize
+
 PLACEHOLDER = "_Summary pending._"
 #: Neighbours of a direction that a file lists at most; the rest is counted.
 LISTED = 1000
@@ -24,10 +26,10 @@ def node_path(id_: Column) -> Column:
 
 
 def _listed(edges: DataFrame, key: str, other: str, out: str) -> DataFrame:
-    line = F.concat(F.lit("- [["), F.col(other), F.lit("]] ("), F.col("weight").cast("string"), F.when(F.col("weight") == 1, " invocation)").otherwise(" invocations)"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col(other).alias("o"), line.alias("line"))))
-    text = F.array_join(F.transform(F.slice(ranked, 1, LISTED), lambda x: x["line"]), "\n")
-    return edges.groupBy(F.col(key).alias("id")).agg(text.alias(out))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col(other).alias("o"))))
+    line = lambda x: F.concat(F.lit("- [["), x["o"], F.lit("]] ("), (-x["w"]).cast("string"), F.when(x["w"] == -1, " invocation)").otherwise(" invocations)"))
+    listed = edges.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.slice(ranked, 1, LISTED).alias("of"))
+    return listed.select("id", F.array_join(F.transform("of", line), "\n").alias(out))  # lines are spelled where they end up
 
 
 def render_nodes(nodes: DataFrame, edges: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
@@ -47,6 +49,7 @@ def render_nodes(nodes: DataFrame, edges: DataFrame, placeholder: str = PLACEHOL
         F.concat(F.lit("logical_clock: "), F.coalesce("logical_clock", F.lit(0)).cast("string")),
         F.lit("---"),
     )
+    edges = materialize(edges.select("src", "dst", "weight"))
     n = nodes.join(_listed(edges, "dst", "src", "callers"), "id", "left").join(_listed(edges, "src", "dst", "callees"), "id", "left")
     body = F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", F.trim("summary")).otherwise(placeholder)
     none = F.lit("_None observed yet._")
@@ -66,9 +69,33 @@ def changed_files(rendered: DataFrame, existing: DataFrame) -> DataFrame:
     return r.where(F.col("old").isNull() | (F.col("old") != F.col("new"))).drop("old", "new")
 
 
+FIELDS = ["id", "name", "qualified_name", "kind", "language", "file", "range", "ast_hash", "logical_clock"]
+
+
+def _text(content: str) -> Column:
+    return F.when(F.col(content).startswith("\ufeff"), F.expr(f"substring({content}, 2)")).otherwise(F.col(content))
+
+
+def _front(content: str) -> Column:
+    return F.regexp_extract(_text(content), r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
+
+
+def _raw(front: str, name: str) -> Column:
+    return F.trim(F.regexp_extract(front, rf"(?m)^{name}:(.*)$", 1))
+
+
+def _plain(raw: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r'^"(.*)"$', "$1"), r'\\"', '"'), r"\\\\", r"\\")
+    return F.when(raw.startswith('"'), plain).otherwise(raw)
+
+
+def _field(front: str, name: str) -> Column:
+    return _plain(_raw(front, name))
+
+
 def orphans(existing: DataFrame, ids: DataFrame) -> DataFrame:
     """Paths of existing files whose own id maps to them and is no longer among ``ids``; files of others are left alone."""
-    own = parse_nodes(existing).where(node_path(F.col("id")) == F.col("path"))
+    own = existing.select("path", _front("content").alias("front")).select("path", _field("front", "id").alias("id")).where(node_path(F.col("id")) == F.col("path"))
     return own.join(ids.select("id").distinct(), "id", "left_anti").select("path")
 
 
@@ -77,14 +104,12 @@ def parse_nodes(files: DataFrame) -> DataFrame:
 
     The summary is the body after the heading up to the first observed section; values may be quoted; a file without front matter has an empty id.
     """
-    text = F.regexp_replace("content", "^﻿", "")
-    front = F.regexp_extract(text, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
-    rest = F.regexp_replace(text, r"(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)", "")
+    # The front is cut out once, and each raw value once: a column of several uses isn't merged into them.
+    parts = files.select("path", _front("content").alias("front"), F.regexp_replace(_text("content"), r"(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)", "").alias("rest"))
+    files, rest = parts.select("path", "rest", *[_raw("front", f).alias(f"raw_{f}") for f in FIELDS]), F.col("rest")
 
     def field(name: str) -> Column:
-        raw = F.trim(F.regexp_extract(front, rf"(?m)^{name}:(.*)$", 1))
-        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r'^"(.*)"$', "$1"), r'\\"', '"'), r"\\\\", r"\\")
-        return F.when(raw.startswith('"'), plain).otherwise(raw)
+        return _plain(F.col(f"raw_{name}"))
 
     body = F.regexp_replace(rest, r"(?s)(?:^|\n)## Observed .*\z", "")
     body = F.trim(F.regexp_replace(body, r"(?s)\A\s*# [^\n]*", ""))

@@ -490,3 +490,95 @@ def test_bindings_are_dealt_before_they_are_exploded(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     text = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan and text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
+
+
+def written(monkeypatch, *modules):
+    """The frames that the modules' operators write, in order."""
+    out = []
+    for m in modules:
+        monkeypatch.setattr(m, "materialize", lambda df, real=m.materialize: (out.append(df), real(df))[1])
+    return out
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walks_write_edges_as_they_come(spark, monkeypatch):
+    e = spark.createDataFrame([("b", "a", "static_call", 1), ("b", "a", "import", 2), ("c", "b", "static_call", 1), ("d", "c", "import", 1)], EDGE)
+    root = spark.createDataFrame([("a",)], "root string")
+    out = written(monkeypatch, graph)
+    assert rows(graph.walk(e, root, 2), "depth") == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)]
+    assert "Exchange" not in plan_of(out[0])
+    out.clear()
+    assert rows(graph.impact_preview(e, root, 2), "depth") == [("a", "b", 1, "call+import", 1, 1), ("a", "c", 2, None, 0, 0)]
+    assert "weight" in out[0].columns and not [d for d in out[1:] if "LocalTableScan" in plan_of(d) and {"src", "dst"} <= set(d.columns)]
+
+
+def test_neighbourhoods_deal_only_their_own_edges(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b", "static_call", 1), ("b", "a", "import", 2), ("x", "y", "static_call", 1), ("b", "x", "import", 1)], EDGE)
+    t = spark.createDataFrame([("a", "b", 7), ("c", "a", 3)], "src string, dst string, weight long")
+    n = spark.createDataFrame([("a", "a", "function")], "id string, name string, kind string")
+    out = written(monkeypatch, graph)
+    got = graph.neighborhood(e, t, n, spark.createDataFrame([("a",)], "root string"))[1]
+    assert rows(got, "src", "dst") == [("a", "a", "b", "static_call", 1), ("a", "b", "a", "import", 2), ("a", "c", "a", "trace_call", 3)]
+    assert "LeftSemi" in plan_of(got) and [d for d in out if {"src", "dst", "kind"} <= set(d.columns)] == out[:1]
+
+
+def test_modules_are_summed_before_the_other_end(spark):
+    n = spark.createDataFrame([("a", "x/1.py"), ("b", "y/1.py"), ("c", "y/2.py")], "id string, file string")
+    e = spark.createDataFrame([("a", "b", "import", 2), ("a", "c", "import", 3), ("b", "c", "import", 9)], EDGE)
+    got = graph.cluster_modules(n, e)[1]
+    assert rows(got, "src") == [("x", "y", 5)]
+    assert plan_of(got).count("partial_sum") == 2
+
+
+def test_selections_write_index_and_edges_once(spark, monkeypatch):
+    n = spark.createDataFrame([("sym", "sym", "sym", "s.py", "function"), ("t", "test_a", "test_a", "tests/t.py", "function")], "id string, name string, qualified_name string, file string, kind string")
+    e, trace = spark.createDataFrame([("t", "sym", "static_call", 3)], EDGE), spark.createDataFrame([("t", "sym", 2)], "src string, dst string, weight long")
+    index = spark.createDataFrame([("sym", "t", 4)], "entity string, test string, weight long")
+    out = written(monkeypatch, select_tests, graph)
+    got = select_tests.select_tests(e, trace, index, n, spark.createDataFrame([("sym",)], "root string"), trace_only=True, fallback=True, by_root=True).collect()
+    assert [(r["id"], r["confidence"], r["weight"]) for r in got] == [("t", "observed", 4)]
+    assert len([d for d in out if "traced" in d.columns]) == 1 and not [d for d in out if d.columns == ["at", "next"]]
+    assert [d for d in out if "entity" in d.columns]
+
+
+def test_names_are_resolved_by_id_then_by_the_only_name(spark):
+    n = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "t"), ("t2", "a")], "id string, name string")
+    c = spark.createDataFrame([("t", "a", 1), ("t", "x", 5), ("c", "a", 2), ("gone", "a", 3)], "test string, entity string, weight long")
+    got = select_tests.coverage_index(c, n)
+    assert rows(got, "entity") == [("a", "c", 3)]
+
+
+def test_rate_guard_slides_no_window(spark):
+    rnd = random.Random(3)
+    runs = [("k", rnd.randrange(40_000)) for _ in range(400)] + [("k", 7199), ("k", 7200), ("k", 3600), ("k", 0), ("k", 0), ("l", 5), ("k", None)]
+    got = events.rate_guard(spark.createDataFrame(runs, "key string, ts long"), 30, 3)
+    want = []
+    for key in ("k", "l"):
+        ts = sorted(t for k, t in runs if k == key and t is not None)
+        for i, t in enumerate(ts):
+            trailing = sum(t - 3600 <= u <= t for u in ts) - 1
+            want.append((key, t, trailing, "too-soon" if i and t - ts[i - 1] < 30 else "tripped" if trailing >= 3 else "run"))
+    assert sorted(tuple(r) for r in got.where("ts is not null").collect()) == sorted(want)
+    assert [tuple(r) for r in got.where("ts is null").collect()] == [("k", None, 0, "run")]
+    assert "RangeFrame, -3600" not in plan_of(got)
+
+
+def test_prefixes_meet_their_slices_once(spark):
+    s = spark.createDataFrame([("g", "f", 1, 2, "a"), ("g", "f", 3, 4, "b"), ("g", "f", 5, 6, "c"), ("h", "f", 1, 2, "z")], "task string, file string, start long, end long, text string")
+    d = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    prior = spark.createDataFrame([("g", 1, "f:1:2", d("a")), ("g", 2, "f:3:4", "old"), ("g", 3, "f:5:6", d("c"))], "task string, position int, key string, digest string")
+    got = context.extended(s, prior, "task")
+    assert rows(got, "task", "part", "position") == [("g", 1, "f:1:2", "prefix"), ("g", 1, "f:3:4", "tail"), ("g", 2, "f:5:6", "tail"), ("h", 1, "f:1:2", "tail")]
+    assert "digest" not in plan_of(got) and "sha2" not in plan_of(got)
+
+
+def test_observed_edges_of_files_are_written_once(spark, monkeypatch):
+    n = spark.createDataFrame([("a", "a", "q", "function", "f.py", 1, 2)], "id string, name string, qualified_name string, kind string, file string, range_start int, range_end int").withColumns({"language": F.lit("py"), "ast_hash": F.lit("h"), "last_seen": F.lit(0), "logical_clock": F.lit(1), "summary": F.lit("s")})
+    e = spark.createDataFrame([("b", "a", 1), ("c", "a", 5)], "src string, dst string, weight long")
+    out = written(monkeypatch, markdown)
+    files = markdown.render_nodes(n, e)
+    assert len(out) == 1 and "- [[c]] (5 invocations)\n- [[b]] (1 invocation)" in files.first()["content"]
+    assert plan_of(markdown.orphans(files, n)).count("regexp_extract") < plan_of(markdown.parse_nodes(files)).count("regexp_extract")
