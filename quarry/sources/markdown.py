@@ -26,7 +26,7 @@ def node_path(id_: Column) -> Column:
 
 
 def _listed(edges: DataFrame, key: str, other: str, out: str) -> DataFrame:
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col(other).alias("o"))))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col(other).alias("o"))))
     line = lambda x: F.concat(F.lit("- [["), x["o"], F.lit("]] ("), (-x["w"]).cast("string"), F.when(x["w"] == -1, " invocation)").otherwise(" invocations)"))
     listed = edges.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.slice(ranked, 1, LISTED).alias("of"))
     return listed.select("id", F.array_join(F.transform("of", line), "\n").alias(out))  # lines are spelled where they end up
